@@ -24,9 +24,12 @@ def csv_header(spark: SparkSession, path: str) -> list[str]:
 
 
 def read_csv(spark: SparkSession, path: str, contract: Sequence | None = None,
-             keep_bad: bool = True) -> DataFrame:
+             keep_bad: bool = True, quoted_newlines: bool = True) -> DataFrame:
     """A CSV with a header line as a dataset in file order.
 
+    With ``quoted_newlines`` a cell may span lines, and then a file is one task; switch it off for big
+    files without such cells so that they are split.
+
     Cells are read by position, so repeated header names keep their own data. Types come from the
     contract by display name (any case), otherwise text; contract columns missing from the file are
     added. Rows that do not fit the header are kept, with their raw line in ``_corrupt_record``.
@@ -34,7 +37,7 @@ def read_csv(spark: SparkSession, path: str, contract: Sequence | None = None,
     header = csv_header(spark, path)
     raw = [f"c{i}" for i in range(len(header))]
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*raw, CORRUPT]])
-    read = (spark.read.schema(schema).option("header", False).option("multiLine", True).option("quote", '"')
+    read = (spark.read.schema(schema).option("header", False).option("multiLine", quoted_newlines).option("quote", '"')
             .option("escape", '"').option("encoding", "UTF-8").option("mode", "PERMISSIVE")
             .option("columnNameOfCorruptRecord", CORRUPT).csv(path))
     first = [F.coalesce(F.regexp_replace(F.col(raw[0]), "^﻿", ""), F.lit("")) == header[0]] + [
