@@ -186,8 +186,8 @@ def validate_media(files: Column, policy: str) -> Column:
     ``gallery``: listed images up to twenty or one video, never both. ``message``: up to ten listed
     files. The first rule broken gives the detail; an empty detail means the media is fine.
     """
-    fs = F.filter(F.coalesce(files, F.array().cast("array<struct<name:string,mime:string,size:bigint>>")), lambda f: f.isNotNull())
-    total = F.size(fs)
+    fs = F.filter(files, lambda f: f.isNotNull())
+    total = F.when(files.isNull(), 0).otherwise(F.size(fs))
 
     def count(test) -> Column:
         return F.size(F.filter(fs, lambda f: F.coalesce(test(f), F.lit(False))))

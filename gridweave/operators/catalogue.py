@@ -245,9 +245,9 @@ def expand_files(df: DataFrame, catalogue: DataFrame, column: str, row_id: str =
     found = parts.join(files, parts["_id"] == files["_fid"], "left")
     lists = found.groupBy(row_id).agg(F.transform(
         F.array_sort(F.collect_list(F.struct("_pos", F.col("_rec")))), lambda x: x["_rec"]).alias("_files"))
-    return df.join(lists, row_id, "left").withColumn(
-        column, F.when(F.col(column).isNotNull(), F.coalesce("_files", F.filter(F.col("_files"), lambda x: F.lit(False))))
-    ).drop("_files")
+    none = F.array().cast("array<struct<id:string,name:string,mime:string,size:bigint,sha256:string,ext:string>>")
+    cell = F.when(F.col(column).isNotNull(), F.coalesce("_files", none)).alias(column, metadata=df.schema[column].metadata)
+    return df.join(lists, row_id, "left").select(*[cell if c == column else F.col(f"`{c}`") for c in df.columns])
 
 
 def expand_file(df: DataFrame, catalogue: DataFrame, column: str) -> DataFrame:
@@ -255,7 +255,9 @@ def expand_file(df: DataFrame, catalogue: DataFrame, column: str) -> DataFrame:
     files = catalogue.select(F.col("id").alias("_fid"),
                              F.struct("id", "name", "mime", "size", "sha256", "ext").alias("_rec"))
     out = df.join(files, cells.squeeze(F.col(column)) == F.col("_fid"), "left")
-    return out.withColumns({f"{column}_raw": F.when(F.col("_rec").isNull(), F.col(column)), column: F.col("_rec")}).drop("_fid", "_rec")
+    cell = F.col("_rec").alias(column, metadata=df.schema[column].metadata)
+    return out.select(*[cell if c == column else F.col(f"`{c}`") for c in df.columns],
+                      F.when(F.col("_rec").isNull(), F.col(column)).alias(f"{column}_raw"))
 
 
 class Absorbed:

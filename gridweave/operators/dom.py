@@ -28,6 +28,7 @@ VOID = frozenset(["area", "base", "br", "col", "embed", "hr", "img", "input", "l
 CONTROLS = ["a", "button", "input", "select", "textarea", "option", "summary"]
 CONTROL_ROLES = ["button", "link", "checkbox", "radio", "option", "switch", "tab", "menuitem", "menuitemcheckbox",
                  "menuitemradio", "treeitem", "slider", "spinbutton", "textbox", "searchbox", "combobox"]
+INLINE = frozenset(["b", "i", "em", "strong", "span", "font", "u", "small", "big", "code", "tt", "s", "sub", "sup"])
 # An open element that the start of one of these ends.
 CLOSED_BY = {"p": frozenset(["p", "div", "ul", "ol", "table", "section", "article", "h1", "h2", "h3", "h4", "h5", "h6",
                              "footer", "header", "nav", "form", "pre", "blockquote", "main", "aside"]),
@@ -53,8 +54,7 @@ class _Nodes(HTMLParser):
             if tag not in VOID:
                 self.hidden.append(tag)
             return
-        while self.open and tag in CLOSED_BY.get(self.open[-1]["tag"], ()):
-            self._close()
+        self._close_before(tag)
         above = self.open[-1] if self.open else None
         values = {k: (v if v is not None else "") for k, v in attrs}
         if above:
@@ -80,6 +80,18 @@ class _Nodes(HTMLParser):
             while self._close()["tag"] != tag:
                 pass
 
+    def _close_before(self, tag: str) -> None:
+        """End the open element this start tag ends, also when only inline elements are open inside it."""
+        for depth in range(len(self.open) - 1, -1, -1):
+            above = self.open[depth]["tag"]
+            if tag in CLOSED_BY.get(above, ()):
+                while len(self.open) > depth:
+                    self._close()
+                return self._close_before(tag)
+            if above not in INLINE:
+                return None
+        return None
+
     def _close(self) -> dict:
         node = self.open.pop()
         node["last"] = len(self.rows) - 1

@@ -17,28 +17,45 @@ TIMEOUT_RANGE = (30, 24 * 3600)
 DEFAULT_TIMEOUT = 3600
 
 
-def _last(value: Column, when: Column) -> Column:
-    """The value at the highest seq among the rows where the condition holds."""
-    return F.max_by(value, F.when(when, F.col("seq")))
+def partial_fold(events: DataFrame) -> DataFrame:
+    """What a set of events says about each run, with the seq each part comes from.
+
+    Partial folds of disjoint event sets can be merged in any order (:func:`merge_folds`), so the fold
+    is reduced where the events lie and streams keep one small row per run and batch.
+    """
+    kind = F.col("hb_event")
+    parts = {"p": kind == "progress", "u": kind.isin("progress", "error") & (F.col("url") != ""),
+             "r": kind == "result", "e": kind == "error"}
+    seqs = {n: F.when(c, F.col("seq")) for n, c in parts.items()}
+    return events.groupBy("run_id").agg(
+        F.bool_or((kind == "status") & (F.col("state") == "running")).alias("ran"),
+        F.max(seqs["p"]).alias("p_seq"), F.max_by(F.struct("collected", "total", "message"), seqs["p"]).alias("p"),
+        F.max(seqs["u"]).alias("u_seq"), F.max_by("url", seqs["u"]).alias("u"),
+        F.max(seqs["r"]).alias("r_seq"), F.max_by(F.struct("csv", "rows"), seqs["r"]).alias("r"),
+        F.max(seqs["e"]).alias("e_seq"), F.max_by("message", seqs["e"]).alias("e"),
+        F.count_if(kind.isin("progress", "log")).alias("log_lines"))
+
+
+def merge_folds(partials: DataFrame) -> DataFrame:
+    return partials.groupBy("run_id").agg(
+        F.bool_or("ran").alias("ran"),
+        *[x for n in "pure" for x in (F.max_by(n, f"{n}_seq").alias(n), F.max(f"{n}_seq").alias(f"{n}_seq"))],
+        F.sum("log_lines").alias("log_lines"))
 
 
 def fold_runs(events: DataFrame, exits: DataFrame | None = None) -> DataFrame:
     """One row per run from its events (any order) and, when known, how its process ended.
 
-    ``exits`` has ``run_id, code, canceled, timed_out, controlled, has_output, timeout``. Everything is
-    one grouped aggregation, so a run with very many events is reduced where its events lie.
+    ``exits`` has ``run_id, code, canceled, timed_out, controlled, has_output, timeout``.
     """
-    kind = F.col("hb_event")
-    folded = events.groupBy("run_id").agg(
-        F.bool_or((kind == "status") & (F.col("state") == "running")).alias("_ran"),
-        _last(F.struct("collected", "total", "message"), kind == "progress").alias("_p"),
-        _last(F.col("url"), kind.isin("progress", "error") & (F.col("url") != "")).alias("last_url"),
-        _last(F.struct("csv", "rows"), kind == "result").alias("_r"),
-        _last(F.col("message"), kind == "error").alias("error"),
-        F.count_if(kind.isin("progress", "log")).alias("log_lines"))
-    state = folded.select("run_id", "_ran", F.col("_p.collected").alias("collected"), F.col("_p.total").alias("total"),
-                          F.col("_p.message").alias("message"), F.coalesce("last_url", F.lit("")).alias("last_url"),
-                          F.col("_r.csv").alias("csv"), F.col("_r.rows").alias("rows"), "error", "log_lines")
+    return run_state(partial_fold(events), exits)
+
+
+def run_state(folded: DataFrame, exits: DataFrame | None = None) -> DataFrame:
+    state = folded.select("run_id", F.col("ran").alias("_ran"), F.col("p.collected").alias("collected"),
+                          F.col("p.total").alias("total"), F.col("p.message").alias("message"),
+                          F.coalesce("u", F.lit("")).alias("last_url"), F.col("r.csv").alias("csv"),
+                          F.col("r.rows").alias("rows"), F.col("e").alias("error"), "log_lines")
     live = F.when(F.col("_ran"), "running").otherwise("starting")
     if exits is None:
         return state.withColumn("status", live).drop("_ran")

@@ -37,15 +37,10 @@ def read_csv(spark: SparkSession, path: str, contract: Sequence | None = None,
     header = csv_header(spark, path)
     raw = [f"c{i}" for i in range(len(header))]
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*raw, CORRUPT]])
-    read = (spark.read.schema(schema).option("header", False).option("multiLine", quoted_newlines).option("quote", '"')
+    read = (spark.read.schema(schema).option("header", True).option("multiLine", quoted_newlines).option("quote", '"')
             .option("escape", '"').option("encoding", "UTF-8").option("mode", "PERMISSIVE")
             .option("columnNameOfCorruptRecord", CORRUPT).csv(path))
-    first = [F.coalesce(F.regexp_replace(F.col(raw[0]), "^﻿", ""), F.lit("")) == header[0]] + [
-        F.coalesce(F.col(n), F.lit("")) == h for n, h in zip(raw[1:], header[1:])]
-    is_header = first[0]
-    for c in first[1:]:
-        is_header = is_header & c
-    rows = read.where(~(is_header & F.col(CORRUPT).isNull())).withColumn(RID, F.monotonically_increasing_id())
+    rows = read.withColumn(RID, F.monotonically_increasing_id())
     wanted = {c["display"].strip().lower(): c for c in column_specs(contract or [])}
     specs = [{"display": h, "type": wanted.get(h.strip().lower(), {}).get("type", "text")} for h in header]
     seen = {h.strip().lower() for h in header}
