@@ -158,9 +158,9 @@ def a08(spark, sf):
 
 
 CONTEXT = r"""
-    WITH l AS (SELECT session, seq, CASE kind WHEN 'message' THEN E'\nYou said:\n' || left(trim(text), 1800) WHEN 'reasoning' THEN E'\n[thinking] ' || left(trim(text), 600) ELSE text END AS line FROM {src}),
+    WITH l AS (SELECT session, seq, CASE kind WHEN 'message' THEN E'\nYou said:\n' || left(trim(text), 1800) WHEN 'reasoning' THEN E'\n[thinking] ' || left(trim(text), 600) ELSE CASE WHEN contains(text, '🔔') THEN text END END AS line FROM {src}),
     u AS (SELECT *, sum(length(line)) OVER (PARTITION BY session ORDER BY seq DESC) AS used FROM l)
-    SELECT session, sha256(string_agg(line, chr(10) ORDER BY seq)) AS context, count(*) AS events, CAST(max(used) AS BIGINT) AS used FROM u WHERE used <= 4000 GROUP BY session"""
+    SELECT session, sha256(string_agg(line, chr(10) ORDER BY seq)) AS context, count(*) AS events, CAST(max(used) AS BIGINT) AS used FROM u WHERE used <= 4000 AND line IS NOT NULL GROUP BY session"""
 
 
 @query("a09_rebuild_context", CONTEXT.replace("{src}", "chat_events"), uses=("chat_events",))

@@ -144,7 +144,7 @@ def x12(spark, sf):
                        F.when(contact, F.concat(F.lit("Company "), "c_nationkey")), F.when(k % 3 == 1, "School"), F.lit("500+ connections"), F.when(k % 2 == 0, "1,234 followers"),
                        F.lit("Connect"), F.lit("About"), F.lit("First line."), F.concat(F.lit(" Second  line "), k), F.lit("…see more"), F.lit("Experience"), F.lit("somewhere"),
                        F.when(k % 7 == 0, "Open to work"), F.lit("Accessibility"), F.lit("9,999 followers #opentowork"))
-    return table(spark, sf, "customer").select("c_custkey", people.parse_profile(text).alias("p")).select("c_custkey", "p.*")
+    return table(spark, sf, "customer").select("c_custkey", text.alias("text")).transform(people.parse_profiles)
 
 
 @query("x13_dedup_people", """
