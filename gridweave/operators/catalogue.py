@@ -112,7 +112,7 @@ def free_ids(rows: DataFrame, order: str, catalogue: DataFrame | None = None) ->
     unused ones below it counts for every n above ``free``, so one running count over both lists
     answers all rows at once.
     """
-    numbered = number_rows(rows, order, "_n")
+    numbered = number_rows(rows, order, "_n", ties=["path"] if "path" in rows.columns else [])
     if catalogue is None:
         slots = numbered.withColumn("_slot", F.col("_n"))
     else:

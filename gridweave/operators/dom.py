@@ -1,14 +1,17 @@
 """Stored HTML as a table of nodes, and the operators that read it.
 
 Tokenising is the only per-row Python; it runs on Arrow batches of pages spread by Spark. Selecting,
-grouping and rendering are relational on the node table. A page's nodes carry ``seq`` (document order)
-and ``last`` (the last seq of the subtree), so containment is a range test.
+grouping and rendering are relational on the node table. A page's nodes carry ``seq`` (document order),
+``last`` (the last seq of the subtree) and ``up`` (the seqs of all enclosing elements), so containment
+needs no comparison of pairs: a node reports to the elements around it and one grouping brings both
+together.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Mapping
+from functools import reduce
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -20,7 +23,7 @@ from ..functions.regexes import re_extract
 from ..functions.text import clip_line
 
 NODE_SCHEMA = ("page_id bigint, seq int, last int, depth int, parent int, child int, kind string, tag string, "
-               "cls string, attrs map<string,string>, own string, text string, role string")
+               "cls string, attrs map<string,string>, own string, text string, role string, up array<int>")
 
 # Elements whose content is never shown, elements without content, and controls.
 SKIPPED = frozenset(["script", "style", "noscript", "template", "head", "meta", "link", "svg", "path"])
@@ -61,7 +64,8 @@ class _Nodes(HTMLParser):
             above["children"] += 1
         node = {"seq": len(self.rows), "depth": len(self.open), "parent": above["seq"] if above else -1, "tag": tag,
                 "child": above["children"] if above else 1, "cls": (values.get("class") or "").strip(),
-                "attrs": values, "own": [], "text": [], "last": len(self.rows), "children": 0}
+                "attrs": values, "own": [], "text": [], "last": len(self.rows), "children": 0,
+                "up": [n["seq"] for n in self.open]}
         self.rows.append(node)
         if tag not in VOID:
             self.open.append(node)
@@ -123,7 +127,7 @@ FLUSH_ROWS = 20_000
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["page_id", "seq", "last", "depth", "parent", "child", "kind", "tag", "cls",
-                                       "attrs", "own", "text", "role"])
+                                       "attrs", "own", "text", "role", "up"])
 
 
 def _explode_pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -133,7 +137,7 @@ def _explode_pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for n in parse_nodes(html):
                 rows.append((page_id, n["seq"], n["last"], n["depth"], n["parent"], n["child"], "element", n["tag"],
                              n["cls"], n["attrs"], " ".join("".join(n["own"]).split()),
-                             " ".join("".join(n["text"]).split()), n["attrs"].get("role") or ""))
+                             " ".join("".join(n["text"]).split()), n["attrs"].get("role") or "", n["up"]))
             if len(rows) >= FLUSH_ROWS:
                 yield _frame(rows)
                 rows = []
@@ -269,38 +273,36 @@ def extract_records(nodes: DataFrame, container: str, fields: Mapping[str, str]
 
     A field is ``text`` (the container's own text), a selector (text of its first match inside),
     ``selector@attr`` or ``@attr``, or ``regex:PATTERN`` (first group, else the match) over the text.
-    Fields that look inside are answered together by one range join within the page.
+    Pages are parsed once and shuffled once, for any number of fields.
     """
     fields = dict(fields or {"text": "text", "href": "a@href"})
-    boxes = nodes.where(selector(container)).select("page_id", F.col("seq").alias("box"), F.col("last").alias("box_last"),
-                                                    F.col("text").alias("box_text"), F.col("attrs").alias("box_attrs"))
+    is_box = selector(container)
+    own = {"text": F.col("text"), "attrs": F.col("attrs")}
     cols, inside = {}, {}
     for name, spec in fields.items():
         if spec in ("", "text"):
-            cols[name] = _cut(F.col("box_text"))
+            cols[name] = _cut(F.col("_box.text"))
         elif spec.startswith("regex:"):
             pattern = spec[6:]
-            cols[name] = re_extract(F.col("box_text"), pattern, 1 if re.compile(pattern).groups else 0)
+            cols[name] = re_extract(F.col("_box.text"), pattern, 1 if re.compile(pattern).groups else 0)
         elif spec.startswith("@"):
-            cols[name] = _cut(F.try_element_at("box_attrs", F.lit(spec[1:])))
+            cols[name] = _cut(F.try_element_at("_box.attrs", F.lit(spec[1:])))
         else:
             css, _, wanted = spec.partition("@")
-            hit = selector(css)
-            value = F.struct((attr(wanted) if wanted else F.col("text")).alias("v"))
-            inside[name] = (hit, value)
+            inside[name] = (selector(css), F.struct((attr(wanted) if wanted else F.col("text")).alias("v")))
             cols[name] = _cut(F.col(f"_f_{name}.v"))
-    rows = boxes
-    if inside:
-        any_hit = None
-        for hit, _ in inside.values():
-            any_hit = hit if any_hit is None else any_hit | hit
-        parts = nodes.where(any_hit).select("page_id", "seq", *[F.when(hit, value).alias(f"_v_{n}") for n, (hit, value) in inside.items()])
-        joined = boxes.select("page_id", "box", "box_last").join(parts, "page_id").where(
-            (F.col("seq") > F.col("box")) & (F.col("seq") <= F.col("box_last")))
-        firsts = joined.groupBy("page_id", "box").agg(*[
-            F.min_by(F.col(f"_v_{n}"), F.when(F.col(f"_v_{n}").isNotNull(), F.col("seq"))).alias(f"_f_{n}") for n in inside])
-        rows = boxes.join(firsts, ["page_id", "box"], "left")
-    out = rows.select("page_id", "box", *[c.alias(n) for n, c in cols.items()])
+    any_hit = reduce(lambda a, b: a | b, [hit for hit, _ in inside.values()], F.lit(False))
+    none = F.array().cast("array<int>")
+    # a box reports to itself, a field hit to every element around it
+    reports = nodes.where(is_box | any_hit).select(
+        "page_id", "seq", F.when(is_box, F.struct(*[c.alias(n) for n, c in own.items()])).alias("_own"),
+        *[F.when(hit, value).alias(f"_v_{n}") for n, (hit, value) in inside.items()],
+        F.explode(F.concat(F.when(is_box, F.array("seq")).otherwise(none), F.when(any_hit, F.col("up")).otherwise(none))).alias("box"))
+    itself = F.col("box") == F.col("seq")
+    found = reports.groupBy("page_id", "box").agg(
+        F.first(F.when(itself, F.col("_own")), ignorenulls=True).alias("_box"),
+        *[F.min_by(F.col(f"_v_{n}"), F.when(~itself & F.col(f"_v_{n}").isNotNull(), F.col("seq"))).alias(f"_f_{n}") for n in inside])
+    out = found.where(F.col("_box").isNotNull()).select("page_id", "box", *[c.alias(n) for n, c in cols.items()])
     if limit is not None:
         w = W.partitionBy("page_id").orderBy("box")
         out = out.withColumn("_at", F.row_number().over(w)).where(F.col("_at") <= limit).drop("_at")
@@ -317,12 +319,18 @@ def detect_repeated_block(nodes: DataFrame, least: int = 3, min_text: int = 30)
     Only children with a link below them and some text count. ``too_broad`` warns when nearly all of
     them are very long.
     """
-    links = nodes.where((F.col("tag") == "a") & (F.coalesce(attr("href"), F.lit("")) != "")).select("page_id", F.col("seq").alias("link"))
-    cands = nodes.where((F.length("text") >= min_text) & (F.col("parent") >= 0)).select(
-        "page_id", "parent", "seq", "last", F.length("text").alias("size"),
-        F.concat("tag", F.when(F.col("cls") != "", F.concat(F.lit("."), F.split("cls", r"\s+")[0])).otherwise("")).alias("signature"))
-    linked = cands.join(links, "page_id").where((F.col("link") > F.col("seq")) & (F.col("link") <= F.col("last")))
-    items = linked.groupBy("page_id", "parent", "seq", "size", "signature").agg(F.lit(1).alias("_one"))
+    link = (F.col("tag") == "a") & (F.coalesce(attr("href"), F.lit("")) != "")
+    able = (F.length("text") >= min_text) & (F.col("parent") >= 0)
+    signature = F.concat("tag", F.when(F.col("cls") != "", F.concat(F.lit("."), F.split("cls", r"\s+")[0])).otherwise(""))
+    none = F.array().cast("array<int>")
+    # a candidate reports to itself, a link to every element around it
+    reports = nodes.where(able | link).select(
+        "page_id", "seq", "parent", F.length("text").alias("size"), signature.alias("signature"), able.alias("able"),
+        F.explode(F.concat(F.when(able, F.array("seq")).otherwise(none), F.when(link, F.col("up")).otherwise(none))).alias("at"))
+    itself = F.col("at") == F.col("seq")
+    items = reports.groupBy("page_id", "at").agg(
+        *[F.max(F.when(itself & F.col("able"), F.col(c))).alias(c) for c in ("parent", "size", "signature")],
+        F.bool_or(~itself).alias("linked")).where(F.col("linked") & F.col("parent").isNotNull())
     blocks = items.groupBy("page_id", "parent", "signature").agg(
         F.count("*").alias("items"), F.count_if(F.col("size") > BROAD_ITEM).alias("huge")).where(F.col("items") >= least)
     best = blocks.groupBy("page_id").agg(F.max_by(F.struct("parent", "signature", "items", "huge"),

@@ -49,7 +49,7 @@ def page_titles(rows: DataFrame, pages: DataFrame) -> DataFrame:
     names = [c for c in ("url", "target_url", "profile_url") if c in rows.columns]
     wanted = rows.select(first_non_blank(*[F.col(c) for c in names]).alias("url")).where("url is not null")
     wanted = wanted.withColumn("url", with_scheme(F.col("url")))
-    titles = pages.select(F.col("url").alias("_url"), title_of(F.col("html")).alias("_title"))
+    titles = pages.groupBy(F.col("url").alias("_url")).agg(F.min(title_of(F.col("html"))).alias("_title"))
     out = wanted.join(titles, wanted["url"] == titles["_url"], "left")
     return out.select("url", F.coalesce("_title", F.lit("")).alias("title"),
                       F.when(F.col("_url").isNotNull(), "yes").otherwise("no").alias("ok"))

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from ..session import shuffle_width
 
 BLOCK = "_block"
+KEY = "_key"
 
 
 def block_bounds(df: DataFrame, order: str, blocks: int | None = None) -> list[float]:
@@ -39,53 +40,68 @@ def block_of(c: Column, bounds: Sequence[float]) -> Column:
     return tree(0, len(bounds))
 
 
-def with_blocks(df: DataFrame, order: str, blocks: int | None = None) -> DataFrame:
-    """Add the block number. The order column must be an integer or floating point column without NULLs."""
-    if not isinstance(df.schema[order].dataType, T.NumericType):
-        raise TypeError(f"{order} must be numeric to be cut into blocks")
-    return df.withColumn(BLOCK, block_of(F.col(order), block_bounds(df, order, blocks)))
+class _Cut:
+    """A table cut into order blocks, its key columns packed into one struct.
 
+    A struct compares field by field with NULL equal to NULL, so one plain equality serves grouping,
+    joining and windows alike, and a shuffle on (key, block) made for the join also serves the window.
+    """
+
+    def __init__(self, df: DataFrame, keys: Sequence[str], order: str, blocks: int | None,
+                 bounds: Sequence[float] | None) -> None:
+        if not isinstance(df.schema[order].dataType, T.NumericType):
+            raise TypeError(f"{order} must be numeric to be cut into blocks")
+        self.columns, self.keys, self.order = df.columns, list(keys), order
+        self.bounds = block_bounds(df, order, blocks) if bounds is None else list(bounds)
+        self.by = [KEY, BLOCK] if keys else [BLOCK]
+        self.per_key = W.partitionBy(KEY) if keys else W.partitionBy(F.lit(0))
+        packed = [F.struct(*keys).alias(KEY)] if keys else []
+        kept = [c for c in df.columns if c not in self.keys or c == order]
+        self.rows = df.select(*packed, *kept, block_of(F.col(order), self.bounds).alias(BLOCK))
+
+    def window(self, reverse: bool = False, ties: Sequence[str] = ()):
+        cols = [F.col(c) for c in [self.order, *ties]]
+        return W.partitionBy(*self.by).orderBy(*[c.desc() if reverse else c.asc() for c in cols])
 
-def _carry(totals: DataFrame, keys: Sequence[str], names: Sequence[str], reverse: bool) -> DataFrame:
-    """Per key, the sum of each total over all earlier blocks. A key has at most one row per block here."""
-    order = F.col(BLOCK).desc() if reverse else F.col(BLOCK).asc()
-    w = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    w = w.orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    return totals.select(*keys, BLOCK, *[F.coalesce(F.sum(n).over(w), F.lit(0)).alias(n) for n in names])
+    def before(self, totals: DataFrame, names: Sequence[str], reverse: bool = False) -> DataFrame:
+        """Totals per block to sums over the earlier blocks of the same key: at most one row per block each."""
+        w = self.per_key.orderBy(F.col(BLOCK).desc() if reverse else F.col(BLOCK).asc()).rowsBetween(W.unboundedPreceding, -1)
+        return totals.select(*self.by, *[F.coalesce(F.sum(n).over(w), F.lit(0)).alias(n) for n in names])
+
+    def unpack(self, df: DataFrame, *new: str) -> DataFrame:
+        return df.select(*[F.col(KEY)[c].alias(c) if c in self.keys and c != self.order else F.col(c) for c in self.columns], *new)
 
 
 def running(df: DataFrame, keys: Sequence[str], order: str, sums: Mapping[str, Column],
-            reverse: bool = False, blocks: int | None = None, ties: Sequence[str] = ()) -> DataFrame:
+            reverse: bool = False, blocks: int | None = None, ties: Sequence[str] = (),
+            bounds: Sequence[float] | None = None) -> DataFrame:
     """Inclusive running sums per key in the given order, as new columns.
 
-    ``order`` (with ``ties`` as further order columns) must order the rows of a key uniquely. Without
-    keys the running sums go over the whole table.
+    ``order`` (with ``ties`` as further order columns) must order the rows of a key uniquely, and the
+    order column should have few repeats, as equal values share a block. Without keys the running sums
+    go over the whole table. ``bounds`` reuses cut points found before.
     """
-    keys, names = list(keys), list(sums)
-    cut = with_blocks(df, order, blocks).withColumns({f"_v_{n}": c for n, c in sums.items()})
-    totals = cut.groupBy(*keys, BLOCK).agg(*[F.sum(f"_v_{n}").alias(f"_c_{n}") for n in names])
-    before = _carry(totals, keys, [f"_c_{n}" for n in names], reverse)
-    cols = [F.col(order), *[F.col(t) for t in ties]]
-    w = (W.partitionBy(*keys, BLOCK).orderBy(*[c.desc() if reverse else c.asc() for c in cols])
-         .rowsBetween(W.unboundedPreceding, W.currentRow))
-    joined = _join_blocks(cut, before, keys)
-    out = joined.withColumns({n: F.sum(f"_v_{n}").over(w) + F.col(f"_c_{n}") for n in names})
-    return out.drop(BLOCK, *[f"_v_{n}" for n in names], *[f"_c_{n}" for n in names])
-
-
-def _join_blocks(rows: DataFrame, per_block: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Attach per-block values. Keys are compared null-safe, because NULL is a group like any other."""
-    if not keys:
-        return rows.join(per_block, BLOCK, "left")
-    cond = rows[BLOCK] == per_block[BLOCK]
-    right = per_block
-    for i, k in enumerate(keys):
-        right = right.withColumnRenamed(k, f"_k{i}")
-    right = right.withColumnRenamed(BLOCK, "_kb")
-    cond = F.col(BLOCK) == F.col("_kb")
-    for i, k in enumerate(keys):
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    return rows.join(right, cond, "left").drop("_kb", *[f"_k{i}" for i in range(len(keys))])
+    names = list(sums)
+    valued = df.select("*", *[c.alias(f"_v_{n}") for n, c in sums.items()])
+    cut = _Cut(valued, keys, order, blocks, bounds if bounds is not None else block_bounds(df, order, blocks))
+    totals = cut.rows.groupBy(*cut.by).agg(*[F.sum(f"_v_{n}").alias(f"_c_{n}") for n in names])
+    before = cut.before(totals, [f"_c_{n}" for n in names], reverse)
+    w = cut.window(reverse, ties).rowsBetween(W.unboundedPreceding, W.currentRow)
+    out = cut.rows.join(before, cut.by).withColumns({n: F.sum(f"_v_{n}").over(w) + F.col(f"_c_{n}") for n in names})
+    replaced = [c for c in cut.columns if not c.startswith("_v_") and c not in names]
+    return cut.unpack(out, *names).select(*replaced, *names)
+
+
+def running_max(df: DataFrame, keys: Sequence[str], order: str, value: Column, name: str,
+                blocks: int | None = None, bounds: Sequence[float] | None = None) -> DataFrame:
+    """Inclusive running maximum per key, in the manner of :func:`running`."""
+    cut = _Cut(df.withColumn("_v", value), keys, order, blocks, bounds)
+    tops = cut.rows.groupBy(*cut.by).agg(F.max("_v").alias("_top"))
+    w = cut.per_key.orderBy(BLOCK).rowsBetween(W.unboundedPreceding, -1)
+    before = tops.select(*cut.by, F.max("_top").over(w).alias("_before"))
+    inside = F.max("_v").over(cut.window().rowsBetween(W.unboundedPreceding, W.currentRow))
+    out = cut.rows.join(before, cut.by).withColumn(name, F.greatest(inside, "_before"))
+    return cut.unpack(out, name).drop("_v")
 
 
 def number_rows(df: DataFrame, order: str, name: str = "_rid", keys: Sequence[str] = (), start: int = 1,
@@ -99,16 +115,15 @@ def keep_newest(df: DataFrame, keys: Sequence[str], order: str, n: int, blocks:
                 ties: Sequence[str] = ()) -> DataFrame:
     """The ``n`` rows of each key with the highest order value.
 
-    Blocks whose later blocks already hold ``n`` rows are dropped before any row is shuffled for ranking.
+    Blocks whose later blocks already hold ``n`` rows are left out of the join, so of a key of any size
+    only the newest blocks are ranked.
     """
-    keys = list(keys)
-    cut = with_blocks(df, order, blocks)
-    totals = cut.groupBy(*keys, BLOCK).agg(F.count("*").alias("_later"))
-    later = _carry(totals, keys, ["_later"], reverse=True).where(F.col("_later") < n)
-    near = _join_blocks(cut, later, keys).where(F.col("_later").isNotNull())
-    w = W.partitionBy(*keys, BLOCK).orderBy(*[F.col(c).desc() for c in [order, *ties]])
-    return (near.withColumn("_at", F.row_number().over(w)).where(F.col("_at") + F.col("_later") <= n)
-            .drop(BLOCK, "_later", "_at"))
+    cut = _Cut(df, keys, order, blocks, None)
+    totals = cut.rows.groupBy(*cut.by).agg(F.count("*").alias("_later"))
+    later = cut.before(totals, ["_later"], reverse=True).where(F.col("_later") < n)
+    near = cut.rows.join(later, cut.by)
+    ranked = near.withColumn("_at", F.row_number().over(cut.window(reverse=True, ties=ties)))
+    return cut.unpack(ranked.where(F.col("_at") + F.col("_later") <= n))
 
 
 def rank_rows(df: DataFrame, keys: Sequence[str], order: str, blocks: int | None = None,
@@ -119,17 +134,15 @@ def rank_rows(df: DataFrame, keys: Sequence[str], order: str, blocks: int | None
     ``cume_dist`` of the order column, and ``ntile`` when ``buckets`` is given. Equal order values always
     share a block, so ranks inside a block only need the counts of the earlier blocks added.
     """
-    keys = list(keys)
-    cut = with_blocks(df, order, blocks)
-    per_value = cut.groupBy(*keys, BLOCK, order).agg(F.count("*").alias("_n"))
-    totals = per_value.groupBy(*keys, BLOCK).agg(F.sum("_n").alias("_rows"), F.count("*").alias("_values"))
-    before = _carry(totals, keys, ["_rows", "_values"], reverse=False)
-    sizes = totals.groupBy(*keys).agg(F.sum("_rows").alias("_size"))
-    joined = _join_keys(_join_blocks(cut, before, keys), sizes, keys)
-    by = W.partitionBy(*keys, BLOCK).orderBy(order)
-    exact = W.partitionBy(*keys, BLOCK).orderBy(order, *ties)
+    cut = _Cut(df, keys, order, blocks, None)
+    per_value = cut.rows.groupBy(*cut.by, order).agg(F.count("*").alias("_n"))
+    totals = per_value.groupBy(*cut.by).agg(F.sum("_n").alias("_rows"), F.count("*").alias("_values"))
+    w = cut.per_key.orderBy(BLOCK).rowsBetween(W.unboundedPreceding, -1)
+    before = totals.select(*cut.by, *[F.coalesce(F.sum(n).over(w), F.lit(0)).alias(n) for n in ("_rows", "_values")],
+                           F.sum("_rows").over(cut.per_key).alias("_size"))
+    by, exact = cut.window(), cut.window(ties=ties)
     through = by.rangeBetween(W.unboundedPreceding, W.currentRow)
-    out = joined.withColumns({
+    out = cut.rows.join(before, cut.by).withColumns({
         "row_number": F.row_number().over(exact) + F.col("_rows"),
         "rank": F.rank().over(by) + F.col("_rows"),
         "dense_rank": F.dense_rank().over(by) + F.col("_values"),
@@ -139,22 +152,15 @@ def rank_rows(df: DataFrame, keys: Sequence[str], order: str, blocks: int | None
         "percent_rank": F.when(F.col("_size") > 1, (F.col("rank") - 1) / (F.col("_size") - 1)).otherwise(0.0),
         "cume_dist": F.col("_upto") / F.col("_size"),
     })
+    new = ["row_number", "rank", "dense_rank", "percent_rank", "cume_dist"]
     if buckets:
         big, small = F.col("_size") % buckets, F.floor(F.col("_size") / buckets)
         at = F.col("row_number") - 1
         edge = big * (small + 1)
         out = out.withColumn("ntile", F.when(at < edge, F.floor(at / (small + 1)))
                              .otherwise(big + F.floor((at - edge) / F.greatest(small, F.lit(1)))) + 1)
-    return out.drop(BLOCK, "_rows", "_values", "_size", "_upto")
-
-
-def _join_keys(rows: DataFrame, per_key: DataFrame, keys: Sequence[str]) -> DataFrame:
-    right, cond = per_key, None
-    for i, k in enumerate(keys):
-        right = right.withColumnRenamed(k, f"_k{i}")
-        c = F.col(k).eqNullSafe(F.col(f"_k{i}"))
-        cond = c if cond is None else cond & c
-    return rows.join(right, cond, "left").drop(*[f"_k{i}" for i in range(len(keys))])
+        new.append("ntile")
+    return cut.unpack(out, *new)
 
 
 def neighbours(df: DataFrame, keys: Sequence[str], order: str, values: Mapping[str, str], ahead: bool = False,
@@ -164,16 +170,28 @@ def neighbours(df: DataFrame, keys: Sequence[str], order: str, values: Mapping[s
     Only the first row of a block needs the last row of the key's previous non-empty block, and those
     edge rows are one per (key, block).
     """
-    keys = list(keys)
-    cut = with_blocks(df, order, blocks)
+    cut = _Cut(df, keys, order, blocks, None)
     place = F.struct(F.col(order), *[F.col(t) for t in ties])
-    edge = F.min_by if ahead else F.max_by
-    edges = cut.groupBy(*keys, BLOCK).agg(edge(F.struct(*[F.col(s).alias(n) for n, s in values.items()]), place)
-                                          .alias("_edge"))
-    shift = F.lead if ahead else F.lag
-    edges = edges.withColumn("_edge", shift("_edge").over(W.partitionBy(*keys).orderBy(BLOCK)))
-    joined = _join_blocks(cut, edges, keys)
-    w = W.partitionBy(*keys, BLOCK).orderBy(order, *ties)
-    out = joined.withColumn("_inside", shift(F.struct(*[F.col(s).alias(n) for n, s in values.items()])).over(w))
+    value = F.struct(*[F.col(s).alias(n) for n, s in values.items()])
+    edge, shift = (F.min_by, F.lead) if ahead else (F.max_by, F.lag)
+    edges = cut.rows.groupBy(*cut.by).agg(edge(value, place).alias("_edge"))
+    edges = edges.withColumn("_edge", shift("_edge").over(cut.per_key.orderBy(BLOCK)))
+    out = cut.rows.join(edges, cut.by).withColumn("_inside", shift(value).over(cut.window(ties=ties)))
     pick = F.when(F.col("_inside").isNotNull(), F.col("_inside")).otherwise(F.col("_edge"))
-    return out.withColumns({n: pick[n] for n in values}).drop(BLOCK, "_inside", "_edge")
+    return cut.unpack(out.withColumns({n: pick[n] for n in values}), *values)
+
+
+def rolling(df: DataFrame, keys: Sequence[str], order: str, aggs: Mapping[str, Column], back: float, ahead: float = 0,
+            blocks: int | None = None) -> DataFrame:
+    """Aggregates over the rows of a key whose order value lies between ``-back`` and ``+ahead`` of the row's.
+
+    Every row is also listed in the further blocks its value can reach; a frame much shorter than a
+    block copies hardly any rows. On a dense row number this is a ROWS frame, on a dense rank a GROUPS
+    frame. ``aggs`` are aggregate expressions such as ``F.sum("x")``.
+    """
+    cut = _Cut(df, keys, order, blocks, None)
+    first, last = block_of(F.col(order) - ahead, cut.bounds), block_of(F.col(order) + back, cut.bounds)
+    spread = cut.rows.withColumnRenamed(BLOCK, "_home").withColumn(BLOCK, F.explode(F.sequence(first, last)))
+    w = W.partitionBy(*cut.by).orderBy(order).rangeBetween(-back, ahead)
+    out = spread.withColumns({n: c.over(w) for n, c in aggs.items()}).where(F.col(BLOCK) == F.col("_home"))
+    return cut.unpack(out, *aggs)

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridweave.functions.regexes import register_sql
@@ -15,7 +16,6 @@ from . import derived, query, table
 
 def sql(spark: SparkSession, sf: str, text: str) -> DataFrame:
     """Run a statement over the given tables, bound by name."""
-    import re
     names = set(re.findall(r"\{([a-z]\w*)\}", text))
     return spark.sql(text, **{n: table(spark, sf, n) for n in names})
 
@@ -24,7 +24,6 @@ def both(name: str, text: str, duck: str | None = None) -> None:
     """A statement both engines run as it stands, but for table binding."""
     def run(spark, sf, text=text):
         return sql(spark, sf, text)
-    import re
     query(name, re.sub(r"\{(\w+)\}", r"\1", duck or text))(run)
 
 
@@ -49,8 +48,6 @@ for how in ("inner", "left", "right", "full"):
         SELECT coalesce(c_mktsegment, 'none') AS segment, count(c_custkey) AS customers, count(o_orderkey) AS orders
         FROM {{customer}} {how.upper() + (' OUTER' if how != 'inner' else '')} JOIN (SELECT * FROM {{orders}} WHERE o_totalprice > 250000) o ON o_custkey = c_custkey + 40 GROUP BY 1""")
 
-both("q02_join_cross", "SELECT r_name, n_name FROM {region} CROSS JOIN {nation}")
-
 
 @query("q03_theta_join", """
     SELECT b.band, count(*) AS n, min(l_extendedprice) AS low, max(l_extendedprice) AS high FROM lineitem JOIN bands b ON l_extendedprice >= b.lo AND l_extendedprice < b.hi GROUP BY 1""", uses=("bands",))
@@ -77,8 +74,8 @@ both("q06_aggregates", """
            min(l_shipdate) = max(l_shipdate) AS one_day, count(*) FILTER (WHERE l_linestatus = 'F') AS finished, coalesce(sum(CASE WHEN l_quantity > 1000 THEN l_quantity END), 0.0e0) AS total
     FROM {lineitem} GROUP BY l_returnflag HAVING count(*) > 10""")
 both("q06_group_concat", """
-    SELECT n_regionkey, listagg(DISTINCT n_name, '|') WITHIN GROUP (ORDER BY n_name) AS names FROM {nation} GROUP BY n_regionkey""",
-     "SELECT n_regionkey, string_agg(DISTINCT n_name, '|' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey")
+    SELECT c_mktsegment, listagg(DISTINCT n_name, '|') WITHIN GROUP (ORDER BY n_name) AS names FROM {customer} JOIN {nation} ON n_nationkey = c_nationkey GROUP BY c_mktsegment""",
+     "SELECT c_mktsegment, string_agg(DISTINCT n_name, '|' ORDER BY n_name) AS names FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY c_mktsegment")
 both("q07_bare_column_of_max", """
     SELECT o_custkey, max(struct(o_totalprice, -o_orderkey)).o_totalprice AS price, max_by(o_orderkey, struct(o_totalprice, -o_orderkey)) AS o_orderkey FROM {orders} GROUP BY o_custkey""",
      "SELECT o_custkey, o_totalprice AS price, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders) WHERE k = 1")
@@ -110,22 +107,23 @@ def q09b(spark, sf):
 
 
 @query("q09_frames", """
-    SELECT l_orderkey, l_linenumber, l_partkey, first_value(l_quantity) OVER w AS first_q, last_value(l_quantity) OVER w AS last_q, nth_value(l_quantity, 2) OVER w AS second_q,
-      sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS near_rows,
-      sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber RANGE BETWEEN 1 PRECEDING AND CURRENT ROW) AS near_range,
-      sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW) AS near_groups
-    FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""")
+    WITH e AS (SELECT event_id, user_id, value, CAST(floor(event_id / 50) AS BIGINT) AS slot FROM events)
+    SELECT event_id, first_value(value) OVER w AS first_v, last_value(value) OVER w AS last_v, nth_value(value, 2) OVER w AS second_v,
+      round(sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING), 6) AS near_rows,
+      round(sum(value) OVER (PARTITION BY user_id ORDER BY event_id RANGE BETWEEN 300 PRECEDING AND CURRENT ROW), 6) AS near_range,
+      round(sum(value) OVER (PARTITION BY user_id ORDER BY slot GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW), 6) AS near_groups
+    FROM e WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""")
 def q09c(spark, sf):
-    """Frames within an order, whose lines are few by nature."""
-    o = W.partitionBy("l_orderkey")
-    exact = o.orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    full = exact.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    li = table(spark, sf, "lineitem").withColumn("g", F.dense_rank().over(o.orderBy("l_linenumber")))
-    q = F.col("l_quantity")
-    return li.select("l_orderkey", "l_linenumber", "l_partkey", F.first(q).over(full).alias("first_q"), F.last(q).over(full).alias("last_q"),
-                     F.nth_value(q, 2).over(full).alias("second_q"), F.sum(q).over(exact.rowsBetween(-1, 1)).alias("near_rows"),
-                     F.sum(q).over(o.orderBy("l_linenumber").rangeBetween(-1, 0)).alias("near_range"),
-                     F.sum(q).over(o.orderBy("g").rangeBetween(-1, 0)).alias("near_groups"))
+    """ROWS, RANGE and GROUPS frames, and first, last and n-th values."""
+    e = table(spark, sf, "events").select("event_id", "user_id", "value", F.floor(F.col("event_id") / 50).cast("bigint").alias("slot"))
+    e = sequence.number_rows(e, "event_id", "rn", keys=["user_id"])
+    ends = e.groupBy("user_id").agg(F.min_by("value", "rn").alias("first_v"), F.max_by("value", "rn").alias("last_v"),
+                                    F.max(F.when(F.col("rn") == 2, F.col("value"))).alias("second_v"))
+    rows = sequence.rolling(e, ["user_id"], "rn", {"near_rows": F.sum("value")}, back=2, ahead=1)
+    both_frames = sequence.rolling(rows, ["user_id"], "event_id", {"near_range": F.sum("value")}, back=300)
+    groups = sequence.rank_rows(both_frames, ["user_id"], "slot", ties=["event_id"]).drop("row_number", "rank", "percent_rank", "cume_dist")
+    framed = sequence.rolling(groups, ["user_id"], "dense_rank", {"near_groups": F.sum("value")}, back=1)
+    return framed.join(ends, "user_id").select("event_id", "first_v", "last_v", "second_v", *[F.round(c, 6).alias(c) for c in ("near_rows", "near_range", "near_groups")])
 
 
 both("q10_cte", """
@@ -158,8 +156,8 @@ def q14b(spark, sf):
 
 
 both("q14_json_group", """
-    SELECT n_regionkey, to_json(sort_array(collect_list(n_name))) AS names FROM {nation} GROUP BY n_regionkey""",
-     """SELECT n_regionkey, '["' || string_agg(n_name, '","' ORDER BY n_name) || '"]' AS names FROM nation GROUP BY n_regionkey""")
+    SELECT o_custkey, to_json(sort_array(collect_set(o_orderpriority))) AS priorities FROM {orders} GROUP BY o_custkey""",
+     """SELECT o_custkey, '["' || string_agg(DISTINCT o_orderpriority, '","' ORDER BY o_orderpriority) || '"]' AS priorities FROM orders GROUP BY o_custkey""")
 both("q15_date_time", """
     SELECT o_orderkey, CAST(date_format(o_orderdate, 'yyyy-MM-dd') AS STRING) AS day, date_format(o_orderdate, 'yyyy/MM HH:mm') AS month, timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', o_orderdate) AS epoch,
            timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', o_orderdate) / 86400.0e0 + 2440587.5e0 AS julian, year(o_orderdate) AS y, dayofyear(o_orderdate) AS doy, CAST(date_add(o_orderdate, 30) AS STRING) AS later FROM {orders}""",
