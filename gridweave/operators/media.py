@@ -64,13 +64,14 @@ def image_size(content: Column, mime: Column) -> tuple[Column, Column]:
     webp = (mime == "image/webp") & hexed.startswith("52494646") & (F.substring(hexed, 17, 8) == "57454250")
     form = F.substring(hexed, 25, 8)
     lossy, lossless, extended = form == "56503820", (form == "5650384C") & (_byte(content, 20) == 0x2F), form == "56503858"
+    size = F.octet_length(content)
+    png, gif, webp = png & (size >= 24), gif & (size >= 10), webp & (size >= 30)
     packed = _little(content, 21, 2) + F.shiftleft(_little(content, 23, 2), 16)
-    long_enough = F.octet_length(content)
-    width = (F.when(png, _big(content, 16, 4)).when(gif & (long_enough >= 10), _little(content, 6, 2))
+    width = (F.when(png, _big(content, 16, 4)).when(gif, _little(content, 6, 2))
              .when(webp & lossy, _little(content, 26, 2).bitwiseAND(0x3FFF))
              .when(webp & lossless, packed.bitwiseAND(0x3FFF) + 1)
              .when(webp & extended, _little(content, 24, 3) + 1))
-    height = (F.when(png, _big(content, 20, 4)).when(gif & (long_enough >= 10), _little(content, 8, 2))
+    height = (F.when(png, _big(content, 20, 4)).when(gif, _little(content, 8, 2))
               .when(webp & lossy, _little(content, 28, 2).bitwiseAND(0x3FFF))
               .when(webp & lossless, F.shiftright(packed, 14).bitwiseAND(0x3FFF) + 1)
               .when(webp & extended, _little(content, 27, 3) + 1))
