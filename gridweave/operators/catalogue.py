@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cells, text
+from ..session import settle
 from ..model import RID, display_of, logical_of, user_fields
 from .rows import PAGE_LIMIT, contains_text
 from .sequence import number_rows, running
@@ -135,6 +136,8 @@ def register(files: DataFrame, order: str = "seq", catalogue: DataFrame | None =
     """
     have = set(files.columns)
     opt = {"mime": "string", "source": "string", "tags": "array<string>", "meta": "string"}
+    if catalogue is not None:
+        catalogue = settle(catalogue.select("id"), "used-ids")
     base = files.withColumns({c: F.lit(None).cast(t) for c, t in opt.items() if c not in have})
     given = F.when((F.lower(F.trim("mime")) != UNKNOWN_MIME) & (F.trim("mime") != ""), F.col("mime"))
     known = {m: e for e, m in reversed(EXTENSION_MIME.items())}
@@ -146,7 +149,9 @@ def register(files: DataFrame, order: str = "seq", catalogue: DataFrame | None =
         given.alias("_given"), sniff(F.col("content"), F.col("name")).alias("_kind"))
     named = F.when(file_extension(F.col("name")) != "", file_extension(F.col("name"))).otherwise("bin")
     ext = F.when(F.col("_given").isNotNull(), F.coalesce(_lookup(known, F.col("_given")), named)).otherwise(F.col("_kind.ext"))
-    out = facts.withColumns({"mime": F.coalesce("_given", "_kind.mime"), "ext": ext})
+    out = facts.withColumns({"mime": F.coalesce("_given", "_kind.mime"), "ext": ext}).drop("_given", "_kind")
+    if catalogue is not None:
+        out = settle(out, "facts")    # hashed and sniffed once, numbered from there
     return free_ids(out, order, catalogue).select("id", "sha256", "ext", "name", "mime", "size", "created_at",
                                                   "source", "tags", "meta", *passed)
 
@@ -289,7 +294,7 @@ def absorb_output_files(df: DataFrame, catalogue: DataFrame, listing: DataFrame,
     fresh = wanted.join(paths, "_path").select(
         F.col("_path").alias("path"), "content", F.element_at(F.split("_path", "/"), -1).alias("name"),
         F.lit(source).alias("source"), F.xxhash64("_path").alias("seq"))
-    registered = register(fresh, "seq", catalogue)
+    registered = settle(register(fresh, "seq", catalogue), "registered")    # ids must not change between uses
     new_ids = registered.select(F.col("path").alias("_path"), F.col("id").alias("_new"))
     done = looked.join(new_ids, looked["_item"] == new_ids["_path"], "left").withColumn(
         "_out", F.coalesce("_known", "_new", "_raw"))

@@ -22,16 +22,25 @@ BLOCK = "_block"
 KEY = "_key"
 
 
-def block_bounds(df: DataFrame, order: str, blocks: int | None = None) -> list[float]:
+# Up to this many cut points a tree of comparisons is compiled; beyond, the cut points are searched.
+TREE_LIMIT = 255
+# Without keys there is one group per block, and several blocks per task even out their placement.
+BLOCKS_PER_TASK = 4
+
+
+def block_bounds(df: DataFrame, order: str, blocks: int | None = None, keyed: bool = True) -> list[float]:
     """Cut points for the order column: at most ``blocks`` numbers, from one pass over that column."""
-    n = blocks or shuffle_width(df.sparkSession)
+    width = shuffle_width(df.sparkSession)
+    n = blocks or (width if keyed else min(8192, width * BLOCKS_PER_TASK))
     probs = [i / n for i in range(1, n)]
-    found = df.agg(F.percentile_approx(F.col(order), probs, 1000 if n <= 100 else 10 * n).alias("q")).first()["q"]
+    found = df.agg(F.percentile_approx(F.col(order), probs, max(1000, 10 * n)).alias("q")).first()["q"]
     return sorted(set(found or []))
 
 
 def block_of(c: Column, bounds: Sequence[float]) -> Column:
-    """The number of cut points below the value, found by a balanced tree of comparisons."""
+    """The number of cut points below the value: a balanced tree of comparisons, or a binary search."""
+    if len(bounds) > TREE_LIMIT:
+        return _search(c, bounds)
     def tree(lo: int, hi: int) -> Column:
         if lo == hi:
             return F.lit(lo)
@@ -40,6 +49,13 @@ def block_of(c: Column, bounds: Sequence[float]) -> Column:
     return tree(0, len(bounds))
 
 
+def _search(c: Column, bounds: Sequence[float]) -> Column:
+    points = F.array(*[F.lit(b) for b in bounds])
+    steps = [1 << k for k in reversed(range(len(bounds).bit_length()))]
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda at, step: F.when(
+        F.coalesce(F.get(points, at + step - 1) < c, F.lit(False)), at + step).otherwise(at))
+
+
 class _Cut:
     """A table cut into order blocks, its key columns packed into one struct.
 
@@ -52,7 +68,7 @@ class _Cut:
         if not isinstance(df.schema[order].dataType, T.NumericType):
             raise TypeError(f"{order} must be numeric to be cut into blocks")
         self.columns, self.keys, self.order = df.columns, list(keys), order
-        self.bounds = block_bounds(df, order, blocks) if bounds is None else list(bounds)
+        self.bounds = block_bounds(df, order, blocks, bool(keys)) if bounds is None else list(bounds)
         self.by = [KEY, BLOCK] if keys else [BLOCK]
         self.per_key = W.partitionBy(KEY) if keys else W.partitionBy(F.lit(0))
         packed = [F.struct(*keys).alias(KEY)] if keys else []
@@ -83,7 +99,7 @@ def running(df: DataFrame, keys: Sequence[str], order: str, sums: Mapping[str, C
     """
     names = list(sums)
     valued = df.select("*", *[c.alias(f"_v_{n}") for n, c in sums.items()])
-    cut = _Cut(valued, keys, order, blocks, bounds if bounds is not None else block_bounds(df, order, blocks))
+    cut = _Cut(valued, keys, order, blocks, bounds if bounds is not None else block_bounds(df, order, blocks, bool(keys)))
     totals = cut.rows.groupBy(*cut.by).agg(*[F.sum(f"_v_{n}").alias(f"_c_{n}") for n in names])
     before = cut.before(totals, [f"_c_{n}" for n in names], reverse)
     w = cut.window(reverse, ties).rowsBetween(W.unboundedPreceding, W.currentRow)

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from ..functions import cells
 from ..model import (RESCUED, RID, SPARK_TYPE, display_of, find_field, key_fields, logical_of, rescue_map,
                      sanitize_columns, tagged, user_fields)
+from ..session import settle
 from .sequence import number_rows
 
 
@@ -85,11 +86,12 @@ def append(base: DataFrame, incoming: DataFrame, keys: Sequence[str] | None = No
         fresh = fresh.select(*[F.col(c).alias(c, metadata=batch.schema[c].metadata) for c in fresh.columns])
     else:
         fresh = batch
-    counts = fresh.agg(F.count("*").alias("inserted")).withColumn(
-        "skipped", incoming.select(F.count("*").alias("n")).scalar() - F.col("inserted"))
     if RID in base.columns and renumber:
+        fresh = settle(fresh, "append")     # numbering reads the new rows more than once
         last = base.agg(F.coalesce(F.max(RID), F.lit(0)).alias("m")).scalar()
         fresh = number_rows(fresh, order, RID).withColumn(RID, F.col(RID) + last)
+    counts = fresh.agg(F.count("*").alias("inserted")).withColumn(
+        "skipped", incoming.select(F.count("*").alias("n")).scalar() - F.col("inserted"))
     added = fresh.drop(order)
     return Append(base.unionByName(added, allowMissingColumns=True), added, counts)
 

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str | int = 8, app: str = "gridweave", memory: str = "16g") -> SparkSession:
@@ -45,6 +45,17 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return os.path.join(root, f"{purpose}-{uuid.uuid4().hex}")
 
 
-def shuffle_width(spark: SparkSession, most: int = 512) -> int:
+def settle(df: DataFrame, purpose: str) -> DataFrame:
+    """Write an intermediate result to the shared folder once and go on from there.
+
+    For results that several passes read: they are not computed again, and every pass sees the same
+    rows even when executors are lost in between.
+    """
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shuffle_width(spark: SparkSession, most: int = 8192) -> int:
     """How many order blocks to cut data into: one per shuffle partition, with a fixed upper bound."""
     return max(2, min(most, int(spark.conf.get("spark.sql.shuffle.partitions", "200"))))

@@ -95,6 +95,13 @@ def test_rolling(spark):
             assert got[(key, r[1])] == sum(x[3] for x in group if r[1] - 40 <= x[1] <= r[1] + 7)
 
 
+def test_search_equals_tree(spark):
+    bounds = [float(i * 7) for i in range(600)]
+    df = spark.range(-5, 4300).select((F.col("id") * 1.0).alias("x"))
+    bad = df.where(seq.block_of(F.col("x"), bounds) != F.greatest(F.lit(0), F.least(F.lit(600), F.ceil(F.col("x") / 7).cast("int"))))
+    assert bad.count() == 0
+
+
 def test_only_block_totals_meet_in_one_partition(spark):
     """The single-partition window runs over one row per block, not over the rows."""
     df, _ = make(spark)

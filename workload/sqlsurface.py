@@ -129,10 +129,18 @@ def q09c(spark, sf):
 both("q10_cte", """
     WITH big AS (SELECT o_custkey, count(*) AS n FROM {orders} GROUP BY o_custkey HAVING count(*) > 12), named AS (SELECT c_name, n FROM big JOIN {customer} ON c_custkey = o_custkey)
     SELECT c_name, n FROM named""")
-both("q10_recursive_cte", """
+RECURSIVE = """
     WITH RECURSIVE chain(page_id, url, depth) AS (SELECT page_id, url, 0 FROM {pages} WHERE page_id % 10 = 0
       UNION ALL SELECT p.page_id, p.url, c.depth + 1 FROM chain c JOIN {pages} p ON p.page_id = c.page_id + 1 WHERE c.depth < 4)
-    SELECT page_id, url, depth FROM chain""")
+    SELECT page_id, url, depth FROM chain"""
+
+
+@query("q10_recursive_cte", RECURSIVE.replace("{pages}", "pages"))
+def q10(spark, sf):
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")   # the default stops at a million rows
+    return sql(spark, sf, RECURSIVE)
+
+
 both("q11_set_operations", """
     SELECT n_nationkey AS k FROM {nation} EXCEPT (SELECT c_nationkey FROM {customer} WHERE c_acctbal > 9000 AND c_nationkey % 3 = 0 INTERSECT SELECT s_nationkey FROM {supplier})""")
 both("q12_order_limit_offset_distinct", "SELECT DISTINCT p_brand, p_type FROM {part} ORDER BY p_brand, p_type LIMIT 40 OFFSET 5")
