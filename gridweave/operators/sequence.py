@@ -56,11 +56,16 @@ def _search(c: Column, bounds: Sequence[float]) -> Column:
         F.coalesce(F.get(points, at + step - 1) < c, F.lit(False)), at + step).otherwise(at))
 
 
+# Block numbers of rows whose key is NULL start here, so such a row needs no NULL to be told apart.
+NULL_BLOCKS = 1 << 20
+
+
 class _Cut:
-    """A table cut into order blocks, its key columns packed into one struct.
+    """A table cut into order blocks, with one non-NULL key column that plain equality can join on.
 
-    A struct compares field by field with NULL equal to NULL, so one plain equality serves grouping,
-    joining and windows alike, and a shuffle on (key, block) made for the join also serves the window.
+    A single integer or text key is used as it is, NULL being replaced by a stand-in whose blocks are
+    numbered apart; other keys are packed into a struct, which compares field by field with NULL equal
+    to NULL. A shuffle on (key, block) made for the join thus also serves the window.
     """
 
     def __init__(self, df: DataFrame, keys: Sequence[str], order: str, blocks: int | None,
@@ -69,11 +74,28 @@ class _Cut:
             raise TypeError(f"{order} must be numeric to be cut into blocks")
         self.columns, self.keys, self.order = df.columns, list(keys), order
         self.bounds = block_bounds(df, order, blocks, bool(keys)) if bounds is None else list(bounds)
+        kind = df.schema[keys[0]].dataType if len(self.keys) == 1 else None
+        self.plain = isinstance(kind, (T.IntegralType, T.StringType))
         self.by = [KEY, BLOCK] if keys else [BLOCK]
-        self.per_key = W.partitionBy(KEY) if keys else W.partitionBy(F.lit(0))
-        packed = [F.struct(*keys).alias(KEY)] if keys else []
+        packed, self.apart = [], F.lit(0)
+        if self.plain:
+            k = F.col(keys[0])
+            packed = [F.coalesce(k, F.lit("" if isinstance(kind, T.StringType) else 0).cast(kind)).alias(KEY)]
+            self.apart = F.when(k.isNull(), NULL_BLOCKS).otherwise(0)
+        elif keys:
+            packed = [F.struct(*keys).alias(KEY)]
         kept = [c for c in df.columns if c not in self.keys or c == order]
-        self.rows = df.select(*packed, *kept, block_of(F.col(order), self.bounds).alias(BLOCK))
+        self.rows = df.select(*packed, *kept, self.block(F.col(order)).alias(BLOCK))
+        parts = [F.col(KEY), F.col(BLOCK) >= NULL_BLOCKS] if self.plain else [F.col(KEY)]
+        self.per_key = W.partitionBy(*parts) if keys else W.partitionBy(F.lit(0))
+
+    def block(self, c: Column) -> Column:
+        return block_of(c, self.bounds) + self.apart
+
+    def key(self, name: str) -> Column:
+        if self.plain:
+            return F.when(F.col(BLOCK) < NULL_BLOCKS, F.col(KEY)).alias(name)
+        return F.col(KEY)[name].alias(name)
 
     def window(self, reverse: bool = False, ties: Sequence[str] = ()):
         cols = [F.col(c) for c in [self.order, *ties]]
@@ -85,7 +107,7 @@ class _Cut:
         return totals.select(*self.by, *[F.coalesce(F.sum(n).over(w), F.lit(0)).alias(n) for n in names])
 
     def unpack(self, df: DataFrame, *new: str) -> DataFrame:
-        return df.select(*[F.col(KEY)[c].alias(c) if c in self.keys and c != self.order else F.col(c) for c in self.columns], *new)
+        return df.select(*[self.key(c) if c in self.keys and c != self.order else F.col(c) for c in self.columns], *new)
 
 
 def running(df: DataFrame, keys: Sequence[str], order: str, sums: Mapping[str, Column],
@@ -206,8 +228,10 @@ def rolling(df: DataFrame, keys: Sequence[str], order: str, aggs: Mapping[str, C
     frame. ``aggs`` are aggregate expressions such as ``F.sum("x")``.
     """
     cut = _Cut(df, keys, order, blocks, None)
-    first, last = block_of(F.col(order) - ahead, cut.bounds), block_of(F.col(order) + back, cut.bounds)
-    spread = cut.rows.withColumnRenamed(BLOCK, "_home").withColumn(BLOCK, F.explode(F.sequence(first, last)))
+    apart = F.when(F.col(BLOCK) >= NULL_BLOCKS, NULL_BLOCKS).otherwise(0)
+    first, last = (block_of(F.col(order) + shift, cut.bounds) + apart for shift in (-ahead, back))
+    spread = (cut.rows.withColumns({"_home": F.col(BLOCK), "_reach": F.sequence(first, last)}).drop(BLOCK)
+              .withColumn(BLOCK, F.explode("_reach")).drop("_reach"))
     w = W.partitionBy(*cut.by).orderBy(order).rangeBetween(-back, ahead)
     out = spread.withColumns({n: c.over(w) for n, c in aggs.items()}).where(F.col(BLOCK) == F.col("_home"))
     return cut.unpack(out, *aggs)

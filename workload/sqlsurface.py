@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gridweave.functions.regexes import register_sql
 from gridweave.operators import reshape, sequence
 from gridweave.operators.ranges import band_join
+from gridweave.session import settle
 
 from . import derived, query, table
 
@@ -116,12 +117,12 @@ def q09b(spark, sf):
 def q09c(spark, sf):
     """ROWS, RANGE and GROUPS frames, and first, last and n-th values."""
     e = table(spark, sf, "events").select("event_id", "user_id", "value", F.floor(F.col("event_id") / 50).cast("bigint").alias("slot"))
-    e = sequence.number_rows(e, "event_id", "rn", keys=["user_id"])
+    e = settle(sequence.number_rows(e, "event_id", "rn", keys=["user_id"]), "numbered")
     ends = e.groupBy("user_id").agg(F.min_by("value", "rn").alias("first_v"), F.max_by("value", "rn").alias("last_v"),
                                     F.max(F.when(F.col("rn") == 2, F.col("value"))).alias("second_v"))
     rows = sequence.rolling(e, ["user_id"], "rn", {"near_rows": F.sum("value")}, back=2, ahead=1)
     both_frames = sequence.rolling(rows, ["user_id"], "event_id", {"near_range": F.sum("value")}, back=300)
-    groups = sequence.rank_rows(both_frames, ["user_id"], "slot", ties=["event_id"]).drop("row_number", "rank", "percent_rank", "cume_dist")
+    groups = settle(sequence.rank_rows(both_frames, ["user_id"], "slot", ties=["event_id"]).drop("row_number", "rank", "percent_rank", "cume_dist"), "ranked")
     framed = sequence.rolling(groups, ["user_id"], "dense_rank", {"near_groups": F.sum("value")}, back=1)
     return framed.join(ends, "user_id").select("event_id", "first_v", "last_v", "second_v", *[F.round(c, 6).alias(c) for c in ("near_rows", "near_range", "near_groups")])
 
