@@ -47,6 +47,7 @@ class _Nodes(HTMLParser):
         self.rows: list[dict] = []
         self.open: list[dict] = []
         self.hidden: list[str] = []
+        self.pieces: list[str] = []     # all text in order; an element's text is a slice of it
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if self.hidden:
@@ -64,7 +65,7 @@ class _Nodes(HTMLParser):
             above["children"] += 1
         node = {"seq": len(self.rows), "depth": len(self.open), "parent": above["seq"] if above else -1, "tag": tag,
                 "child": above["children"] if above else 1, "cls": (values.get("class") or "").strip(),
-                "attrs": values, "own": [], "text": [], "last": len(self.rows), "children": 0,
+                "attrs": values, "own": [], "from": len(self.pieces), "to": len(self.pieces), "last": len(self.rows), "children": 0,
                 "up": [n["seq"] for n in self.open]}
         self.rows.append(node)
         if tag not in VOID:
@@ -98,20 +99,21 @@ class _Nodes(HTMLParser):
 
     def _close(self) -> dict:
         node = self.open.pop()
-        node["last"] = len(self.rows) - 1
+        node["last"], node["to"] = len(self.rows) - 1, len(self.pieces)
         return node
 
     def handle_data(self, data: str) -> None:
         if self.hidden or not self.open:
             return
         self.open[-1]["own"].append(data)
-        for node in self.open:
-            node["text"].append(data)
+        self.pieces.append(data)
 
     def finish(self) -> list[dict]:
         self.close()
         while self.open:
             self._close()
+        for node in self.rows:
+            node["text"] = " ".join("".join(self.pieces[node["from"]:node["to"]]).split())
         return self.rows
 
 
@@ -137,7 +139,7 @@ def _explode_pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for n in parse_nodes(html):
                 rows.append((page_id, n["seq"], n["last"], n["depth"], n["parent"], n["child"], "element", n["tag"],
                              n["cls"], n["attrs"], " ".join("".join(n["own"]).split()),
-                             " ".join("".join(n["text"]).split()), n["attrs"].get("role") or "", n["up"]))
+                             n["text"], n["attrs"].get("role") or "", n["up"]))
             if len(rows) >= FLUSH_ROWS:
                 yield _frame(rows)
                 rows = []
