@@ -289,7 +289,7 @@ lengths AS (SELECT DISTINCT len(span) AS n FROM windows),
 spots AS (SELECT row, n, i, words[i + 1:i + n] AS span FROM (
     SELECT row, words, n, unnest(range(len(words) - n + 1)) AS i FROM docs, lengths WHERE len(words) >= n)),
 hits AS (SELECT s.row, s.i, s.n, w.item_id FROM spots s JOIN windows w ON s.span = w.span),
-hit_words AS (SELECT row, count(DISTINCT at) AS n FROM (SELECT row, unnest(range(i, i + n)) AS at FROM hits) GROUP BY row),
+hit_words AS (SELECT row, count(DISTINCT pos) AS n FROM (SELECT row, unnest(range(i, i + n)) AS pos FROM hits) GROUP BY row),
 hit_items AS (SELECT row, count(DISTINCT item_id) AS n, array_to_string(list_sort(list(DISTINCT item_id::VARCHAR)), ',') AS ids
     FROM hits GROUP BY row)
 SELECT d.doc_id, len(d.words)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit, coalesce(i.n, 0)::BIGINT AS n_items,
