@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ["shards", "licences", "bpe", "tokenfile", "decontaminate", "language", "quality"]
+MODULES = ["shards", "licences", "bpe", "tokenfile", "decontaminate", "language", "quality", "tokencount"]
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
