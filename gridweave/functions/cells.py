@@ -26,10 +26,20 @@ def squeeze(c: Column) -> Column:
 
 
 def number_to_text(c: Column) -> Column:
-    """Whole numbers print without a fraction."""
+    """Plain digits at every size: whole numbers without a fraction, no exponents."""
     d = c.cast("double")
-    whole = (d == F.floor(d)) & (F.abs(d) < F.lit(1e15))
-    return F.when(whole, d.cast("bigint").cast("string")).otherwise(d.cast("string"))
+    whole = (d == F.floor(d)) & (F.abs(d) < F.lit(9e18))
+    short = d.cast("string")
+
+    def part(i: int) -> Column:
+        return F.regexp_extract(short, r"^(-?)(\d)\.(\d+)E(-?\d+)$", i)
+
+    shift, rest = part(4).try_cast("int"), F.regexp_replace(part(3), "^0$", "")
+    wide = (F.when(shift < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -shift - 1), part(2), rest))
+            .when(shift >= F.length(rest), F.concat(part(2), F.rpad(rest, shift, "0")))
+            .otherwise(F.concat(part(2), F.substring(rest, F.lit(1), shift), F.lit("."), F.substring(rest, shift + 1, F.length(rest)))))
+    return (F.when(whole, d.cast("bigint").cast("string"))
+            .when(shift.isNotNull(), F.concat(part(1), wide)).otherwise(short))
 
 
 def text_of(c: Column, dtype: T.DataType) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import cells, text
 from ..session import settle
 from ..model import RID, display_of, logical_of, user_fields
-from .rows import PAGE_LIMIT, contains_text
+from .rows import contains_text
 from .sequence import number_rows, running
 
 UNKNOWN_MIME = "application/octet-stream"
@@ -89,9 +89,12 @@ def sniff(content: Column, name: Column) -> Column:
         return F.struct(mime.alias("mime"), e.alias("ext"))
 
     webp = hexed.startswith("52494646") & (F.substring(hexed, 17, 8) == "57454250")
-    # the text test allows a character cut at the 64th byte
-    whole = [F.try_validate_utf8(F.substring(content, 1, n)).isNotNull() for n in (64, 63, 62, 61)]
-    is_text = whole[0] | ((F.octet_length(content) > 64) & (whole[1] | whole[2] | whole[3]))
+    # the text test allows a character cut at the 64th byte: what is left over must begin one
+    whole = F.try_validate_utf8(F.substring(content, 1, 64)).isNotNull()
+    begun = {63: "^(C[2-9A-F]|[D-E].|F[0-4])$", 62: "^(E.|F[0-4])[89AB].$", 61: "^F[0-4][89AB].[89AB].$"}
+    cut = [F.try_validate_utf8(F.substring(content, 1, n)).isNotNull() & F.hex(F.substring(content, n + 1, 64 - n)).rlike(p)
+           for n, p in begun.items()]
+    is_text = whole | ((F.octet_length(content) > 64) & (cut[0] | cut[1] | cut[2]))
     lowered = F.lower(F.decode(F.substring(content, 1, 32), "ISO-8859-1"))
     html = reduce(lambda a, b: a | b, [lowered.startswith(p) for p in HTML_STARTS])
     out = F.when(webp, kind(F.lit("image/webp"), F.lit("webp")))
@@ -107,7 +110,7 @@ def sniff(content: Column, name: Column) -> Column:
 
 
 def free_ids(rows: DataFrame, order: str, catalogue: DataFrame | None = None) -> DataFrame:
-    """Give rows 8-hex-digit ids that are unique and unused: the n-th row takes the n-th free number.
+    """Give rows ids of 8 or more hex digits that are unique and unused: the n-th row takes the n-th free number.
 
     The n-th free number is n plus the count of used numbers before it. A used number with ``free``
     unused ones below it counts for every n above ``free``, so one running count over both lists
@@ -124,7 +127,8 @@ def free_ids(rows: DataFrame, order: str, catalogue: DataFrame | None = None) ->
         counted = running(asks.unionByName(marks), [], "_n", {"_before": 1 - F.col("_new")}, ties=["_new", "_tie"])
         slots = numbered.join(counted.where("_new = 1").select("_n", "_before"), "_n").withColumn(
             "_slot", F.col("_n") + F.col("_before"))
-    return slots.withColumn("id", F.lower(F.lpad(F.hex("_slot"), 8, "0"))).drop("_n", "_slot", "_before")
+    hexed = F.lower(F.hex("_slot"))    # beyond 2^32 files ids grow longer, they are never cut
+    return slots.withColumn("id", F.lpad(hexed, F.greatest(F.length(hexed), F.lit(8)), "0")).drop("_n", "_slot", "_before")
 
 
 def register(files: DataFrame, order: str = "seq", catalogue: DataFrame | None = None) -> DataFrame:
@@ -191,10 +195,10 @@ def list_files(catalogue: DataFrame, limit: int = 200, offset: int = 0, **filter
     hits = catalogue.where(list_condition(**filters))
     total = hits.select(F.count("*").alias("n")).scalar()
     return (hits.orderBy(F.col("created_at").desc(), "id").offset(max(0, offset))
-            .limit(max(1, min(limit, PAGE_LIMIT))).withColumn("total", total))
+            .limit(max(1, limit)).withColumn("total", total))
 
 
-def search_files(catalogue: DataFrame, needle: str, limit: int | None = 50) -> DataFrame:
+def search_files(catalogue: DataFrame, needle: str, limit: int | None = None) -> DataFrame:
     """Files whose name or any tag contains the text, newest first."""
     q = needle.strip().lower()
     if not q:
@@ -323,7 +327,7 @@ def delete_files(catalogue: DataFrame, wanted: DataFrame, used: DataFrame) -> di
     return {"catalogue": left, "refused": refused.select("id", "uses"), "orphans": orphans}
 
 
-def view_text(df: DataFrame, max_bytes: int | None = 200_000) -> DataFrame:
+def view_text(df: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """Text of textual files (``content, mime``), NULL for others; a marker follows when it was cut."""
     content = F.col("content")
     if max_bytes is None:

@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.regexes import re_extract
-from ..functions.text import clip_line
+from ..functions.text import one_line
 
 NODE_SCHEMA = ("page_id bigint, seq int, last int, depth int, parent int, child int, kind string, tag string, "
                "cls string, attrs map<string,string>, own string, text string, role string, up array<int>")
@@ -170,7 +170,7 @@ def accessible_name() -> Column:
                                                       filled(attr("placeholder")), filled(attr("name")))
                   ).when(F.col("tag") == "textarea", F.coalesce(filled(attr("placeholder")), filled(attr("name")))
                          ).when(F.col("tag") == "img", filled(attr("alt")))
-    return clip_line(F.coalesce(filled(attr("aria-label")), hint, filled(attr("title")), F.col("text"), F.lit("")), 140)
+    return one_line(F.coalesce(filled(attr("aria-label")), hint, filled(attr("title")), F.col("text"), F.lit("")))
 
 
 def snapshot(nodes: DataFrame, max_nodes: int | None = None) -> DataFrame:
@@ -186,8 +186,8 @@ def snapshot(nodes: DataFrame, max_nodes: int | None = None) -> DataFrame:
     outer = marked.where(F.col("_reach").isNull() | (F.col("_reach") < F.col("seq")))
     shown = outer.where(F.col("control") | (F.length("own") > 1)).withColumns({
         "index": F.when(F.col("control"), F.count(F.when(F.col("control"), 1)).over(w) - 1).cast("int"),
-        "name": F.when(F.col("control"), accessible_name()).otherwise(clip_line(F.col("own"), 200)),
-        "href": F.when(F.col("tag") == "a", clip_line(attr("href"), 90))})
+        "name": F.when(F.col("control"), accessible_name()).otherwise(one_line(F.col("own"))),
+        "href": F.when(F.col("tag") == "a", one_line(attr("href")))})
     out = shown.select("page_id", "seq", "depth", "tag", "control", "index", "name", "href", "attrs")
     return out if max_nodes is None else out.where(F.col("index").isNull() | (F.col("index") < max_nodes))
 
@@ -209,9 +209,19 @@ SHOWN_ATTRS = ["type", "role", "href", "value", "placeholder", "aria-expanded",
 SHOWN_FLAGS = ["checked", "disabled"]
 
 
-def page_outline(nodes: DataFrame, dedup: bool = False, max_chars: int | None = 14_000) -> DataFrame:
-    """One text per page from its snapshot; runs of look-alike controls can be collapsed into one line."""
-    shown = [F.when(attr(a).isNotNull() & (attr(a) != ""), F.concat(F.lit(f' {a.removeprefix("aria-")}="'), clip_line(attr(a), 90), F.lit('"')))
+def page_outline(nodes: DataFrame, dedup: bool = False, max_chars: int | None = None,
+                 attr_chars: int | None = None) -> DataFrame:
+    """One text per page from its snapshot; runs of look-alike controls can be collapsed into one line.
+
+    Cuts are made only when asked for. What a password field holds is left out.
+    """
+    def value(a: str) -> Column:
+        shown = one_line(attr(a))
+        if attr_chars is not None:
+            shown = F.when(F.length(shown) > attr_chars, F.concat(F.substring(shown, 1, attr_chars), F.lit("…"))).otherwise(shown)
+        return F.when(F.lower(F.coalesce(attr("type"), F.lit(""))) != "password", shown) if a == "value" else shown
+
+    shown = [F.when(value(a).isNotNull() & (attr(a) != ""), F.concat(F.lit(f' {a.removeprefix("aria-")}="'), value(a), F.lit('"')))
              for a in SHOWN_ATTRS]
     shown += [F.when(attr(a).isNotNull(), F.lit(f" {a}")) for a in SHOWN_FLAGS]
     body = F.when(F.col("name") != "", F.concat(F.lit(" "), F.col("name"))).otherwise("")
@@ -265,12 +275,12 @@ def selector(css: str) -> Column:
     return F.coalesce(cond, F.lit(False))
 
 
-def _cut(c: Column, n: int = 2000) -> Column:
-    return F.when(F.length(c) > n, F.concat(F.substring(c, 1, n), F.lit("…"))).otherwise(c)
+def _cut(c: Column, n: int | None) -> Column:
+    return c if n is None else F.when(F.length(c) > n, F.concat(F.substring(c, 1, n), F.lit("…"))).otherwise(c)
 
 
 def extract_records(nodes: DataFrame, container: str, fields: Mapping[str, str] | None = None,
-                    limit: int | None = None) -> DataFrame:
+                    limit: int | None = None, max_chars: int | None = None) -> DataFrame:
     """One row per container element, one column per field.
 
     A field is ``text`` (the container's own text), a selector (text of its first match inside),
@@ -283,16 +293,19 @@ def extract_records(nodes: DataFrame, container: str, fields: Mapping[str, str]
     cols, inside = {}, {}
     for name, spec in fields.items():
         if spec in ("", "text"):
-            cols[name] = _cut(F.col("_box.text"))
+            cols[name] = _cut(F.col("_box.text"), max_chars)
         elif spec.startswith("regex:"):
             pattern = spec[6:]
-            cols[name] = re_extract(F.col("_box.text"), pattern, 1 if re.compile(pattern).groups else 0)
+            whole = re_extract(F.col("_box.text"), pattern)
+            # the whole match where the group took no part in it
+            first = re_extract(F.col("_box.text"), pattern, 1)
+            cols[name] = F.coalesce(F.when(first != "", first), whole) if re.compile(pattern).groups else whole
         elif spec.startswith("@"):
-            cols[name] = _cut(F.try_element_at("_box.attrs", F.lit(spec[1:])))
+            cols[name] = _cut(F.try_element_at("_box.attrs", F.lit(spec[1:])), max_chars)
         else:
             css, _, wanted = spec.partition("@")
             inside[name] = (selector(css), F.struct((attr(wanted) if wanted else F.col("text")).alias("v")))
-            cols[name] = _cut(F.col(f"_f_{name}.v"))
+            cols[name] = _cut(F.col(f"_f_{name}.v"), max_chars)
     any_hit = reduce(lambda a, b: a | b, [hit for hit, _ in inside.values()], F.lit(False))
     none = F.array().cast("array<int>")
     # a box reports to itself, a field hit to every element around it

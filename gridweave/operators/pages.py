@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 from collections.abc import Sequence
+from html.entities import html5
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -19,18 +20,26 @@ HOST_PATTERN = r"(?i)^[a-z0-9-]+(\.[a-z0-9-]+)+$"
 ENGINE_HOST = r"(?i)(^|\.)google\.[a-z.]+$"
 TITLE_PATTERN = r"(?is)<title[^>]*>(.*?)</title>"
 
-# The character references that occur in titles besides numeric ones.
-ENTITIES = ["lt", "gt", "quot", "apos", "nbsp", "copy", "reg", "middot", "hellip", "ndash", "mdash", "laquo", "raquo",
-            "lsquo", "rsquo", "ldquo", "rdquo", "euro", "agrave", "egrave", "eacute", "iacute", "oacute", "uacute",
-            "ntilde", "ccedil", "auml", "ouml", "uuml", "szlig"]
+# Named references and, as browsers read them, the numbers 128 to 159: both from the standard library's tables.
+REFERENCES = {name[:-1]: value for name, value in html5.items() if name.endswith(";")}
+REFERENCES |= {f"#{n}": html.unescape(f"&#{n};") for n in range(128, 160)}
+REFERENCE = r"^&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
 
 
 def unescape_html(c: Column) -> Column:
-    """Resolve the common named references; ``&amp;`` last, so nothing is resolved twice."""
-    for name in ENTITIES:
-        c = F.replace(c, F.lit(f"&{name};"), F.lit(html.unescape(f"&{name};")))
-    c = F.replace(c, F.lit("&#39;"), F.lit("'"))
-    return F.replace(c, F.lit("&amp;"), F.lit("&"))
+    """Resolve character references, named and numeric, once; what is none stays as it is."""
+    known = F.create_map(*[F.lit(x) for pair in REFERENCES.items() for x in pair])
+
+    def resolve(piece: Column) -> Column:
+        name = F.regexp_extract(piece, REFERENCE, 1)
+        digits = F.regexp_extract(name, "^#[xX]?([0-9a-fA-F]+)$", 1)
+        number = F.when(name.rlike("^#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).try_cast("int")
+        number = F.when((number < 1) | (number > 0x10FFFF) | number.between(0xD800, 0xDFFF), 0xFFFD).otherwise(number)
+        letter = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+        value = F.coalesce(F.try_element_at(known, name), F.when(name.startswith("#"), letter))
+        return F.when(value.isNotNull(), F.concat(value, F.substring(piece, F.length(name) + 3, F.length(piece)))).otherwise(piece)
+
+    return F.when(F.contains(c, F.lit("&")), F.array_join(F.transform(F.split(c, "(?=&)"), resolve), "")).otherwise(c)
 
 
 def with_scheme(url: Column) -> Column:

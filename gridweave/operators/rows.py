@@ -12,7 +12,8 @@ from ..functions import cells
 from ..model import RESCUED, RID, display_of, find_field, user_fields
 from .sequence import keep_newest
 
-PAGE_LIMIT = 5000
+#: Rows of a result preview where no number is given.
+PREVIEW_ROWS = 5000
 
 
 def contains_text(c: Column, term: str) -> Column:
@@ -71,14 +72,14 @@ def mixed_sort(df: DataFrame, column: str, direction: str = "asc", tie: str = RI
 
 def page(df: DataFrame, limit: int = 200, offset: int = 0, column: str | None = None, direction: str = "asc",
          tie: str = RID) -> DataFrame:
-    """One page of at most 5000 rows. Shallow pages only; walk deep ones with :func:`page_after`."""
-    limit, offset = max(1, min(limit, PAGE_LIMIT)), max(0, offset)
+    """One page of ``limit`` rows. Shallow pages only; walk deep ones with :func:`page_after`."""
+    limit, offset = max(1, limit), max(0, offset)
     return sort_rows(df, column, direction, tie).offset(offset).limit(limit)
 
 
 def page_after(df: DataFrame, last_rid: int, limit: int = 200, tie: str = RID) -> DataFrame:
     """The page following a known row id: a pushed-down filter, so cost does not grow with depth."""
-    return df.where(F.col(tie) > last_rid).orderBy(tie).limit(max(1, min(limit, PAGE_LIMIT)))
+    return df.where(F.col(tie) > last_rid).orderBy(tie).limit(max(1, limit))
 
 
 def page_with_total(df: DataFrame, term: str = "", **paging) -> DataFrame:
@@ -97,7 +98,7 @@ def tail(df: DataFrame, keys: list[str], order: str, n: int, ties: list[str] = (
     return keep_newest(df, keys, order, n, ties=ties)
 
 
-def result_preview(df: DataFrame, n: int = PAGE_LIMIT, tie: str = RID) -> tuple[DataFrame, DataFrame]:
+def result_preview(df: DataFrame, n: int = PREVIEW_ROWS, tie: str = RID) -> tuple[DataFrame, DataFrame]:
     """The first rows of a result, and a one-row DataFrame with its columns and full row count."""
     names = ",".join(display_of(f) for f in user_fields(df))
     return df.orderBy(tie).limit(n), df.agg(F.count("*").alias("row_count")).withColumn("columns", F.lit(names))

@@ -12,7 +12,6 @@ from .writes import Append, append
 
 TERMINAL = ["succeeded", "failed", "canceled"]
 ACTIVE = ["starting", "running", "controlled"]
-LOG_LINES = 600
 TIMEOUT_RANGE = (30, 24 * 3600)
 DEFAULT_TIMEOUT = 3600
 
@@ -72,7 +71,7 @@ def run_state(folded: DataFrame, exits: DataFrame | None = None) -> DataFrame:
     return out.select("run_id", "status", "collected", "total", "message", "last_url", "csv", "rows", "error", "log_lines")
 
 
-def log_lines(events: DataFrame, newest: int | None = LOG_LINES) -> DataFrame:
+def log_lines(events: DataFrame, newest: int | None = None) -> DataFrame:
     """Progress and log events as log lines; the newest ones per run."""
     progress = F.concat(F.lit("[progress] "), F.col("collected").cast("string"), F.lit("/"),
                         F.col("total").cast("string"), F.lit(" "), F.col("message"))

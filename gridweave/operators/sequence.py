@@ -38,7 +38,8 @@ def block_bounds(df: DataFrame, order: str, blocks: int | None = None, keyed: bo
 
 
 def block_of(c: Column, bounds: Sequence[float]) -> Column:
-    """The number of cut points below the value: a balanced tree of comparisons, or a binary search."""
+    """The number of cut points below the value (0 for NULL, which sorts first): a balanced tree of comparisons,
+    or a binary search."""
     if len(bounds) > TREE_LIMIT:
         return _search(c, bounds)
     def tree(lo: int, hi: int) -> Column:
@@ -46,7 +47,7 @@ def block_of(c: Column, bounds: Sequence[float]) -> Column:
             return F.lit(lo)
         mid = (lo + hi) // 2
         return F.when(c <= F.lit(bounds[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
-    return tree(0, len(bounds))
+    return F.when(c.isNull(), 0).otherwise(tree(0, len(bounds))) if len(bounds) else F.lit(0)
 
 
 def _search(c: Column, bounds: Sequence[float]) -> Column:

@@ -150,7 +150,7 @@ def map_rows(df: DataFrame, fn: Callable[[dict], dict | None], output: Sequence,
             values = [result.get(s["display"], result.get(s["name"])) for s in specs]
             values = [None if v is None else makers.get(s["type"], str)(v) for v, s in zip(values, specs)]
         except Exception as e:  # one bad row never fails the job
-            values, status, detail = [None] * len(specs), "error", str(e)[:160]
+            values, status, detail = [None] * len(specs), "error", str(e)
         return [*[row[c] for c in keep], *values, status, detail]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

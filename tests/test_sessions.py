@@ -39,7 +39,7 @@ def test_dialect_b(spark):
              {"type": "system", "subtype": "model_fallback", "fallback_model": "z"}, {"type": "system", "subtype": "status", "status": "compacting"}, {"type": "system", "subtype": "status", "status": "requesting"},
              ev(type="message_start", message={"id": "m1"}), ev(type="content_block_start", index=1, content_block={"type": "text"}), ev(type="content_block_delta", index=1, delta={"type": "text_delta", "text": "a"}),
              ev(type="content_block_delta", index=0, delta={"type": "thinking_delta", "thinking": "t"}), ev(type="content_block_delta", delta={"type": "text_delta", "text": ""}),
-             {"type": "assistant", "message": {"id": "m1", "content": [{"type": "thinking", "thinking": "t"}, {"type": "text", "text": "ab"}, {"type": "tool_use", "id": "c1", "name": "mcp__studio__go", "input": {"x": 1}}, {"type": "text", "text": " "}]}},
+             {"type": "assistant", "message": {"id": "m1", "content": [{"type": "thinking", "thinking": "t"}, {"type": "text", "text": "ab"}, {"type": "tool_use", "id": "c1", "name": "mcp__board__go", "input": {"x": 1}}, {"type": "text", "text": " "}]}},
              {"type": "user", "message": {"content": [{"type": "tool_result", "tool_use_id": "c1", "is_error": True, "content": [{"type": "text", "text": "bad"}]}]}}, {"type": "user", "message": {"content": "plain"}},
              {"type": "result", "total_cost_usd": 0.5, "usage": {"input_tokens": 3}}, {"type": "result", "is_error": True, "result": "no model"},
              {"type": "rate_limit_event", "rate_limit_info": {"status": "allowed"}}, {"type": "rate_limit_event", "rate_limit_info": {"status": "allowed_warning", "rateLimitType": "five_hour", "resetsAt": 0}}]
@@ -97,7 +97,7 @@ def test_run_ids(spark):
 
 
 def test_acknowledgements(spark):
-    df = spark.createDataFrame([(1, 1, "studio_wait_run", ""), (1, 2, "studio_run_status", '{"status": "running"}'), (1, 3, "studio_run_logs", 'cut {"status":"failed", "l'), (1, 4, "other", '{"status": "failed"}')],
+    df = spark.createDataFrame([(1, 1, "board_wait_run", ""), (1, 2, "board_run_status", '{"status": "running"}'), (1, 3, "board_run_logs", 'cut {"status":"failed", "l'), (1, 4, "other", '{"status": "failed"}')],
                                "session bigint, run bigint, tool string, result string")
     assert sorted(r["run"] for r in ag.acknowledged_runs(df).collect()) == [1, 3]
 

@@ -9,6 +9,10 @@ import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from gridweave.session import settle
 
 from .derived import DERIVED
 
@@ -21,10 +25,12 @@ ORACLES: dict[str, str] = {}
 
 # How the two engines spell what is not common to both.
 SPARK_WORDS = [
+    (r"SPREAD\[(.*?)\]", r"explode(sequence(0, CAST(\1 AS INT) - 1))"),
     (r"SHA\[(.*?)\]", r"sha2(\1, 256)"),
     (r"EPOCH\(([^()]*)\)", r"(timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', \1) / 1e6)"),
 ]
 SQL_WORDS = [
+    (r"SPREAD\[(.*?)\]", r"unnest(range(0, CAST(\1 AS INT)))"),
     (r"SHA\[(.*?)\]", r"sha256(\1)"),
     (r"EPOCH\(([^()]*)\)", r"(epoch_us(\1) / 1e6)"),
 ]
@@ -79,6 +85,17 @@ def query(name: str, sql: str | None = None, uses: tuple[str, ...] = ()) -> Call
     return add
 
 
+def place_of(ordered: DataFrame, name: str = "place") -> DataFrame:
+    """Numbers the rows of a sorted table from 1 in their order, partition after partition."""
+    at = ordered.withColumn("_row", F.monotonically_increasing_id()).withColumn("_part", F.spark_partition_id())
+    at = settle(at, "places")    # the rows of a partition must not move between counting and numbering
+    sizes = at.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)    # one row per partition
+    starts = sizes.select("_part", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return at.join(starts, "_part").withColumn(name, F.col("_row") - F.col("_first") + F.col("_before") + 1).drop(
+        "_part", "_row", "_first", "_before")
+
+
 def load_all() -> None:
     import importlib
     for part in PARTS:

@@ -9,7 +9,7 @@ from gridweave.operators.runs import activity
 from gridweave.session import shared_dir
 from gridweave.streaming import transcripts as live
 
-from . import derived, query, table
+from . import derived, place_of, query, table
 
 
 def turns(spark, sf):
@@ -17,7 +17,6 @@ def turns(spark, sf):
                                                     ((F.col("conv_id") + F.col("turn")) % 8).alias("k"))
 
 
-CLIPPED = "CASE WHEN length(text) > 1200 THEN left(text, 1200) || '… (+' || (length(text) - 1200) || ' chars)' ELSE text END"
 
 
 def _json(**fields):
@@ -32,7 +31,7 @@ def _struct(**fields):
     WITH c AS (SELECT conv_id AS session, turn AS seq, text, (conv_id + turn) % 8 AS k FROM conversations)
     SELECT session, seq, CASE k WHEN 0 THEN 'system' WHEN 1 THEN 'usage' WHEN 2 THEN 'message' WHEN 3 THEN 'reasoning' WHEN 4 THEN 'tool_call' WHEN 5 THEN 'tool_result' WHEN 6 THEN 'status' ELSE 'error' END AS kind,
       CASE k WHEN 0 THEN 'session started' WHEN 2 THEN text WHEN 3 THEN text WHEN 6 THEN '✓ read · ○ write' WHEN 7 THEN 'broke' END AS text, CASE WHEN k IN (4, 5) THEN 'shell' END AS tool,
-      CASE WHEN k = 5 THEN seq % 2 = 0 END AS ok, CASE WHEN k = 5 THEN {CLIPPED} END AS result, CASE WHEN k = 6 THEN 'plan-p' || seq END AS id, CASE WHEN k IN (4, 5) THEN 'c' || seq END AS call_id FROM c WHERE k <> 2 OR trim(text) <> ''""")
+      CASE WHEN k = 5 THEN seq % 2 = 0 END AS ok, CASE WHEN k = 5 THEN text END AS result, CASE WHEN k = 6 THEN 'plan-p' || seq END AS id, CASE WHEN k IN (4, 5) THEN 'c' || seq END AS call_id FROM c WHERE k <> 2 OR trim(text) <> ''""")
 def a01(spark, sf):
     c = turns(spark, sf)
     k, cid = F.col("k"), F.concat(F.lit("c"), F.col("seq"))
@@ -53,8 +52,8 @@ def a01(spark, sf):
     WITH c AS (SELECT conv_id AS session, turn AS seq, text, (conv_id + turn) % 8 AS k FROM conversations),
     e AS (SELECT session, seq, 0 AS part, 'system' AS kind, 'session started (m1)' AS text, NULL AS tool, NULL AS result FROM c WHERE k = 0
       UNION ALL SELECT session, seq, 0, 'text_delta', text, NULL, NULL FROM c WHERE k = 1 AND text <> ''
-      UNION ALL SELECT session, seq, 0, 'message', text, NULL, NULL FROM c WHERE k = 2 UNION ALL SELECT session, seq, 1, 'tool_call', '{{"a":1}}', 'studio_find', NULL FROM c WHERE k = 2
-      UNION ALL SELECT session, seq, 0, 'tool_result', NULL, '', {CLIPPED} FROM c WHERE k = 3
+      UNION ALL SELECT session, seq, 0, 'message', text, NULL, NULL FROM c WHERE k = 2 UNION ALL SELECT session, seq, 1, 'tool_call', '{{"a":1}}', 'board_find', NULL FROM c WHERE k = 2
+      UNION ALL SELECT session, seq, 0, 'tool_result', NULL, '', text FROM c WHERE k = 3
       UNION ALL SELECT session, seq, 0, 'usage', NULL, NULL, NULL FROM c WHERE k IN (4, 5) UNION ALL SELECT session, seq, 1, 'error', '[529] overloaded', NULL, NULL FROM c WHERE k = 5
       UNION ALL SELECT session, seq, 0, 'status', NULL, NULL, NULL FROM c WHERE k = 6 UNION ALL SELECT session, seq, 1, 'system', 'five-hour usage limit reached', NULL, NULL FROM c WHERE k = 6)
     SELECT * FROM e""")
@@ -64,7 +63,7 @@ def a02(spark, sf):
     raw = (F.when(k == 0, _json(type="system", subtype="init", model="m1", session_id="s"))
            .when(k == 1, _json(type="stream_event", event=_struct(type="content_block_delta", index=F.lit(2), delta=_struct(type="text_delta", text=F.col("text")))))
            .when(k == 2, F.concat(F.lit('{"type":"assistant","message":{"id":"m","content":[{"type":"text","text":'), F.get(F.split(F.to_json(F.array("text")), "^\\["), F.lit(1)).substr(F.lit(1), F.length(F.to_json(F.array("text"))) - 2),
-                                  F.lit('},{"type":"tool_use","id":"c1","name":"mcp__studio__studio_find","input":{"a":1}}]}}')))
+                                  F.lit('},{"type":"tool_use","id":"c1","name":"mcp__board__board_find","input":{"a":1}}]}}')))
            .when(k == 3, _json(type="user", message=_struct(content=F.array(_struct(type="tool_result", tool_use_id="c1", content=F.col("text"))))))
            .when(k == 4, _json(type="result", total_cost_usd=F.lit(0.5), usage=_struct(input_tokens=F.lit(3))))
            .when(k == 5, _json(type="result", is_error=F.lit(True), api_error_status=F.lit(529), result="overloaded"))
@@ -133,18 +132,18 @@ def a06(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", ag.extract_run_id(text).alias("run_id"))
 
 
-ACKS = """SELECT DISTINCT session, run FROM tool_results WHERE tool = 'studio_wait_run' OR (tool IN ('studio_run_status', 'studio_run_logs') AND contains(result, 'succeeded'))"""
+ACKS = """SELECT DISTINCT session, run FROM tool_results WHERE tool = 'board_wait_run' OR (tool IN ('board_run_status', 'board_run_logs') AND contains(result, 'succeeded'))"""
 
 
 @query("a07_pending_notifications", f"""
-    SELECT n.session, n.run FROM notes n WHERE NOT delivered AND NOT EXISTS (SELECT 1 FROM ({ACKS}) a WHERE a.session = n.session AND a.run = n.run)""", uses=("notes", "tool_results"))
+    SELECT n.session, n.run FROM notes n WHERE NOT delivered AND NOT EXISTS (SELECT 1 FROM ({ACKS}) a WHERE n.kind = 'workflow_finished' AND a.session = n.session AND a.run = n.run)""", uses=("notes", "tool_results"))
 def a07(spark, sf):
     acks = ag.acknowledged_runs(derived(spark, sf, "tool_results"))
     return ag.pending_notifications(derived(spark, sf, "notes"), acks).select("session", "run")
 
 
 @query("a07_pending_by_session", f"""
-    SELECT n.session, count(*) AS waiting, min(n.run) AS first_run, max(n.run) AS last_run FROM notes n LEFT JOIN ({ACKS}) a ON a.session = n.session AND a.run = n.run WHERE NOT delivered AND a.run IS NULL GROUP BY 1""", uses=("notes", "tool_results"))
+    SELECT n.session, count(*) AS waiting, min(n.run) AS first_run, max(n.run) AS last_run FROM notes n LEFT JOIN ({ACKS}) a ON n.kind = 'workflow_finished' AND a.session = n.session AND a.run = n.run WHERE NOT delivered AND a.run IS NULL GROUP BY 1""", uses=("notes", "tool_results"))
 def a07b(spark, sf):
     acks = ag.acknowledged_runs(derived(spark, sf, "tool_results"))
     return ag.pending_by_session(ag.pending_notifications(derived(spark, sf, "notes"), acks))
@@ -165,7 +164,8 @@ CONTEXT = r"""
 
 @query("a09_rebuild_context", CONTEXT.replace("{src}", "chat_events"), uses=("chat_events",))
 def a09(spark, sf):
-    out = ag.rebuild_context(derived(spark, sf, "chat_events").withColumns({n: F.lit(None).cast(t) for n, t in {"tool": "string", "args": "string", "ok": "boolean", "result": "string"}.items()}), budget=4000)
+    out = ag.rebuild_context(derived(spark, sf, "chat_events").withColumns({n: F.lit(None).cast(t) for n, t in {"tool": "string", "args": "string", "ok": "boolean", "result": "string"}.items()}), budget=4000,
+                             line=ag.context_line(said_chars=1800, thought_chars=600))
     return out.withColumn("context", F.sha2("context", 256))
 
 
@@ -183,9 +183,9 @@ def a11(spark, sf):
 
 
 @query("a12_sessions_by_activity", """
-    SELECT id, status FROM run_table ORDER BY status NOT IN ('done', 'failed', 'stopped') DESC, coalesce(finished_at, started_at, created_at, 0) DESC, id DESC LIMIT 50""", uses=("run_table",))
+    SELECT id, status, row_number() OVER (ORDER BY status NOT IN ('done', 'failed', 'stopped') DESC, coalesce(finished_at, started_at, created_at, 0) DESC, id DESC) AS place FROM run_table""", uses=("run_table",))
 def a12(spark, sf):
-    return derived(spark, sf, "run_table").orderBy(*activity(ag.SESSION_ENDS)).limit(50).select("id", "status")
+    return place_of(derived(spark, sf, "run_table").orderBy(*activity(ag.SESSION_ENDS)).select("id", "status"))
 
 
 @query("a12_interrupted_sessions", """

@@ -11,7 +11,7 @@ from gridweave.session import shared_dir
 from gridweave.sources import logs, tables
 from gridweave.streaming.appends import append_stream, read_appended
 
-from . import derived, query, table
+from . import derived, place_of, query, table
 
 CONTACT_COLUMNS = ["Name", "Nation", {"name": "Balance", "type": "number"}, "Segment"]
 
@@ -300,12 +300,10 @@ def r01b(spark, sf):
     return rows.search(c, "R#0000001", ["c_name", "c_mktsegment"]).select("c_custkey", "c_name")
 
 
-@query("r02_sort_rows", """SELECT c_custkey, c_name, rank FROM (SELECT c_custkey, c_name, row_number() OVER (ORDER BY c_acctbal DESC NULLS LAST, c_custkey) AS rank FROM customer)
-    WHERE rank <= 100""")
+@query("r02_sort_rows", """SELECT c_custkey, c_name, rank FROM (SELECT c_custkey, c_name, row_number() OVER (ORDER BY c_acctbal DESC NULLS LAST, c_custkey) AS rank FROM customer)""")
 def r02(spark, sf):
     c = model.as_dataset(table(spark, sf, "customer").withColumn("_rid", F.col("c_custkey")))
-    top = rows.sort_rows(c, "C_AcctBal", "desc").limit(100)
-    ranked = sequence.number_rows(top.withColumn("o", -F.col("c_acctbal")), "o", "rank", ties=["_rid"])
+    ranked = place_of(rows.sort_rows(c, "C_AcctBal", "desc"), "rank")
     return ranked.select(F.col("_rid").alias("c_custkey"), "c_name", "rank")
 
 
@@ -333,11 +331,11 @@ def r05(spark, sf):
 
 
 @query("r06_mixed_sort", f"""
-    SELECT id, cell FROM (SELECT m.id, coalesce(m.cell, '') AS cell, c.value FROM messy_cells m JOIN ({COERCED}) c ON c.id = m.id)
-    ORDER BY value IS NULL, value, cell, id LIMIT 60""", uses=("messy_cells",))
+    SELECT id, cell, row_number() OVER (ORDER BY value IS NULL, value, cell, id) AS place
+    FROM (SELECT m.id, coalesce(m.cell, '') AS cell, c.value FROM messy_cells m JOIN ({COERCED}) c ON c.id = m.id)""", uses=("messy_cells",))
 def r06(spark, sf):
     d = derived(spark, sf, "messy_cells").select("id", F.coalesce("cell", F.lit("")).alias("cell"))
-    return rows.mixed_sort(d, "cell", tie="id").limit(60)
+    return place_of(rows.mixed_sort(d, "cell", tie="id"))
 
 
 @query("r07_top_n", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")

@@ -36,9 +36,9 @@ DERIVED = {
                CAST(doc_id AS DOUBLE) AS created_at FROM {documents}""",
     # up to four file ids per conversation turn; some point to nothing
     "attachment_items": """
-        SELECT c.conv_id * 100 + c.turn AS rid, p.pos, coalesce(f.id, concat('ffff', CAST(1000 + c.turn AS STRING))) AS file_id
-        FROM {conversations} c JOIN (VALUES (0), (1), (2), (3)) AS p(pos) ON p.pos < (c.conv_id + c.turn) % 5
-        LEFT JOIN {file_meta} f ON f.doc_id = (c.conv_id * 7 + c.turn * 3 + p.pos) % 1100""",
+        SELECT c.conv_id * 100 + c.turn AS rid, c.pos, coalesce(f.id, concat('ffff', CAST(1000 + c.turn AS STRING))) AS file_id
+        FROM (SELECT conv_id, turn, SPREAD[(conv_id + turn) % 5] AS pos FROM {conversations} WHERE (conv_id + turn) % 5 > 0) c
+        LEFT JOIN {file_meta} f ON f.doc_id = (c.conv_id * 7 + c.turn * 3 + c.pos) % 1100""",
     "recipients": """
         SELECT c_custkey AS seq, CASE WHEN c_custkey % 6 = 0 THEN concat('https://www.linkedin.com/in/', lower(replace(c_name, '#', '-')), '?src=x')
                  WHEN c_custkey % 6 = 5 THEN '  ' END AS profile_url,
@@ -92,8 +92,8 @@ DERIVED = {
                CASE WHEN o_orderkey % 3 = 0 THEN 'no rows found' END AS error FROM {orders}""",
     "tool_results": """
         SELECT o.o_custkey AS session, l.l_orderkey AS run, l.l_linenumber AS line,
-               CASE l.l_linenumber % 4 WHEN 0 THEN 'studio_wait_run' WHEN 1 THEN 'studio_run_status' WHEN 2 THEN 'studio_run_logs'
-                 ELSE 'studio_list' END AS tool,
+               CASE l.l_linenumber % 4 WHEN 0 THEN 'board_wait_run' WHEN 1 THEN 'board_run_status' WHEN 2 THEN 'board_run_logs'
+                 ELSE 'board_list' END AS tool,
                CASE WHEN l.l_linestatus = 'F' THEN '{{"status": "succeeded"}}' ELSE '{{"status": "running"}}' END AS result
         FROM {lineitem} l JOIN {orders} o ON o.o_orderkey = l.l_orderkey WHERE l.l_returnflag = 'R'""",
     "chat_events": """

@@ -25,10 +25,10 @@ def n02(spark, sf):
 
 
 @query("n03_regexp_replace", r"""
-    SELECT doc_id, sha256(regexp_replace(text, '(\w+) (\w+)', '\2 \1', 'g')) AS swapped, sha256(regexp_replace(text, '\s+', '', 'g')) AS packed FROM documents WHERE lang = 'en'""")
+    SELECT doc_id, sha256(regexp_replace(text, '(\w+) (\w+)', '\2 \1', 'g')) AS swapped, sha256(regexp_replace(text, '\s+', '', 'g')) AS packed FROM documents""")
 def n03(spark, sf):
     t = F.col("text")
-    d = table(spark, sf, "documents").where("lang = 'en'")
+    d = table(spark, sf, "documents")
     return d.select("doc_id", F.sha2(regexes.re_replace(t, r"(\w+) (\w+)", r"\2 \1"), 256).alias("swapped"),
                     F.sha2(regexes.re_replace(t, r"\s+", None), 256).alias("packed"))
 

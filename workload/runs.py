@@ -10,7 +10,7 @@ from gridweave.session import shared_dir
 from gridweave.sources import logs
 from gridweave.streaming import runs as live
 
-from . import derived, query, table
+from . import derived, place_of, query, table
 from .datasets import run_lines
 
 
@@ -93,9 +93,9 @@ def e04(spark, sf):
 
 
 @query("e05_runs_by_activity", """
-    SELECT id, status FROM run_table ORDER BY status NOT IN ('succeeded', 'failed', 'canceled') DESC, coalesce(finished_at, started_at, created_at, 0) DESC, id DESC LIMIT 100""", uses=("run_table",))
+    SELECT id, status, row_number() OVER (ORDER BY status NOT IN ('succeeded', 'failed', 'canceled') DESC, coalesce(finished_at, started_at, created_at, 0) DESC, id DESC) AS place FROM run_table""", uses=("run_table",))
 def e05(spark, sf):
-    return runs.runs_by_activity(derived(spark, sf, "run_table"), 100).select("id", "status")
+    return place_of(runs.runs_by_activity(derived(spark, sf, "run_table")).select("id", "status"))
 
 
 @query("e06_interrupted_runs", """
