@@ -9,9 +9,12 @@ document is found in at least T of the lists of the other's shingles.
 2. Of a query's lists, the T-1 longest - those of its most common shingles - are set aside. What is left, its
    n - T + 1 rarest shingles, are the short lists: only these are built, by one shuffle on the shingle. A document
    in none of them cannot reach T.
-3. Round one searches, for every class, the class it shares most short lists with among the first (smallest) ones
-   of those lists. Round two searches every pair that shares a short list but is not in one component yet. A group
-   of near copies is thus joined by one search for each member; all its pairs are never made.
+   Where a list holds two classes so late in their order that what follows cannot reach T any more, the pair is
+   left to an earlier list, or cannot link.
+3. Round one searches, for every class, the ``LEADERS`` classes it shares most short lists with among those that lead
+   its lists: in every list and range of sizes, the class whose own lists are the longest. Round two searches
+   every pair that shares a short list but is not in one component yet. A group of near copies is thus joined by a
+   few searches for each member; all its pairs are never made.
 4. A search takes a query and its candidates in blocks of ``CANDIDATES``: the query's short lists over the block
    are merged with a heap; candidates found often enough are probed in the long lists by binary search. A long
    list is probed from the candidate's side: whether it holds the candidate is whether the candidate's ordered
@@ -22,7 +25,7 @@ Before a search, a bound on the overlap from ``HIST`` counts per document leaves
 Components come from the links by pointer jumping. Intermediate tables are written to the shared folder.
 
 Words are runs of characters other than white space, with A-Z lower-cased; shingles are k consecutive words, and
-the whole text if it has fewer. Shingles are compared by hashes: a class key has 96 bits, a shingle 56.
+the whole text if it has fewer. Shingles are compared by hashes: a class key has 80 bits, a shingle 56.
 
 Defined results: a text that is NULL or has no words has an empty set and links with nothing; repeated rows and
 ties share a class; documents with a NULL doc_id take part, their component's smallest doc_id being that of
@@ -33,12 +36,13 @@ the others (NULL if there is none); an empty table gives an empty result; other
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import settle, shuffle_width
@@ -51,6 +55,10 @@ CELLS, SLICE = 1 << 21, 1 << 16
 HIST = 64
 #: Candidates searched at a time.
 CANDIDATES = 256
+#: Classes that a class is searched against in round one.
+LEADERS = 3
+#: A table of at most so many rows of 16 bytes is broadcast; a larger one is joined by shuffling.
+BROADCAST_ROWS = 1_000_000
 BATCH_CHARS = 2 << 20
 
 _A, _B = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
@@ -70,9 +78,9 @@ def shingle_sets(texts: list[str], k: int) -> Iterator[np.ndarray]:
 
 
 def class_key(shingles: np.ndarray) -> bytes:
-    """The size and a 96-bit sum of the set: equal for equal sets, and ordered by size."""
+    """The size and an 80-bit sum of the set: equal for equal sets, and ordered by size."""
     a, b = int(mix(shingles ^ _A).sum()), int(mix(shingles ^ _B).sum())
-    return len(shingles).to_bytes(4, "big") + a.to_bytes(8, "big") + (b & 0xFFFFFFFF).to_bytes(4, "big")
+    return len(shingles).to_bytes(4, "big") + a.to_bytes(8, "big") + (b & 0xFFFF).to_bytes(2, "big")
 
 
 def size_of(key: bytes) -> int:
@@ -155,61 +163,62 @@ def commonness(measured: DataFrame) -> np.ndarray:
     return out
 
 
-POSTING = pa.schema([("token", pa.int64()), ("cls", pa.binary())])
-LISTED = pa.schema([("token", pa.int64()), ("cls", pa.binary()), ("first", pa.binary())])
+POSTING = pa.schema([("token", pa.int64()), ("entry", pa.binary())])
+#: An entry of a list is a class key and, in two more bytes, the token's place in the class's order (65535 at most).
+KEY_BYTES = 14
 
 
 def lists(docs: DataFrame, common, k: int, num: int, den: int) -> DataFrame:
-    """The short lists that hold two classes or more: ``token, cls, first``, where ``first`` is the smallest class
-    of the list that is of compatible size (NULL for itself). ``common`` is the broadcast commonness."""
+    """The short lists that hold two classes or more: ``token, cls, place``. ``common`` is the broadcast commonness."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()  # classes of this task: a copy in the same task adds nothing
         for batch in batches:
-            tokens, keys, sizes = [], [], []
+            tokens, keys = [], []
             for own in shingle_sets(texts_of(batch, "text"), k):
                 key = class_key(own)
                 if len(own) and key not in seen:
                     seen.add(key)
-                    part = ordered_tokens(own, common.value)[:short_lists(len(own), num, den)]
-                    tokens.append(part)
+                    tokens.append(ordered_tokens(own, common.value)[:short_lists(len(own), num, den)])
                     keys.append(key)
-                    sizes.append(len(part))
+            sizes = [len(t) for t in tokens]
             for a, b in slices(keys, sizes, 1 << 17):
-                token = np.concatenate(tokens[a:b]).view(np.int64)
-                cls = pa.array(keys[a:b], pa.binary()).take(pa.array(np.repeat(np.arange(b - a), sizes[a:b])))
-                yield pa.RecordBatch.from_arrays([pa.array(token), cls], schema=POSTING)
+                n = np.array(sizes[a:b])
+                place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                entry = np.empty((n.sum(), KEY_BYTES + 2), np.uint8)
+                entry[:, :KEY_BYTES] = np.repeat(np.frombuffer(b"".join(keys[a:b]), np.uint8).reshape(-1, KEY_BYTES), n, axis=0)
+                entry[:, KEY_BYTES:] = np.minimum(place, 65535).astype(">u2").view(np.uint8).reshape(-1, 2)
+                whole = pa.FixedSizeBinaryArray.from_buffers(pa.binary(KEY_BYTES + 2), len(entry), [None, pa.py_buffer(entry.tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens[a:b]).view(np.int64)), whole.cast(pa.binary())], schema=POSTING)
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = Rows(LISTED)
-        now = last = lead = None  # the token at hand, its latest class, the class that leads the list
-        alone = False  # whether the list has one class so far, whose row then waits
+        rows = Rows(POSTING)
+        now = last = None  # the token at hand, and its latest entry
+        alone = False  # whether the list has one class so far, whose entry then waits
         for batch in batches:
             token = batch.column("token").to_numpy()
             # Most lists have one row; only rows with an equal neighbour, and those at the edges, are looked at.
             same = token[1:] == token[:-1]
-            look = np.flatnonzero(np.concatenate([[True], same]) | np.concatenate([same, [True]]))
-            keys = batch.column("cls").take(pa.array(look)).to_pylist()
-            for t, key in zip(token[look].tolist(), keys, strict=True):
+            look = np.flatnonzero(np.concatenate([[True], same]) | np.concatenate([same, [True]])) if len(token) else []
+            entries = batch.column("entry").take(pa.array(look, pa.int64())).to_pylist()
+            for t, entry in zip(token[look].tolist(), entries, strict=True):
                 if t != now:
-                    now, last, lead, alone = t, key, key, True
-                elif key != last:
+                    now, last, alone = t, entry, True
+                elif entry[:KEY_BYTES] != last[:KEY_BYTES]:
                     if alone:
-                        rows.add((t, last, None), 60)
+                        rows.add((t, last), 40)
                         alone = False
-                    last = key
-                    if compatible(size_of(lead), size_of(key), num, den):
-                        rows.add((t, key, lead), 60)
-                    else:
-                        lead = key
-                        rows.add((t, key, None), 60)
+                    rows.add((t, entry), 40)
+                    last = entry
                     if rows.full():
                         yield rows.take()
         yield from rows.rest()
 
-    return (docs.select("text").mapInArrow(post, "token bigint, cls binary")
-            .repartition(shuffle_width(docs.sparkSession), "token").sortWithinPartitions("token", "cls")
-            .mapInArrow(group, "token bigint, cls binary, first binary"))
+    found = (docs.select("text").mapInArrow(post, "token bigint, entry binary")
+             .repartition(shuffle_width(docs.sparkSession), "token").sortWithinPartitions("token", "entry")
+             .mapInArrow(group, "token bigint, entry binary"))
+    return found.select("token", F.substring("entry", 1, KEY_BYTES).alias("cls"),
+                        F.conv(F.hex(F.substring("entry", KEY_BYTES + 1, 2)), 16, 10).cast("int").alias("place"))
 
 
 def search(q: np.ndarray, candidates: list[np.ndarray], num: int, den: int) -> list[int]:
@@ -260,6 +269,8 @@ def links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, common, k: int,
     pairs = settle(_bounded(pairs, classes, num, den), f"{name}-pairs")
     wanted = pairs.select(F.explode(F.array("q", "c")).alias("cls")).distinct()
     wanted = settle(classes.join(wanted, "cls", "left_semi").select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")), f"{name}-members")
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = Rows(pa.schema([("cls", pa.binary()), ("tokens", pa.binary())]))
@@ -318,6 +329,58 @@ def components(edges: DataFrame, name: str) -> DataFrame:
             return roots
 
 
+def size_column(cls: str) -> Column:
+    """:func:`size_of` as a column."""
+    return F.conv(F.hex(F.substring(cls, 1, 4)), 16, 10).cast("bigint")
+
+
+def can_reach(a: str, b: str, num: int, den: int) -> Column:
+    """Whether the classes of two entries of a list could still link if this is the first token that they share:
+    their sizes fit, and enough shingles follow in both. Entries have the columns n_ and at_ with the given names."""
+    na, nb = F.col(f"n_{a}"), F.col(f"n_{b}")
+    fits = F.least(na, nb) * den >= F.greatest(na, nb) * num
+    return fits & (F.least(na - F.col(f"at_{a}"), nb - F.col(f"at_{b}")) * (num + den) >= num * (na + nb))
+
+
+def leading_pairs(listed: DataFrame, num: int, den: int) -> DataFrame:
+    """Every class with the LEADERS leading classes it shares most lists with (q, c).
+
+    Sizes are put in ranges such that linked ones lie in the same or the next; every list has a leader per range.
+    """
+    weight = listed.join(listed.groupBy("token").agg(F.count("*").alias("size")), "token").groupBy("cls").agg(F.sum("size").alias("weight"))
+    entries = listed.join(weight, "cls").withColumn("n", size_column("cls"))
+    entries = entries.withColumn("range", F.floor(F.log(F.col("n").cast("double")) / math.log(den / num) + 1e-9).cast("int") if num < den else F.lit(0))
+    lead = (entries.groupBy("token", "range").agg(F.max_by(F.struct("cls", "place", "n", "weight"), F.struct("weight", "cls")).alias("l"))
+            .select("token", F.explode(F.array(F.col("range") - 1, F.col("range"), F.col("range") + 1)).alias("range"),
+                    F.col("l.cls").alias("lead"), F.col("l.place").alias("at_l"), F.col("l.n").alias("n_l"), F.col("l.weight").alias("weight_l")))
+    both = entries.select("token", "range", "cls", F.col("place").alias("at_e"), F.col("n").alias("n_e")).join(lead, ["token", "range"])
+    shared = both.where((F.col("cls") != F.col("lead")) & can_reach("e", "l", num, den)).groupBy("cls", "lead").agg(
+        F.count("*").alias("n"), F.first("weight_l").alias("weight"))
+    # A class has at most three leaders for each of its short lists.
+    best = shared.groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("n", "weight", "lead")), asc=False).alias("best"))
+    pairs = best.select("cls", F.explode(F.slice("best", 1, LEADERS)).alias("b")).select("cls", "b.lead")
+    return pairs.select(F.least("cls", "lead").alias("q"), F.greatest("cls", "lead").alias("c")).distinct()
+
+
+def open_pairs(listed: DataFrame, roots: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (q, c) of classes that share a list but are in two components.
+
+    Lists within one component are done; in the others, the entries of the largest component are only paired with
+    the rest.
+    """
+    placed = listed.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").select(
+        "token", "cls", "place", size_column("cls").alias("n"), F.coalesce("root", "cls").alias("root"))
+    placed = settle(placed, "near-placed")
+    sizes = placed.groupBy("token", "root").agg(F.count("*").alias("size"))
+    mixed = sizes.groupBy("token").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("size", "root")).alias("main"))
+    rest = (placed.join(mixed.where("roots > 1").select("token", "main"), "token").where("root <> main")
+            .select("token", F.col("cls").alias("x"), F.col("root").alias("root_x"), F.col("place").alias("at_x"), F.col("n").alias("n_x"), "main"))
+    other = placed.select("token", F.col("cls").alias("y"), F.col("root").alias("root_y"), F.col("place").alias("at_y"), F.col("n").alias("n_y"))
+    apart = (rest.token == other.token) & (F.col("root_x") != F.col("root_y")) & can_reach("x", "y", num, den) & (
+        (F.col("root_y") == F.col("main")) | (F.col("x") < F.col("y")))
+    return rest.join(other, apart).select(F.least("x", "y").alias("q"), F.greatest("x", "y").alias("c")).distinct()
+
+
 def near_copies(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id, text_hash, n_shingles, cls, root, component_id``.
 
@@ -332,35 +395,16 @@ def near_copies(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_c
     classes = settle(rows.groupBy("cls").agg(F.min(F.struct("doc_id", "text_hash")).alias("one"), F.min("doc_id").alias("least_id"), F.first("hist").alias("hist"))
                      .select("cls", "one.*", "least_id", "hist"), "near-classes")
     listed = settle(lists(docs, common, k, num, den), "near-lists")
-    # Round one: every class against the class it shares most lists with among those lists' first ones.
-    shared = listed.where("first is not null").groupBy("cls", "first").agg(F.count("*").alias("n"))
-    best = shared.groupBy(F.col("cls").alias("c")).agg(F.max_by("first", F.struct("n", "first")).alias("q")).select("q", "c")
-    one = links(best, classes, docs, common, k, num, den, "near-one")
+    one = links(leading_pairs(listed, num, den), classes, docs, common, k, num, den, "near-one")
     roots = components(one.select(F.col("q").alias("a"), F.col("c").alias("b")), "near-one")
-    # Round two: pairs in one list but in two components. Lists within one component are done; in the others, the
-    # rows of the largest component are only paired with the rest.
-    placed = listed.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").select("token", "cls", F.coalesce("root", "cls").alias("root"))
-    placed = settle(placed, "near-placed")
-    sizes = placed.groupBy("token", "root").agg(F.count("*").alias("n"))
-    open_ = sizes.groupBy("token").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("main")).where("roots > 1").select("token", "main")
-    rest = placed.join(open_, "token").where("root <> main").select("token", F.col("cls").alias("x"), F.col("root").alias("x_root"), "main")
-    other = placed.select("token", F.col("cls").alias("y"), F.col("root").alias("y_root"))
-
-    def n_of(c: str):
-        return F.conv(F.hex(F.substring(c, 1, 4)), 16, 10).cast("bigint")
-
-    fits = F.least("nx", "ny") * den >= F.greatest("nx", "ny") * num
-    across = (rest.withColumn("nx", n_of("x")).join(other.withColumn("ny", n_of("y")), "token")
-              .where((F.col("x_root") != F.col("y_root")) & fits & ((F.col("y_root") == F.col("main")) | (F.col("x") < F.col("y")))))
-    pairs = across.select(F.least("x", "y").alias("q"), F.greatest("x", "y").alias("c")).distinct()
-    two = links(pairs, classes, docs, common, k, num, den, "near-two")
+    two = links(open_pairs(listed, roots, num, den), classes, docs, common, k, num, den, "near-two")
     if not two.isEmpty():
         edges = one.unionByName(two).select(F.col("q").alias("a"), F.col("c").alias("b"))
         roots = components(edges, "near-two")
     named = classes.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").select("cls", "least_id", F.coalesce("root", "cls").alias("root"))
     least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     of_class = named.join(least, "root").select("cls", "root", "component_id")
-    n = n_of("cls")
+    n = size_column("cls")
     return rows.join(of_class, "cls").select(
         "doc_id", "text_hash", n.alias("n_shingles"), "cls", "root",
         F.when(n == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))

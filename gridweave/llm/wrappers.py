@@ -47,6 +47,8 @@ BROADCAST_BYTES = 32 << 20
 FAN_IN = 64
 #: A stream with more elements, or with an element more often, is taken for a repeated group of optional ones.
 MOST_ELEMENTS, MOST_RETURNS = 24, 2
+#: Tags nested deeper than this are passed over, as in browsers; their texts belong to the tag around them.
+MOST_DEPTH = 256
 #: Texts that are the same on so many pages of a host belong to its template.
 SAME_PAGES = 5
 
@@ -96,6 +98,7 @@ def parse(source: str) -> Tag:
     """The page as nested tags. Tags left open are closed as far as the next ones require it."""
     root = Tag("", "")
     open_ = [root]
+    passed: dict[str, int] = {}
     at = 0
     while at < len(source):
         m = PART.search(source, at)
@@ -109,6 +112,9 @@ def parse(source: str) -> Tag:
         if not name:
             continue
         if m[1]:
+            if passed.get(name):
+                passed[name] -= 1
+                continue
             for i in range(len(open_) - 1, 0, -1):
                 if open_[i].name == name:
                     del open_[i:]
@@ -127,6 +133,9 @@ def parse(source: str) -> Tag:
                     break
                 if open_[i].name not in INLINE and open_[i].name not in SELF_CLOSING:
                     break
+        if len(open_) > MOST_DEPTH and name not in RAW and name not in VOID:
+            passed[name] = passed.get(name, 0) + (not m[3].endswith("/"))
+            continue
         tag = Tag(key_of(name, m[3]), name)
         open_[-1].content.append(tag)
         if name in RAW:
