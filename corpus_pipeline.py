@@ -48,7 +48,7 @@ def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """``doc_id, n_tokens, ids`` (little-endian unsigned 32-bit integers), and digests of ids and decoded text."""
     import public_tokenizers
     path = public_tokenizers.path("byte_bpe_50k.json")
-    decoded = bpe.decode_documents(bpe.encode_documents(docs, path), path)
+    decoded = bpe.round_trip_documents(docs, path)
     return decoded.select("doc_id", F.floor(F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), "ids",
                           F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 

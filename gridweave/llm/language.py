@@ -29,7 +29,7 @@ ORDERS = (1, 2, 3)
 #: About so many labelled documents are learned from, chosen by a hash of doc_id: the bound of the training set.
 TRAIN_DOCUMENTS = 40_000
 #: Characters counted or scored at a time.
-BATCH_CHARS = 1 << 20
+BATCH_CHARS = 1 << 18
 #: Added to every count.
 SMOOTHING = 0.5
 

@@ -49,7 +49,7 @@ FAN_IN = 64
 MOST_ELEMENTS, MOST_RETURNS = 24, 2
 #: Tags nested deeper than this are passed over, as in browsers; their texts belong to the tag around them.
 MOST_DEPTH = 256
-#: Texts that are the same on so many pages of a host belong to its template.
+#: Texts that are the same on so many pages of a host, and on half of its pages, belong to its template.
 SAME_PAGES = 5
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -151,7 +151,8 @@ class Part:
     """A part of a wrapper: a tag (or "#" for a text) with its content, whether it may be missing or come again.
 
     ``bag``: the content is a repeated group of optional parts. ``text``: the checksum of a text that has been the
-    same so far, None for a slot. ``pages``, ``chars``, ``linked``: pages seen, characters of text, and those in links.
+    same so far, None for a slot. ``pages``, ``chars``, ``linked``: how often it was seen, characters of text, and those
+    in links.
     """
 
     __slots__ = ("key", "optional", "repeated", "bag", "text", "pages", "chars", "linked", "content")
@@ -186,6 +187,7 @@ def _absorb(into: Part, other: Part) -> Part:
     if into.key == "#" and into.text != other.text:
         into.text = None
     into.content, into.bag = align(into.content, into.bag, other.content, other.bag)
+    into.pages += other.pages
     into.chars += other.chars
     into.linked += other.linked
     return into
@@ -248,10 +250,7 @@ def part_of(tag: Tag, linked: bool = False) -> Part:
 
 
 def join_wrappers(a: Part, b: Part) -> Part:
-    pages = a.pages + b.pages
-    out = _absorb(a, b)
-    out.pages = pages
-    return out
+    return _absorb(a, b)
 
 
 def is_side(key: str) -> bool:
@@ -313,7 +312,8 @@ class Extractor:
     def _walk(self, tag: Tag, part: Part | None, inside: bool) -> None:
         for item, met in self._met(tag, part):
             if isinstance(item, str):
-                template = not self.only_main and met is not None and met.text is not None and self.wrapper.pages >= SAME_PAGES
+                template = not self.only_main and met is not None and met.text is not None and (
+                    met.pages >= max(SAME_PAGES, self.wrapper.pages / 2))
                 if inside and not template:
                     self.line.append(item)
                 continue
@@ -399,7 +399,7 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
         if groups == 1:
             n_pages = F.get_json_object("wrapper", "$[5]").cast("bigint")
             return merged.select("host", n_pages.alias("n_pages"), "wrapper")
-        partial, most = settle(merged.withColumn("salt", F.xxhash64("wrapper").cast("int")), "wrappers"), groups
+        partial, most = settle(merged.withColumn("salt", F.pmod(F.hash("wrapper"), F.lit(1 << 30))), "wrappers"), groups
 
 
 TEXT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])

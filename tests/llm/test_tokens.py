@@ -49,6 +49,8 @@ def test_round_trip_of_odd_rows(spark):
     docs = odd(spark)
     got = bpe.decode_documents(bpe.encode_documents(docs, path), path).collect()
     assert sorted((str(r.doc_id), r.text) for r in got) == sorted((str(r.doc_id), r.text or "") for r in docs.collect())
+    assert sorted((str(r.doc_id), bytes(r.ids), r.text) for r in bpe.round_trip_documents(docs, path).collect()) == sorted(
+        (str(r.doc_id), bytes(r.ids), r.text) for r in got)
     assert bpe.encode_documents(none(spark), path).collect() == []
 
 
