@@ -280,7 +280,7 @@ def absorb_output_files(df: DataFrame, catalogue: DataFrame, listing: DataFrame,
                         row_id: str = RID) -> Absorbed:
     """Bring the cells of a result's file column to file ids.
 
-    A known id stays; a record (JSON) becomes its id, or its path is looked up; a path in the listing
+    A known id stays; a record (JSON) becomes its id, or where that is unknown its path is looked up; a path in the listing
     (``path, content``) is registered and becomes the new id; anything else stays as it is. A JSON array
     is treated element by element and stays an array.
     """
@@ -290,17 +290,21 @@ def absorb_output_files(df: DataFrame, catalogue: DataFrame, listing: DataFrame,
     parts = df.where(F.col(column).isNotNull() & (raw != "")).select(
         row_id, is_list.alias("_many"), F.posexplode(items).alias("_pos", "_raw"))
     obj = F.from_json(F.when(F.col("_raw").startswith("{"), F.col("_raw")), "id string, path string")
-    parts = parts.withColumn("_item", F.coalesce(obj["id"], obj["path"], F.col("_raw")))
+    # Only what may be an id or a path takes part in the joins, so a text that many cells share is no join key.
+    parts = parts.withColumns({
+        "_item": F.coalesce(obj["id"], F.when(F.col("_raw").rlike("^[0-9a-f]{8,16}$"), F.col("_raw"))),
+        "_place": F.coalesce(obj["path"], F.when(F.contains("_raw", F.lit("/")) & obj.isNull(), F.col("_raw")))})
     known = catalogue.select(F.col("id").alias("_known"))
     paths = listing.select(F.regexp_replace("path", "^file:/*", "/").alias("_path"), "content")
     looked = parts.join(known, parts["_item"] == known["_known"], "left")
-    wanted = looked.where(F.col("_known").isNull()).select(F.col("_item").alias("_path")).distinct()
+    looked = looked.withColumn("_place", F.when(F.col("_known").isNull(), F.col("_place")))
+    wanted = looked.where(F.col("_place").isNotNull()).select(F.col("_place").alias("_path")).distinct()
     fresh = wanted.join(paths, "_path").select(
         F.col("_path").alias("path"), "content", F.element_at(F.split("_path", "/"), -1).alias("name"),
         F.lit(source).alias("source"), F.xxhash64("_path").alias("seq"))
     registered = settle(register(fresh, "seq", catalogue), "registered")    # ids must not change between uses
     new_ids = registered.select(F.col("path").alias("_path"), F.col("id").alias("_new"))
-    done = looked.join(new_ids, looked["_item"] == new_ids["_path"], "left").withColumn(
+    done = looked.join(new_ids, looked["_place"] == new_ids["_path"], "left").withColumn(
         "_out", F.coalesce("_known", "_new", "_raw"))
     back = done.groupBy(row_id).agg(
         F.first("_many").alias("_many"),

@@ -13,6 +13,7 @@ from ..functions import cells
 from ..functions.regexes import re_extract_all
 from ..model import (RESCUED, RID, SPARK_TYPE, as_dataset, display_of, find_field, logical_of, sanitize_columns,
                      tagged, user_fields)
+from .sequence import number_rows
 from .writes import dedup
 
 # Row ids of the n-th merged source start at n << 44, which keeps source order without any shuffle.
@@ -47,8 +48,10 @@ def _renamed_rescue(names: Mapping[str, str]) -> Column:
 def merge(frames: Sequence[DataFrame], dedup_keys: Sequence[str] = ()) -> DataFrame:
     """Stack datasets. Columns meet by display name in any case; differing types become text.
 
-    Earlier sources come first in row order, so with dedup keys they win. Each source needs ``_rid``.
+    Earlier sources come first in row order, so with dedup keys they win. Each source needs ``_rid``; a source
+    whose ids leave no room beside others (one that was merged itself) is numbered anew first.
     """
+    frames = [df if (df.agg(F.max(RID)).first()[0] or 0) < 1 << SOURCE_SHIFT else number_rows(df, RID) for df in frames]
     plan: dict[str, list] = {}
     for df in frames:
         for f in user_fields(df):

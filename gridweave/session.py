@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,6 +39,8 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not root:
         root = tempfile.mkdtemp(prefix="gridweave-")
         spark.sparkContext.setCheckpointDir(root)
@@ -56,6 +59,31 @@ def settle(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in any storage that Spark reaches."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application, so that it need not be installed there."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    target = os.path.join(tempfile.mkdtemp(prefix="gridweave-"), "gridweave_code.zip")
+    with zipfile.ZipFile(target, "w") as packed:
+        for folder, _, names in os.walk(os.path.join(root, "gridweave")):
+            for name in names:
+                if name.endswith(".py"):
+                    packed.write(os.path.join(folder, name), os.path.relpath(os.path.join(folder, name), root))
+    spark.sparkContext.addPyFile(target)
+    _SHIPPED.add(app)
+
+
+_SHIPPED: set[str] = set()
+
+
 def shuffle_width(spark: SparkSession, most: int = 8192) -> int:
     """How many order blocks to cut data into: one per shuffle partition, with a fixed upper bound."""
     return max(2, min(most, int(spark.conf.get("spark.sql.shuffle.partitions", "200"))))

@@ -34,8 +34,11 @@ def read_run_events(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_run_events_stream(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
-    lines = (spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path)
-             .select("value", F.col("_metadata.file_name").alias("file")))
+    """The same as a stream of finished log files: ``seq`` is the line number in the file, and a file is one row
+    until its lines are numbered."""
+    lines = (spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path, wholetext=True)
+             .select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", "\n")).alias("seq", "value"))
+             .select("value", "file", F.col("seq").cast("bigint").alias("seq")))
     return parse_run_lines(lines).withColumn("run_id", F.regexp_extract("file", r"^([^.]+)", 1))
 
 

@@ -5,13 +5,13 @@ from __future__ import annotations
 import os
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.writes import append
+from ..session import path_exists
 
 BATCH = "batch"
 
@@ -36,7 +36,6 @@ def append_stream(stream: DataFrame, folder: str, checkpoint: str, base_schema:
 def read_appended(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
     """The dataset a stream has built so far; empty before its first batch."""
     full = T.StructType([*schema.fields, T.StructField(BATCH, T.LongType())])
-    try:
+    if path_exists(spark, folder):
         return spark.read.schema(full).parquet(folder)
-    except AnalysisException:
-        return spark.createDataFrame([], full)
+    return spark.createDataFrame([], full)

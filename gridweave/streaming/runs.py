@@ -43,17 +43,20 @@ class RunFold(StatefulProcessor):
 
     STATE = ("ran boolean, p_seq bigint, collected bigint, total bigint, message string, u_seq bigint, last_url string, "
              "r_seq bigint, csv string, rows bigint, e_seq bigint, error string, log_lines bigint")
-    OUTPUT = ("run_id bigint, status string, collected bigint, total bigint, message string, last_url string, csv string, "
+    OUTPUT = ("status string, collected bigint, total bigint, message string, last_url string, csv string, "
               "rows bigint, error string, log_lines bigint")
 
-    def __init__(self, ttl_ms: int | None = None) -> None:
-        self.ttl_ms = ttl_ms
+    def __init__(self, ttl_ms: int | None = None, timeout_ms: int | None = None) -> None:
+        self.ttl_ms, self.timeout_ms = ttl_ms, timeout_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("run", self.STATE, self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        names = [part.split()[0] for part in self.STATE.split(", ")]
+        names = self.names()
+        if self.timeout_ms and not self.state.exists():
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.timeout_ms)
         s = dict(zip(names, self.state.get())) if self.state.exists() else {
             **dict.fromkeys(names), "ran": False, "log_lines": 0}
         for batch in rows:
@@ -67,14 +70,27 @@ class RunFold(StatefulProcessor):
                     ("e_seq", kind == "error", {"error": "message"})):
                 part = batch[hit]
                 if len(part):
-                    row = part.loc[part["seq"].idxmax()]
+                    row = part.iloc[int(part["seq"].to_numpy().argmax())]
                     if s[seq_name] is None or row["seq"] > s[seq_name]:
                         s[seq_name] = int(row["seq"])
                         for name, source in fields.items():
                             v = row[source]
                             s[name] = v.item() if hasattr(v, "item") else v
         self.state.update(tuple(s[n] for n in names))
-        yield pd.DataFrame([{"run_id": key[0], "status": "running" if s["ran"] else "starting",
+        yield self.row(key, s, "running" if s["ran"] else "starting")
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """A run that is still going when its time is up has failed; its state is dropped."""
+        if self.state.exists():
+            s = dict(zip(self.names(), self.state.get()))
+            self.state.clear()
+            yield self.row(key, {**s, "error": f"workflow timed out after {self.timeout_ms // 1000}s"}, "failed")
+
+    def names(self) -> list[str]:
+        return [part.split()[0] for part in self.STATE.split(", ")]
+
+    def row(self, key, s: dict, status: str) -> pd.DataFrame:
+        return pd.DataFrame([{"run_id": key[0], "status": status,
                              **{n: s[n] for n in ("collected", "total", "message")}, "last_url": s["last_url"] or "",
                              **{n: s[n] for n in ("csv", "rows", "error", "log_lines")}}]).astype(
             {"collected": "Int64", "total": "Int64", "rows": "Int64"})
@@ -83,15 +99,16 @@ class RunFold(StatefulProcessor):
         pass
 
 
-def live_run_state(events: DataFrame, abandon_after_ms: int | None = None) -> DataFrame:
+def live_run_state(events: DataFrame, abandon_after_ms: int | None = None, timeout_ms: int | None = None) -> DataFrame:
     """Low-latency form: the current state of each run that changed, as update rows of a stream.
 
-    State of a run nobody hears of any more is dropped after ``abandon_after_ms``. Needs the RocksDB
-    state store. For runs that dominate the stream prefer :func:`fold_runs_stream`.
+    State of a run nobody hears of any more is dropped after ``abandon_after_ms``. With ``timeout_ms`` a run fails
+    by a timer so long after its first event. Run ids may be of any type. Needs the RocksDB state store. For runs that dominate the stream prefer :func:`fold_runs_stream`.
     """
     return events.groupBy("run_id").transformWithStateInPandas(
-        statefulProcessor=RunFold(abandon_after_ms), outputStructType=RunFold.OUTPUT, outputMode="Update",
-        timeMode="ProcessingTime" if abandon_after_ms else "None")
+        statefulProcessor=RunFold(abandon_after_ms, timeout_ms), outputMode="Update",
+        outputStructType=f"run_id {events.schema['run_id'].dataType.simpleString()}, {RunFold.OUTPUT}",
+        timeMode="ProcessingTime" if abandon_after_ms or timeout_ms else "None")
 
 
 def progress_windows(events: DataFrame, width: str, lateness: str, slide: str | None = None) -> DataFrame:
