@@ -88,8 +88,8 @@ def _payloads(spark, sf):
 
 
 @query("s04_read_rows_json", """
-    SELECT row_number() OVER (ORDER BY id, at) AS rid, name, balance FROM (
-      SELECT c_custkey AS id, 0 AS at, c_name AS name, CAST(c_nationkey AS DOUBLE) * 1000 AS balance FROM customer WHERE c_custkey % 10 <> 9
+    SELECT row_number() OVER (ORDER BY id, spot) AS rid, name, balance FROM (
+      SELECT c_custkey AS id, 0 AS spot, c_name AS name, CAST(c_nationkey AS DOUBLE) * 1000 AS balance FROM customer WHERE c_custkey % 10 <> 9
       UNION ALL SELECT c_custkey, 3, 'second', NULL FROM customer WHERE c_custkey % 10 <> 9)""")
 def s04(spark, sf):
     good, _ = tables.read_rows_json(_payloads(spark, sf), "payload", ["Name", {"name": "Balance", "type": "number"}])
