@@ -117,10 +117,3 @@ def extract_to_tidy(sources: Sequence[tuple[DataFrame, str]], pattern: str, name
 
 def unique_preserve_order(c: Column) -> Column:
     return F.array_distinct(c)
-
-
-def field_or_fail(df: DataFrame, name: str) -> T.StructField:
-    f = find_field(df, name)
-    if f is None:
-        raise ValueError(f"no column {name}")
-    return f

@@ -70,16 +70,19 @@ def e03b(spark, sf):
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider, None)
     spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    root, stream = event_stream(spark, sf, "run-live")
-    out = live.live_run_state(stream)
     def store(batch, batch_id):
         batch.write.mode("overwrite").parquet(f"{root}/out/batch={batch_id}")
-    q = out.writeStream.outputMode("update").foreachBatch(store).option("checkpointLocation", f"{root}/check").trigger(availableNow=True).start()
-    q.awaitTermination()
-    if before:
-        spark.conf.set(provider, before)
-    else:
-        spark.conf.unset(provider)
+
+    try:
+        root, stream = event_stream(spark, sf, "run-live")
+        q = (live.live_run_state(stream).writeStream.outputMode("update").foreachBatch(store)
+             .option("checkpointLocation", f"{root}/check").trigger(availableNow=True).start())
+        q.awaitTermination()
+    finally:
+        if before:
+            spark.conf.set(provider, before)
+        else:
+            spark.conf.unset(provider)
     updates = spark.read.parquet(f"{root}/out")
     rest = [c for c in updates.columns if c not in ("run_id", "batch")]
     return updates.groupBy("run_id").agg(F.max_by(F.struct(*rest), "batch").alias("s")).select("run_id", "s.*")

@@ -138,8 +138,13 @@ RECURSIVE = """
 
 @query("q10_recursive_cte", RECURSIVE.replace("{pages}", "pages"))
 def q10(spark, sf):
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")   # the default stops at a million rows
-    return sql(spark, sf, RECURSIVE)
+    limit = "spark.sql.cteRecursionRowLimit"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "-1")    # the default stops at a million rows
+    try:
+        return settle(sql(spark, sf, RECURSIVE), "recursive")
+    finally:
+        spark.conf.set(limit, before)
 
 
 both("q11_set_operations", """
