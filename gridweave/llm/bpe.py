@@ -33,8 +33,9 @@ from .registry import query
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Entries that a table of pieces or fragments holds at most; beyond, it starts anew.
-TABLE_LIMIT = 200_000
+#: Entries that a table of pieces or fragments holds at most; beyond, it starts anew. Vocabularies with word ends
+#: have fewer tables, which may be larger.
+TABLE_LIMIT, WORD_TABLE_LIMIT = 200_000, 400_000
 
 # Letters of ASCII and Latin-1: for texts of these and other visible ASCII, the splitting rules need no
 # Unicode tables, so they can be applied here; other pieces go through the library's own rule.
@@ -59,11 +60,11 @@ def byte_letters() -> list[str]:
 class Table(dict):
     """A cache of bounded size filled by a function."""
 
-    def __init__(self, make: Callable[[str], bytes]) -> None:
-        self.make = make
+    def __init__(self, make: Callable[[str], bytes], limit: int) -> None:
+        self.make, self.limit = make, limit
 
     def __missing__(self, key: str) -> bytes:
-        if len(self) >= TABLE_LIMIT:
+        if len(self) >= self.limit:
             self.clear()
         value = self[key] = self.make(key)
         return value
@@ -96,10 +97,11 @@ class Encoder:
             self.token_bytes.setdefault(i, raw + (b" " if plain != token else b""))
             pairs = np.frombuffer(raw, np.uint8)
             self.inner[pairs[:-1], pairs[1:]] = True
-        self.whole = Table(self._piece)  # a piece at the start of a line, or of words
-        self.spaced = Table(lambda piece: self._piece(" " + piece))
-        self.fragments = Table(self._fragment)
         self.kind = self._kind(spec)
+        limit = WORD_TABLE_LIMIT if self.kind == "words" else TABLE_LIMIT
+        self.whole = Table(self._piece, limit)  # a piece at the start of a line, or of words
+        self.spaced = Table(lambda piece: self._piece(" " + piece), limit)
+        self.fragments = Table(self._fragment, limit)
 
     def _kind(self, spec: dict) -> str:
         before = spec.get("pre_tokenizer") or {}
