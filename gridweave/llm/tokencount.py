@@ -32,7 +32,7 @@ from .registry import query
 
 MARK = "▁"
 #: Nodes of a trie, and words with known counts; what is fuller is thrown away and started anew.
-MOST_NODES, MOST_WORDS = 250_000, 400_000
+MOST_NODES, MOST_WORDS = 400_000, 1_000_000
 
 
 def piece_scores(model: bytes) -> tuple[dict[str, float], float]:
@@ -54,56 +54,61 @@ class Trie:
     """
 
     def __init__(self, scores: dict[str, float], byte_score: float) -> None:
-        self.pieces: dict = {}  # nested by character; a piece's own score under ""
+        # The piece trie: nodes are lists of children by character and the score of the piece that ends there.
+        self.pieces: list = [{}, None]
         for piece, value in scores.items():
             at = self.pieces
             for c in piece:
-                at = at.setdefault(c, {})
-            at[""] = value
+                at = at[0].setdefault(c, [{}, None])
+            at[1] = value
         self.byte_score = byte_score
         self.clear()
 
     def clear(self) -> None:
         self.nodes = 1
         # A node: its children by character, its best score and tokens, the pieces under way.
-        self.root: tuple = ({}, 0.0, 0, ((self.pieces, 0.0, 0),))
+        self.root: tuple = ({}, 0.0, 0, [(self.pieces[0], 0.0, 0)])
 
     def _grow(self, parent: tuple, c: str) -> tuple:
         under_way, best, tokens = [], -math.inf, 0
-        for at, before, n in parent[3]:
-            further = at.get(c)
+        for children, before, n in parent[3]:
+            further = children.get(c)
             if further is None:
                 continue
-            under_way.append((further, before, n))
-            value = further.get("")
-            if value is not None and (before + value > best or (before + value == best and n + 1 < tokens)):
-                best, tokens = before + value, n + 1
-        if c not in self.pieces or "" not in self.pieces[c]:  # no piece of its own: spell it
+            onward, value = further
+            if onward:
+                under_way.append((onward, before, n))
+            if value is not None:
+                value += before
+                if value > best or (value == best and n + 1 < tokens):
+                    best, tokens = value, n + 1
+        alone = self.pieces[0].get(c)
+        if alone is None or alone[1] is None:  # no piece of its own: spell it
             size = len(c.encode("utf-8", "surrogatepass"))
             value = parent[1] + size * self.byte_score
             if value > best:
                 best, tokens = value, parent[2] + size
-        under_way.append((self.pieces, best, tokens))
-        node = parent[0][c] = ({}, best, tokens, tuple(under_way))
+        under_way.append((self.pieces[0], best, tokens))
+        node = parent[0][c] = ({}, best, tokens, under_way)
         self.nodes += 1
         return node
 
-    def tokens(self, pre_token: str) -> tuple[int, float]:
+    def tokens(self, pre_token: str) -> int:
         if self.nodes > MOST_NODES:
             self.clear()
         at = self.root
         for c in pre_token:
             at = at[0].get(c) or self._grow(at, c)
-        return at[2], at[1]
+        return at[2]
 
 
 class Counter(dict):
-    """Terminal counts: (tokens, score) of a word, looked up in the trie the first time it is seen."""
+    """Terminal counts: the tokens of a word, looked up in the trie the first time it is seen."""
 
     def __init__(self, scores: dict[str, float], byte_score: float) -> None:
         self.trie = Trie(scores, byte_score)
 
-    def __missing__(self, word: str) -> tuple[int, float]:
+    def __missing__(self, word: str) -> int:
         if len(self) >= MOST_WORDS:
             self.clear()
         found = self[word] = self.trie.tokens(MARK + word)
@@ -116,11 +121,11 @@ def counter(model: bytes) -> Counter:
     return Counter(*piece_scores(model))
 
 
-COUNTED = pa.schema([("doc_id", pa.int64()), ("n_pre_tokens", pa.int64()), ("n_tokens", pa.int64()), ("log_prob", pa.float64())])
+COUNTED = pa.schema([("doc_id", pa.int64()), ("n_pre_tokens", pa.int64()), ("n_tokens", pa.int64())])
 
 
 def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: ``doc_id, n_pre_tokens, n_tokens, log_prob`` (the sum of the best scores)."""
+    """One row per document: ``doc_id, n_pre_tokens, n_tokens``."""
     with open(model_path, "rb") as f:
         shipped = docs.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary file, whatever the data
 
@@ -129,17 +134,16 @@ def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch, "text"), strict=True):
                 found = list(map(known.__getitem__, text.split()))
-                rows.add((doc_id, len(found), sum([f[0] for f in found]), math.fsum([f[1] for f in found])))
+                rows.add((doc_id, len(found), sum(found)))
                 if rows.full():
                     yield rows.take()
         yield from rows.rest()
 
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        run, "doc_id bigint, n_pre_tokens bigint, n_tokens bigint, log_prob double")
+        run, "doc_id bigint, n_pre_tokens bigint, n_tokens bigint")
 
 
 @query("op7_token_counts")
 def op7_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     import public_tokenizers
-    return count_tokens(spark.read.parquet(f"{sf}/documents.parquet"), public_tokenizers.path("piece_bpe_32k.model")).select(
-        "doc_id", "n_pre_tokens", "n_tokens", F.round("log_prob", 3).alias("log_prob"))
+    return count_tokens(spark.read.parquet(f"{sf}/documents.parquet"), public_tokenizers.path("piece_bpe_32k.model"))
