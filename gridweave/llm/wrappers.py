@@ -15,9 +15,15 @@ after another in one stream, so a host with a third of all pages is spread like
 
 A tag counts with its classes, id and role. Parts of the wrapper are then named: menus, headers, footers, side
 bars, notices, adverts, forms, comments and the like by their tag, role or class words; the main part is the
-article or main element. On hosts without one, the main part is the whole body less texts that are the same on all
+article or main element. On hosts without one, the main part is the whole body less lines that are the same on many
 pages and groups that are mostly links. A page's tokens are aligned with the wrapper, which tells which to keep.
 
+A line is template if it stands at the same part of the wrapper on ``SAME_PAGES`` different pages and on half of all
+different pages of its host. Pages are different if the lines of their main parts are; copies count as one, and so do
+repeats within a page. The count is exact: a second pass aligns the pages with the wrappers and gives a hash for
+each line, which are counted by Spark. A page of which less than ``OWN_SHARE`` would be left is a copy with small
+changes, and keeps all.
+
 Wrappers are a few KB per host. They are broadcast up to ``BROADCAST_BYTES`` in total, and joined to the pages by host
 beyond that.
 
@@ -31,8 +37,9 @@ from __future__ import annotations
 import html
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
+from hashlib import blake2b
 from zlib import crc32
 
 import pyarrow as pa
@@ -49,8 +56,10 @@ FAN_IN = 64
 MOST_ELEMENTS, MOST_RETURNS = 24, 2
 #: Tags nested deeper than this are passed over, as in browsers; their texts belong to the tag around them.
 MOST_DEPTH = 256
-#: Texts that are the same on so many pages of a host, and on half of its pages, belong to its template.
+#: Lines that are the same on so many different pages of a host, and on half of them, belong to its template.
 SAME_PAGES = 5
+#: A page with a smaller share of lines of its own, by characters, is taken for a copy of others.
+OWN_SHARE = 0.1
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea iframe svg math object canvas audio video".split())
@@ -287,34 +296,62 @@ def _has_text(item) -> bool:
     return any(x.strip() if isinstance(x, str) else x.key == "#" or (not is_side(x.key) and _has_text(x)) for x in item.content)
 
 
-class Extractor:
-    """The texts of pages of one host by its wrapper."""
+def hash_of(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
-    def __init__(self, wrapper: Part) -> None:
-        self.wrapper, self.main = wrapper, has_main(wrapper.content)
 
-    def text(self, source: str) -> str:
+class Extractor:
+    """The texts of pages of one host by its wrapper. ``template``: places and hashes of the lines to leave out."""
+
+    def __init__(self, wrapper: Part, template: Iterable[tuple[int, int]] = ()) -> None:
+        self.wrapper, self.main, self.template = wrapper, has_main(wrapper.content), frozenset(template)
+        self.places: dict[int, int] = {id(wrapper): 0}
+        self._number([wrapper])
+
+    def _number(self, pooled: list[Part]) -> None:
+        """A number for every part that is a tag; those of one key in one stream share it."""
+        by_key: dict[str, list[Part]] = {}
+        for part in (p for above in pooled for p in above.content if p.key != "#"):
+            by_key.setdefault(part.key, []).append(part)
+        number = len(set(self.places.values()))
+        for i, parts in enumerate(by_key.values()):
+            self.places.update((id(p), number + i) for p in parts)
+        for parts in by_key.values():
+            self._number(parts)
+
+    def lines(self, source: str) -> list[tuple[int, str]]:
+        """The lines of the main part, each with the number of the wrapper's part it stands in (-1: in none)."""
         page = parse(source)
-        self.blocks: list[str] = []
+        self.blocks: list[tuple[int, str]] = []
         self.line: list[str] = []
+        self.place = -1
         # A page of another make than its host's others is read by what it has itself.
         self.only_main = self.main and has_main(page.content)
-        self._walk(page, self.wrapper, inside=not self.only_main)
+        self._walk(page, self.wrapper, not self.only_main, 0)
         self._end_block()
-        return "\n".join(self.blocks)
+        return self.blocks
+
+    def text(self, source: str) -> str:
+        lines = self.lines(source)
+        if self.template and not self.only_main:
+            own = [(place, line) for place, line in lines if (place, hash_of(line)) not in self.template]
+            if sum(len(line) for _, line in own) >= OWN_SHARE * sum(len(line) for _, line in lines):
+                lines = own
+        return "\n".join(line for _, line in lines)
 
     def _end_block(self) -> None:
         words = " ".join(html.unescape("".join(self.line)).split())
         if words:
-            self.blocks.append(words)
+            self.blocks.append((self.place, words))
         self.line = []
 
-    def _walk(self, tag: Tag, part: Part | None, inside: bool) -> None:
+    def _walk(self, tag: Tag, part: Part | None, inside: bool, place: int) -> None:
+        """``place``: the number of the wrapper's part that the block around it meets."""
         for item, met in self._met(tag, part):
             if isinstance(item, str):
-                template = not self.only_main and met is not None and met.text is not None and (
-                    met.pages >= max(SAME_PAGES, self.wrapper.pages / 2))
-                if inside and not template:
+                if inside:
+                    if not self.line:
+                        self.place = place
                     self.line.append(item)
                 continue
             block = item.name not in INLINE
@@ -323,7 +360,8 @@ class Extractor:
             links = not self.only_main and met is not None and met.key.split(" ")[0] in ("ul", "ol", "table", "div") and (
                 2 * met.linked > met.chars)
             if not is_side(item.key) and not links:
-                self._walk(item, met, inside or is_main(item.key))
+                here = place if not block or item.name in VOID else self.places[id(met)] if met is not None else -1
+                self._walk(item, met, inside or is_main(item.key), here)
             if block:
                 self._end_block()
 
@@ -402,7 +440,68 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
         partial, most = settle(merged.withColumn("salt", F.pmod(F.hash("wrapper"), F.lit(1 << 30))), "wrappers"), groups
 
 
+LINE = pa.schema([("host", pa.string()), ("place", pa.int32()), ("line", pa.int64()), ("page", pa.int64())])
 TEXT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
+#: The place under which a page itself is counted.
+PAGE = -2
+
+
+class Sent:
+    """What is known of the hosts, for the pages: broadcast up to a size, else joined to the pages by host."""
+
+    def __init__(self, pages: DataFrame, known: DataFrame, broadcast_bytes: int) -> None:
+        size = known.agg(F.sum(F.octet_length("wrapper") + F.octet_length("host") + F.octet_length("template"))).first()[0] or 0
+        self.shipped, self.pages = None, pages
+        if size <= broadcast_bytes:
+            rows = known.select("host", "wrapper", "template").collect()
+            self.shipped = pages.sparkSession.sparkContext.broadcast({r["host"]: (r["wrapper"], r["template"]) for r in rows})
+        else:
+            self.pages = pages.join(known.select("host", "wrapper", "template"), "host", "left")
+
+
+def extractors(batch: pa.RecordBatch, shipped, known: dict[str, Extractor]) -> Iterator[tuple[str, str, Extractor]]:
+    """Host, html and extractor of every row; ``known`` keeps the extractors of up to 1000 hosts."""
+    given = list(zip(batch.column("wrapper").to_pylist(), batch.column("template").to_pylist(), strict=True)) if shipped is None else None
+    for i, (host, source) in enumerate(zip(batch.column("host").to_pylist(), texts_of(batch, "html"), strict=True)):
+        if host not in known:
+            if len(known) >= 1000:
+                known.clear()
+            wrapper, template = given[i] if given else shipped.value[host]
+            known[host] = Extractor(Part.load(json.loads(wrapper)), map(tuple, json.loads(template)))
+        yield host, source, known[host]
+
+
+def template_lines(pages: DataFrame, wrappers: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``wrappers`` with ``template``: place and hash (nested JSON) of the lines that many different pages of a host share.
+
+    ``pages`` has ``host`` and ``html``. A host with fewer than ``SAME_PAGES`` pages has none.
+    """
+    sent = Sent(pages.select("host", "html"), wrappers.withColumn("template", F.lit("[]")), broadcast_bytes)
+    shipped = sent.shipped
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = Rows(LINE)
+        known: dict[str, Extractor] = {}
+        for batch in batches:
+            for host, source, extractor in extractors(batch, shipped, known):
+                if extractor.wrapper.pages < SAME_PAGES:
+                    continue
+                lines = extractor.lines(source)
+                page = hash_of("\n".join(line for _, line in lines))
+                rows.add((host, PAGE, 0, page))
+                for place, line in {(place, hash_of(line)) for place, line in lines}:
+                    rows.add((host, place, line, page))
+                if rows.full():
+                    yield rows.take()
+        yield from rows.rest()
+
+    seen = sent.pages.mapInArrow(run, "host string, place int, line bigint, page bigint").distinct()
+    often = settle(seen.groupBy("host", "place", "line").agg(F.count("*").alias("n")).where(F.col("n") >= SAME_PAGES), "wrappers")
+    all_pages = often.where(F.col("place") == PAGE).select("host", F.col("n").alias("all"))
+    # A page has only so many lines, so no more than twice as many can stand on half of the pages.
+    found = (often.where(F.col("place") != PAGE).join(all_pages, "host").where(2 * F.col("n") >= F.col("all"))
+             .groupBy("host").agg(F.to_json(F.sort_array(F.collect_list(F.array(F.col("place").cast("bigint"), "line")))).alias("template")))
+    return wrappers.join(found, "host", "left").withColumn("template", F.coalesce("template", F.lit("[]")))
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
@@ -411,31 +510,22 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     wrappers = settle(infer_wrappers(pages, url_col, html_col), "wrappers")
     narrow = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"),
                           host_of(F.col(url_col)).alias("host"))
-    size = wrappers.agg(F.sum(F.octet_length("wrapper") + F.octet_length("host"))).first()[0] or 0
-    shipped = None
-    if size <= broadcast_bytes:
-        shipped = narrow.sparkSession.sparkContext.broadcast({r["host"]: r["wrapper"] for r in wrappers.select("host", "wrapper").collect()})
-    else:
-        narrow = narrow.join(wrappers.select("host", "wrapper"), "host", "left")
+    sent = Sent(narrow, settle(template_lines(narrow, wrappers, broadcast_bytes), "wrappers"), broadcast_bytes)
+    shipped = sent.shipped
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = Rows(TEXT)
         known: dict[str, Extractor] = {}
         for batch in batches:
-            given = batch.column("wrapper").to_pylist() if shipped is None else None
-            for i, (page_id, url, host, source) in enumerate(zip(batch.column("page_id").to_pylist(), batch.column("url").to_pylist(),
-                                                                 batch.column("host").to_pylist(), texts_of(batch, "html"), strict=True)):
-                if host not in known:
-                    if len(known) >= 1000:
-                        known.clear()
-                    known[host] = Extractor(Part.load(json.loads(given[i] if given else shipped.value[host])))
-                text = known[host].text(source)
+            for page_id, url, (_, source, extractor) in zip(batch.column("page_id").to_pylist(), batch.column("url").to_pylist(),
+                                                            extractors(batch, shipped, known), strict=True):
+                text = extractor.text(source)
                 rows.add((page_id, url, text), len(text))
                 if rows.full():
                     yield rows.take()
         yield from rows.rest()
 
-    return narrow.mapInArrow(run, "page_id bigint, url string, text string")
+    return sent.pages.mapInArrow(run, "page_id bigint, url string, text string")
 
 
 @query("op4_main_text")

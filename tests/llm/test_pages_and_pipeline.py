@@ -53,6 +53,23 @@ def test_a_host_without_article_loses_its_template(spark):
     assert {r.text for r in got} == {f"Own text {i} of this page\nand more {i * 7}" for i in range(8)}
 
 
+PAGES = "page_id long, url string, html string"
+
+
+def test_copies_and_repeats_are_no_template(spark):
+    lonely = page("<h1>Only title</h1><p>The one paragraph.</p>")
+    rows = [(n * 10_000 + i, f"http://h{n}.example/{i}", lonely) for n in (4, 5, 1000) for i in range(n)]
+    rows.append((1, "http://single.example/", page("<div><p>Again.</p></div>" * 7 + "<ul>" + "<li>item</li>" * 6 + "</ul>")))
+    # copies beside different pages count once; a view counter does not make a page another one
+    rows += [(100 + i, "http://mixed.example/x", page(f"<div><p>Shared by the four and the copies.</p><p>Own {min(i, 3)} words</p></div>")) for i in range(40)]
+    rows += [(200 + i, "http://near.example/x", page(f"<h1>The title</h1><p>{'A long text. ' * 30}</p><p>views {i}</p>")) for i in range(20)]
+    got = {r.page_id: r.text for r in wrappers.extract_text(spark.createDataFrame(rows, PAGES)).collect()}
+    assert {got[n * 10_000 + i] for n in (4, 5, 1000) for i in range(n)} == {"Only title\nThe one paragraph."}
+    assert got[1] == "\n".join(["Again."] * 7 + ["item"] * 6)
+    assert all(got[100 + i] == f"Shared by the four and the copies.\nOwn {min(i, 3)} words" for i in range(40))
+    assert all(got[200 + i].startswith("The title\nA long text.") and got[200 + i].endswith(f"views {i}") for i in range(20))
+
+
 def test_wrappers_get_optional_and_repeated_groups():
     a, b = (wrappers.part_of(wrappers.parse(page(x))) for x in ("<h1>A</h1><p>1</p>", "<h1>B</h1><h2>s</h2><p>1</p><p>2</p>"))
     whole = wrappers.join_wrappers(a, b)
