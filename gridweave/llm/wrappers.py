@@ -15,8 +15,9 @@ after another in one stream, so a host with a third of all pages is spread like
 
 A tag counts with its classes, id and role. Parts of the wrapper are then named: menus, headers, footers, side
 bars, notices, adverts, forms, comments and the like by their tag, role or class words; the main part is the
-article or main element. On hosts without one, the main part is the whole body less lines that are the same on many
-pages and groups that are mostly links. A page's tokens are aligned with the wrapper, which tells which to keep.
+article or main element. On hosts without one, the main part is the whole body less groups that are mostly links. A
+page's tokens are aligned with the wrapper, which tells which of its lines to keep, in the main part as well: slots
+and groups that vary are content, lines that are the same on many pages are template.
 
 A line is template if it stands at the same part of the wrapper on ``SAME_PAGES`` different pages and on half of all
 different pages of its host. Pages are different if the lines of their main parts are; copies count as one, and so do
@@ -333,7 +334,7 @@ class Extractor:
 
     def text(self, source: str) -> str:
         lines = self.lines(source)
-        if self.template and not self.only_main:
+        if self.template:
             own = [(place, line) for place, line in lines if (place, hash_of(line)) not in self.template]
             if sum(len(line) for _, line in own) >= OWN_SHARE * sum(len(line) for _, line in lines):
                 lines = own

@@ -70,6 +70,17 @@ def test_copies_and_repeats_are_no_template(spark):
     assert all(got[200 + i].startswith("The title\nA long text.") and got[200 + i].endswith(f"views {i}") for i in range(20))
 
 
+def test_unmarked_boilerplate_inside_the_article(spark):
+    rows = [(i, "http://h.example/x", page(
+        f"<article><h1>Title {i}</h1><p>Own text {i} of this page</p>" + "<h2>Part</h2>" * (i % 3 == 0) + f"<p>More {i * 7} text</p>" * (i % 4)
+        + "<p>Read <b>also</b> our guide</p><div>We deliver on working days</div></article>")) for i in range(12)]
+    rows += [(100 + i, "http://small.example/x", rows[i][2]) for i in range(4)]
+    got = {r.page_id: r.text for r in wrappers.extract_text(spark.createDataFrame(rows, PAGES)).collect()}
+    own = [[f"Title {i}", f"Own text {i} of this page"] + ["Part"] * (i % 3 == 0) + [f"More {i * 7} text"] * (i % 4) for i in range(12)]
+    assert all(got[i] == "\n".join(own[i]) for i in range(12))
+    assert all(got[100 + i] == "\n".join([*own[i], "Read also our guide", "We deliver on working days"]) for i in range(4))
+
+
 def test_wrappers_get_optional_and_repeated_groups():
     a, b = (wrappers.part_of(wrappers.parse(page(x))) for x in ("<h1>A</h1><p>1</p>", "<h1>B</h1><h2>s</h2><p>1</p><p>2</p>"))
     whole = wrappers.join_wrappers(a, b)
