@@ -14,10 +14,13 @@ it reads and gives one partial wrapper per host; these are aligned with each oth
 after another in one stream, so a host with a third of all pages is spread like any other.
 
 A tag counts with its classes, id and role. Parts of the wrapper are then named: menus, headers, footers, side
-bars, notices, adverts, forms, comments and the like by their tag, role or class words; the main part is the
-article or main element. On hosts without one, the main part is the whole body less groups that are mostly links. A
-page's tokens are aligned with the wrapper, which tells which of its lines to keep, in the main part as well: slots
-and groups that vary are content, lines that are the same on many pages are template.
+bars, notices, adverts, forms, comments and the like by their tag or role, or by a class or id that is, begins or ends
+with such a word; the main part is the article or main element. Class words do not make a side part of a main
+element, or of what stands around the only ones if the text outside of side parts is no longer; and not, adverts
+and comments apart, of a part that the host's wrapper shows to hold long varying text with few links. On hosts
+without a main part, it is the whole body less groups that are mostly links. A page's tokens are aligned with the
+wrapper, which tells which of its lines to keep, in the main part as well: slots and groups that vary are content,
+lines that are the same on many pages are template.
 
 A line is template if it stands at the same part of the wrapper on ``SAME_PAGES`` different pages and on half of all
 different pages of its host. Pages are different if the lines of their main parts are; copies count as one, and so do
@@ -40,6 +43,7 @@ import json
 import re
 from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
 from hashlib import blake2b
 from zlib import crc32
 
@@ -77,6 +81,13 @@ SIDE_WORDS = frozenset(
     "masthead footer sidebar aside widget related recommended notice cookie cookies consent gdpr popup modal overlay alert subscribe "
     "newsletter signup login share sharing social comment comments disqus reply replies respond pagination pager toolbar form search "
     "disclaimer copyright".split())
+#: Of these, what stays a side part however long its text is.
+FIRM_WORDS = frozenset("ad ads advert adverts advertisement adbox sponsor sponsored promo comment comments disqus reply replies respond".split())
+#: Words that tell of a state, not of what a part is: has-sidebar, layout-right-sidebar, long-form, ad-free, comments-open.
+STATE_FIRST = frozenset("has have with no non not without hide hides show shows is layout long full free".split())
+STATE_LAST = frozenset("free less open opened closed off on enabled disabled active inactive visible hidden none work works".split())
+#: Text of a part, in characters each time, that is long.
+LONG_TEXT = 200
 MAIN_TAGS, MAIN_ROLES = frozenset(["article", "main"]), frozenset(["main", "article"])
 
 PART = re.compile(r"<!--(?:.*?)(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
@@ -263,28 +274,51 @@ def join_wrappers(a: Part, b: Part) -> Part:
     return _absorb(a, b)
 
 
-def is_side(key: str) -> bool:
+@lru_cache(1 << 16)
+def is_hard_side(key: str) -> bool:
+    """A side part by its tag or role."""
     name, *marks = key.split(" ")
-    if name in SIDE_TAGS or name in RAW:
-        return True
-    for mark in marks:
-        if mark.startswith("@"):
-            if mark[1:] in SIDE_ROLES:
-                return True
-        elif mark in SIDE_WORDS or any(w in SIDE_WORDS for w in re.split(r"[-_0]+", mark)):
-            return name not in ("html", "body")
-    return False
+    return name in SIDE_TAGS or name in RAW or any(m[1:] in SIDE_ROLES for m in marks if m.startswith("@"))
 
 
+@lru_cache(1 << 16)
+def side_word(key: str) -> str:
+    """How classes and id call this a side part: "firm" (adverts, comments), "whole", "compound", or not at all ("")."""
+    name, *marks = key.split(" ")
+    found = ""
+    if name in ("html", "body"):
+        return found
+    for mark in (m for m in marks if not m.startswith("@")):
+        words = [w for w in re.split(r"[-_0]+", mark) if w]
+        if mark not in SIDE_WORDS and len(words) > 1 and (words[0] in STATE_FIRST or words[-1] in STATE_LAST):
+            continue
+        heads = {mark, words[0], words[-1]} & SIDE_WORDS if words else set()
+        if heads & FIRM_WORDS:
+            return "firm"
+        if heads:
+            found = "whole" if found == "whole" or len(words) == 1 else "compound"
+    return found
+
+
+def is_side(key: str) -> bool:
+    return is_hard_side(key) or bool(side_word(key))
+
+
+@lru_cache(1 << 16)
 def is_main(key: str) -> bool:
     name, *marks = key.split(" ")
     return name in MAIN_TAGS or any(m[1:] in MAIN_ROLES for m in marks if m.startswith("@"))
 
 
+def is_passed(key: str) -> bool:
+    """Side parts in the search for main elements, which only count as such as adverts and comments beside others."""
+    return is_hard_side(key) or (side_word(key) == "firm" if is_main(key) else bool(side_word(key)))
+
+
 def has_main(content: list) -> bool:
     """Whether an article or main element with text stands in these parts (or tags), outside of side parts."""
     for item in content:
-        if isinstance(item, str) or item.key == "#" or is_side(item.key):
+        if isinstance(item, str) or item.key == "#" or is_passed(item.key):
             continue
         if is_main(item.key) and _has_text(item):
             return True
@@ -294,18 +328,68 @@ def has_main(content: list) -> bool:
 
 
 def _has_text(item) -> bool:
-    return any(x.strip() if isinstance(x, str) else x.key == "#" or (not is_side(x.key) and _has_text(x)) for x in item.content)
+    return any(x.strip() if isinstance(x, str) else x.key == "#" or (not is_passed(x.key) and _has_text(x)) for x in item.content)
+
+
+def _chars(tag: Tag, passed=is_hard_side) -> int:
+    """Characters of text that is no link, outside of side parts."""
+    return sum(len("".join(x.split())) if isinstance(x, str) else 0 if passed(x.key) or x.name == "a" else _chars(x, passed) for x in tag.content)
+
+
+def mains_in_side_parts(page: Tag) -> set[int]:
+    """Ids of the main elements of a page and of what stands around them, where only class words hide them.
+
+    None if they hold less text than stands on the page outside of side parts.
+    """
+    found: set[int] = set()
+    chars = 0
+
+    def look(tag: Tag) -> bool:
+        nonlocal chars
+        any_ = False
+        for item in tag.content:
+            if isinstance(item, str) or is_hard_side(item.key):
+                continue
+            inner = look(item) if not is_main(item.key) else False
+            if is_main(item.key) and (own := _chars(item)):
+                chars += own
+                spare(item)
+                inner = True
+            if inner:
+                found.add(id(item))
+                any_ = True
+        return any_
+
+    def spare(main: Tag) -> None:
+        """Main elements in a main element, and what is around these, are not passed over either."""
+        for item in main.content:
+            if not isinstance(item, str) and not is_hard_side(item.key) and is_main(item.key):
+                found.add(id(item))
+                spare(item)
+
+    look(page)
+    return found if chars >= _chars(page, is_side) else set()
 
 
 def hash_of(text: str) -> int:
     return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
+def _part_chars(part: Part) -> int:
+    """Characters of text outside of side tags and roles."""
+    return part.chars if part.key == "#" else sum(_part_chars(p) for p in part.content if not is_hard_side(p.key))
+
+
+def _varies(part: Part) -> bool:
+    return part.text is None if part.key == "#" else any(_varies(p) for p in part.content)
+
+
 class Extractor:
     """The texts of pages of one host by its wrapper. ``template``: places and hashes of the lines to leave out."""
 
     def __init__(self, wrapper: Part, template: Iterable[tuple[int, int]] = ()) -> None:
-        self.wrapper, self.main, self.template = wrapper, has_main(wrapper.content), frozenset(template)
+        self.wrapper, self.template = wrapper, frozenset(template)
+        self.plain: dict[int, bool] = {}
         self.places: dict[int, int] = {id(wrapper): 0}
         self._number([wrapper])
 
@@ -327,7 +411,10 @@ class Extractor:
         self.line: list[str] = []
         self.place = -1
         # A page of another make than its host's others is read by what it has itself.
-        self.only_main = self.main and has_main(page.content)
+        self.only_main, self.spared = has_main(page.content), frozenset()
+        if not self.only_main:
+            self.spared = mains_in_side_parts(page)
+            self.only_main = bool(self.spared)
         self._walk(page, self.wrapper, not self.only_main, 0)
         self._end_block()
         return self.blocks
@@ -360,12 +447,32 @@ class Extractor:
                 self._end_block()
             links = not self.only_main and met is not None and met.key.split(" ")[0] in ("ul", "ol", "table", "div") and (
                 2 * met.linked > met.chars)
-            if not is_side(item.key) and not links:
+            if not self._is_side(item, met) and not links:
                 here = place if not block or item.name in VOID else self.places[id(met)] if met is not None else -1
                 self._walk(item, met, inside or is_main(item.key), here)
             if block:
                 self._end_block()
 
+    def _is_side(self, item: Tag, met: Part | None) -> bool:
+        if is_hard_side(item.key):
+            return True
+        word = side_word(item.key)
+        if not word or id(item) in self.spared:
+            return False
+        if word == "firm" or is_main(item.key):
+            return word == "firm"
+        return not self._is_plain(met, word)
+
+    def _is_plain(self, part: Part | None, word: str) -> bool:
+        """Whether the wrapper has long varying text with few links here; for a whole word also most text of the host."""
+        if part is None:
+            return False
+        if id(part) not in self.plain:
+            self.plain[id(part)] = (
+                part.chars >= LONG_TEXT * part.pages and 4 * part.linked <= part.chars and (self.wrapper.pages == 1 or _varies(part))
+                and (word == "compound" or 2 * part.chars > _part_chars(self.wrapper)))
+        return self.plain[id(part)]
+
     def _met(self, tag: Tag, part: Part | None) -> Iterator[tuple[Tag | str, Part | None]]:
         """The content of a tag, each with the part of the wrapper that it meets."""
         if part is None or part.bag or not part.content:

@@ -81,6 +81,39 @@ def test_unmarked_boilerplate_inside_the_article(spark):
     assert all(got[100 + i] == "\n".join([*own[i], "Read also our guide", "We deliver on working days"]) for i in range(4))
 
 
+def text_of(body, *others):
+    whole = None
+    for x in (body, *others):
+        part = wrappers.part_of(wrappers.parse(page(x)))
+        whole = part if whole is None else wrappers.join_wrappers(whole, part)
+    return wrappers.Extractor(whole).text(page(body))
+
+
+def test_class_words_do_not_hide_the_main_part():
+    long = "A long paragraph of the page, with words enough to be read. " * 8
+    for mark in ("post has-sidebar", "no-sidebar", "layout-right-sidebar", "long-form", "comments-open", "related-work", "ad-free", "sidebar", "notice",
+                 "form", "site-banner", "promo"):
+        for body in ("<article class='{}'><h1>T</h1><p>Own text</p></article>", "<main id='{}'><h1>T</h1><p>Own text</p></main>",
+                     "<div class='{}'><article><h1>T</h1><p>Own text</p></article></div>", "<div id='{}'><div role=main><h1>T</h1><p>Own text</p></div></div>"):
+            assert text_of("<nav>Menu</nav>" + body.format(mark) + "<div class='sidebar'>Side</div><footer>F</footer>") == "T\nOwn text", (mark, body)
+    for mark in ("has-sidebar", "layout-right-sidebar", "long-form", "comments-open", "related-work", "ad-free"):
+        assert text_of(f"<div class='{mark}'><p>Short own text</p></div><div class='sidebar'>Side</div>") == "Short own text", mark
+        assert text_of(f"<article><p>One</p><section class='{mark}'><p>Two</p></section></article>") == "One\nTwo", mark
+    # the wrapper overrules the words where it has long varying text, but not for adverts, comments, links or short notices
+    pages = [f"<div class='{{}}'><p>{i} {long}</p></div><div class='cookie-bar'>We use {i}</div>" for i in range(3)]
+    for mark in ("form-content", "toolbar-page", "widget", "notice"):
+        assert text_of(*(p.format(mark) for p in pages)) == f"0 {long.strip()}", mark
+    for mark in ("ad", "comments", "comment-list", "sponsored-text"):
+        assert text_of(*(p.format(mark) for p in pages)) == "", mark
+    assert text_of(*(f"<article><p>Own {i}</p></article><div class='related-posts'><a>{i} {long}</a></div>" for i in range(3))) == "Own 0"
+    assert text_of(f"<div class='sidebar-layout'><article><p>Own</p></article><div class='sidebar'>{long}</div></div>") == "Own"
+    # teasers are no main part beside a longer text, nor are comments beside an article
+    assert text_of(f"<div class=text><p>{long}</p></div><div class=related><article>Teaser</article></div>") == long.strip()
+    assert text_of("<article class=post><p>Own</p></article><article class=comment>Reader</article>") == "Own"
+    for mark in ("share-buttons", "cookie-notice", "site-footer", "left-sidebar", "post-comments", "sidebar-inner", "ad0"):
+        assert text_of(f"<article><p>Own</p><div class='{mark}'>Side</div></article>") == "Own", mark
+
+
 def test_wrappers_get_optional_and_repeated_groups():
     a, b = (wrappers.part_of(wrappers.parse(page(x))) for x in ("<h1>A</h1><p>1</p>", "<h1>B</h1><h2>s</h2><p>1</p><p>2</p>"))
     whole = wrappers.join_wrappers(a, b)
