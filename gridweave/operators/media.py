@@ -1,4 +1,4 @@
-"""Width and height of images from their first bytes."""
+"""Width and height of images from their headers."""
 
 from __future__ import annotations
 
@@ -8,9 +8,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Dimensions are looked for in this many bytes, as image headers come first.
-HEAD_BYTES = 4096
-
 # JPEG markers of frames that carry the size, and markers without a length.
 JPEG_FRAMES = frozenset([0xC0, 0xC1, 0xC2, 0xC3, 0xC5, 0xC6, 0xC7, 0xC9, 0xCA, 0xCB, 0xCD, 0xCE, 0xCF])
 JPEG_BARE = frozenset([0x01, 0xD0, 0xD1, 0xD2, 0xD3, 0xD4, 0xD5, 0xD6, 0xD7, 0xD8, 0xD9])
@@ -78,12 +75,13 @@ def image_size(content: Column, mime: Column) -> tuple[Column, Column]:
     return width, height
 
 
-def media_metadata(files: DataFrame) -> DataFrame:
+def media_metadata(files: DataFrame, head_bytes: int | None = None) -> DataFrame:
     """Per file (``content, mime`` and any other columns): width, height, status and detail.
 
-    Only JPEG needs a walk through the bytes, done on Arrow batches of file heads.
+    Only JPEG needs a walk through the bytes, done on Arrow batches; its size may stand behind any number of long
+    segments. ``head_bytes``: look no further than so many bytes; off by default.
     """
-    head = F.substring("content", 1, HEAD_BYTES)
+    head = F.col("content") if head_bytes is None else F.substring("content", 1, head_bytes)
     walk = F.pandas_udf(_jpeg_sizes, "width int, height int")
     is_jpeg = F.col("mime").isin("image/jpeg", "image/jpg")
     width, height = image_size(head, F.col("mime"))

@@ -38,6 +38,16 @@ def test_sniff_and_size(spark):
         assert r["status"] == ("ok" if size else "ok_no_dim"), name
 
 
+def test_jpeg_size_behind_long_segments(spark):
+    def segment(marker, n):
+        return b"\xff" + bytes([marker]) + struct.pack(">H", n + 2) + b"\xff\xc0\0\x11" * (n // 4) + b"x" * (n % 4)
+    jpegs = [JPEG[:2] + b"".join(segment(*x) for x in longs) + JPEG[2:]
+             for longs in ([(0xE1, 6000)], [(0xE1, 65_533), (0xE2, 65_533), (0xE2, 40_001), (0xFE, 9)], [(0xED, 4070)])]
+    df = spark.createDataFrame([(i, bytearray(c), "image/jpeg") for i, c in enumerate(jpegs)], "i int, content binary, mime string")
+    assert [(r.width, r.height, r.status) for r in media.media_metadata(df).orderBy("i").collect()] == [(400, 300, "ok")] * 3
+    assert [r.status for r in media.media_metadata(df, head_bytes=5000).orderBy("i").collect()] == ["ok_no_dim", "ok_no_dim", "ok"]
+
+
 def test_free_ids_fill_gaps(spark):
     rnd = random.Random(1)
     used = sorted(rnd.sample(range(1, 60), 25))

@@ -165,6 +165,26 @@ def f14(spark, sf):
     return media.media_metadata(kind).select(F.col("seq").alias("doc_id"), "width", "height", "status")
 
 
+@query("f14_jpeg_sizes", """
+    SELECT doc_id, CASE WHEN doc_id % 5 < 4 THEN 1 + doc_id % 4000 END AS width, CASE WHEN doc_id % 5 < 4 THEN 1 + doc_id % 3000 END AS height,
+           CASE WHEN doc_id % 5 < 4 THEN 'ok' ELSE 'ok_no_dim' END AS status FROM documents""")
+def f14b(spark, sf):
+    """JPEGs whose frame stands behind up to two long segments; every fifth has none."""
+    d, k = table(spark, sf, "documents"), F.col("doc_id")
+
+    def word(n):
+        return F.unhex(F.format_string("%04X", n))
+
+    def segment(marker, n):
+        return F.concat(F.unhex(F.lit(marker)), word(n + 2), F.encode(F.repeat(F.lit("x"), n.cast("int")), "UTF-8"))
+    frame = F.when(k % 5 < 4, F.concat(F.unhex(F.lit("FFC0001108")), word(1 + k % 3000), word(1 + k % 4000), F.encode(F.lit("components"), "UTF-8")))
+    content = F.concat(F.unhex(F.lit("FFD8")), segment("FFE1", k * 977 % 65_000), F.when(k % 2 == 0, segment("FFE2", k * 7919 % 65_000)).otherwise(F.unhex(F.lit(""))),
+                       F.coalesce(frame, F.unhex(F.lit("FFD9"))))
+    files = d.select(k, content.alias("content"))
+    kind = files.withColumn("mime", cat.sniff(F.col("content"), F.lit(""))["mime"])
+    return media.media_metadata(kind).select("doc_id", "width", "height", "status")
+
+
 @query("f15_file_inventory", """
     SELECT CASE WHEN mime LIKE 'image/%' THEN 'image' WHEN mime LIKE 'video/%' THEN 'film' WHEN mime LIKE 'text/%' OR mime = 'application/json' THEN 'code' ELSE 'file' END AS family,
            count(*) AS files, count(DISTINCT sha256) AS contents, CAST(sum(size) AS BIGINT) AS bytes FROM file_meta GROUP BY 1""", uses=("file_meta",))
