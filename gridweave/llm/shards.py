@@ -7,6 +7,9 @@ fill would end inside a cell that holds several atoms, both ends of the cell are
 depends on it, just those cells are split further by one more aggregation. The result is exact, whatever
 the number of texts, and a text with a third of all rows is one atom like any other.
 
+Under that capacity every shard then ends as near as it can to an equal part of what is left, so that an atom
+that is larger than a shard's part does not leave shards without rows.
+
 Everything is DataFrame operations; the binary search runs on the driver over the bounded histogram.
 
 Defined results: a NULL text counts as an empty one (size 1, crc 0) and both are one atom; an empty table
@@ -16,9 +19,9 @@ than shards leaves the last shards empty; other columns are not looked at.
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
-from itertools import accumulate
+from itertools import accumulate, pairwise
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -81,8 +84,42 @@ def fill(ends: list[int], cells: list[Cell], capacity: int, shards: int, late: b
     return base >= total, cuts[:-1] if base >= total else cuts, inside
 
 
+def even_cuts(ends: list[int], cells: list[Cell], capacity: int, shards: int) -> tuple[list[int], set[int]]:
+    """Cuts near equal parts of what is left, none larger than ``capacity``, which must suffice: the index of the
+    first cell of every further shard, and the cells that must be split to tell."""
+    bounds, inside, end = [0, *ends], set(), len(cells)
+    need = [end]    # the first bound from which so many shards suffice
+    for _ in range(shards - 1):
+        limit = bounds[need[-1]] - capacity
+        at = bisect_left(bounds, max(0, limit))
+        if bounds[at] > max(0, limit) and not cells[at - 1].whole:
+            inside.add(at - 1)
+        need.append(at)
+    at, cuts = 0, []
+    for left in range(shards, 1, -1):
+        base = bounds[at]
+        most = bisect_right(bounds, base + capacity) - 1
+        least = max(at + 1, need[left - 1])
+        aim = base + (ends[-1] - base) / left
+        near = bisect_left(bounds, aim)
+        if bounds[near] > aim and not cells[near - 1].whole:
+            inside.add(near - 1)
+        if aim - bounds[near - 1] < bounds[near] - aim:
+            near -= 1
+        if most < max(near, least) and most < end and not cells[most].whole:
+            inside.add(most)
+        fewest = end - (left - 1)    # so that the shards after it get an atom each
+        if near > fewest:
+            inside |= {i for i in range(max(at, fewest), end) if not cells[i].whole}
+        at = max(at + 1, min(most, fewest, max(near, least)))
+        if at >= end:
+            break
+        cuts.append(at)
+    return cuts, inside
+
+
 def smallest_capacity(rows: DataFrame, shards: int) -> tuple[int, list[int]]:
-    """The smallest largest shard over all ways to cut the ordered atoms, and the keys at which shards begin.
+    """The smallest largest shard over all ways to cut the ordered atoms, and the keys at which even shards begin.
 
     ``rows`` has ``key`` and ``size``.
     """
@@ -105,9 +142,12 @@ def smallest_capacity(rows: DataFrame, shards: int) -> tuple[int, list[int]]:
             else:
                 unclear = worst | best
         if not unclear:
-            enough, cuts, unclear = fill(ends, cells, low, shards, late=False)
+            enough, _, unclear = fill(ends, cells, low, shards, late=False)
             if not unclear:
                 assert enough
+                cuts, unclear = even_cuts(ends, cells, low, shards)
+            if not unclear:
+                assert all(b - a <= low for a, b in pairwise([0, *(ends[i - 1] for i in cuts), ends[-1]]))
                 return low, [cells[i].first for i in cuts]
         kept = [c for i, c in enumerate(cells) if i not in unclear]
         cells = sorted(kept + split_cells(rows, [cells[i] for i in unclear]), key=lambda c: c.first)

@@ -55,6 +55,27 @@ def test_shards_are_minimax(spark):
         check_shards(spark, documents(spark, [t for t in texts for _ in range(rnd.choice([1, 1, 4]))]), n)
 
 
+def test_a_hot_text_leaves_no_shard_empty(spark):
+    docs = documents(spark, ["the same text " * 20] * 300 + [f"text {i:03} " * 30 for i in range(600)])
+    check_shards(spark, docs, 8)
+    sizes = sorted(r.n for r in shards.shard_documents(docs, 8).groupBy("shard").agg(F.sum("size").alias("n")).collect())
+    hot = 300 * 281
+    assert len(sizes) == 8 and sizes[-1] == hot and sizes[0] > (sum(sizes) - hot) / 7 / 2
+
+
+def test_even_cuts_of_any_sizes():
+    rnd = random.Random(5)
+    for _ in range(300):
+        sizes = [rnd.choice([1, 2, 5, 30, 200]) for _ in range(rnd.randint(1, 40))]
+        n = rnd.randint(1, 9)
+        ends = [sum(sizes[:i + 1]) for i in range(len(sizes))]
+        cells = [shards.Cell(5, i, x, i, i) for i, x in enumerate(sizes)]
+        most = least_largest(sizes, n)
+        cuts, unclear = shards.even_cuts(ends, cells, most, n)
+        parts = [sum(sizes[a:b]) for a, b in zip([0, *cuts], [*cuts, len(sizes)], strict=True)]
+        assert not unclear and len(parts) == min(n, len(sizes)) and 0 < min(parts) and max(parts) == most
+
+
 def test_shards_when_cells_must_be_split(spark, monkeypatch):
     monkeypatch.setattr(shards, "STEP_BITS", 4)    # 16 cells a step, so most cuts fall inside one
     check_shards(spark, documents(spark, [f"text {i} " * (i % 7) for i in range(120)]), 8)
