@@ -26,7 +26,8 @@ from .registry import query
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
-#: About so many labelled documents are learned from, chosen by a hash of doc_id: the bound of the training set.
+#: About so many labelled documents are learned from, chosen by a hash of doc_id within each language: small languages
+#: whole, the others in equal shares. In the prior each stands for all of its language that it was chosen from.
 TRAIN_DOCUMENTS = 40_000
 #: Characters counted or scored at a time.
 BATCH_CHARS = 1 << 18
@@ -64,28 +65,32 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.stack(out, axis=1)[own].reshape(-1), (np.cumsum(size) - size) * len(ORDERS)
 
 
-COUNTS = pa.schema([("lang", pa.string()), ("bucket", pa.int32()), ("n", pa.int64())])
+COUNTS = pa.schema([("lang", pa.string()), ("bucket", pa.int32()), ("n", pa.float64())])
 
 
-def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
-    """Languages, and the matrix of log-probabilities with the prior in an additional last row."""
+def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", weight_col: str = "_weight") -> tuple[list[str], np.ndarray]:
+    """Languages, and the matrix of log-probabilities with the prior in an additional last row.
+
+    ``weight_col``, where it is there: for how many documents of its language each stands in the prior.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
         for batch in batches:
-            texts, langs = texts_of(batch, "text"), batch.column("lang").to_pylist()
+            texts, langs, weights = texts_of(batch, "text"), batch.column("lang").to_pylist(), batch.column("weight").to_pylist()
             for a, b in slices(texts, map(len, texts), BATCH_CHARS):
                 for lang in set(langs[a:b]):
                     grams, _ = features([texts[i] for i in range(a, b) if langs[i] == lang])
-                    total = totals.setdefault(lang, np.zeros(BUCKETS + 1, np.int64))
+                    total = totals.setdefault(lang, np.zeros(BUCKETS + 1))
                     total[:-1] += np.bincount(grams, minlength=BUCKETS)
-                    total[-1] += langs[a:b].count(lang)
+                    total[-1] += sum(weights[i] for i in range(a, b) if langs[i] == lang)
         for lang, total in totals.items():
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(total[at])], schema=COUNTS)
 
-    found = (labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
-             .mapInArrow(count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
+    weight = F.col(weight_col) if weight_col in labelled.columns else F.lit(1.0)
+    found = (labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), weight.cast("double").alias("weight"))
+             .where("lang is not null and text is not null").mapInArrow(count, "lang string, bucket int, n double").groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
     # At most BUCKETS + 1 rows per language.
     rows = found.toArrow()
     names = rows["lang"].to_pylist()
@@ -140,13 +145,28 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def training_rows(docs: DataFrame, most: int = TRAIN_DOCUMENTS, id_col: str = "doc_id") -> DataFrame:
-    """Labelled rows that are not held out, about ``most`` of them: those whose hash lies below a limit."""
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~is_held_out(F.col(id_col)))
-    n = labelled.count()
-    if n <= most:
-        return labelled
-    return labelled.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)) < int((1 << 30) * most / n))
+def shares(counts: dict[str, int], most: int) -> dict[str, float]:
+    """The rate at which each language is sampled: all of small ones, and equal numbers of the others, ``most`` in all."""
+    rates, left = {}, most
+    for i, (lang, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        take = min(n, left / (len(counts) - i))
+        rates[lang] = take / n
+        left -= take
+    return rates
+
+
+def training_rows(docs: DataFrame, most: int = TRAIN_DOCUMENTS, id_col: str = "doc_id", lang_col: str = "lang") -> DataFrame:
+    """Labelled rows that are not held out, about ``most`` of them: of each language those whose hash lies below its
+    limit. ``_weight`` tells for how many documents of its language a row stands.
+    """
+    labelled = docs.where(F.col(lang_col).isNotNull() & F.col("text").isNotNull() & ~is_held_out(F.col(id_col)))
+    counts = {r[0]: r[1] for r in labelled.groupBy(lang_col).count().collect()}
+    if sum(counts.values()) <= most:
+        return labelled.withColumn("_weight", F.lit(1.0))
+    # A literal map, as a join would shuffle the texts.
+    rate = F.create_map(*[F.lit(x) for pair in shares(counts, most).items() for x in pair])[F.col(lang_col)]
+    place = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30))
+    return labelled.where(place < rate * (1 << 30)).withColumn("_weight", 1 / rate)
 
 
 @query("op8_language_id")

@@ -94,6 +94,24 @@ def test_language_of_odd_rows(spark):
     assert {r.lang_pred for r in language.annotate(docs, *unlabelled).collect()} == {"und"}
 
 
+def test_a_rare_language_is_learned_under_the_bound(spark):
+    words = {"aa": "the house and the garden", "bb": "der garten und das haus", "zz": "xyq wqz kvx qyw zxk"}
+    rows = [(i, words["aa" if i % 3 else "bb"] + f" {i}", "aa" if i % 3 else "bb") for i in range(9000)] + [
+        (100_000 + i, words["zz"], "zz") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = language.training_rows(docs, most=300)
+    n = {r["lang"]: r["count"] for r in sample.groupBy("lang").count().collect()}
+    held = {r.lang: r.n for r in docs.where(~language.is_held_out(docs.doc_id)).groupBy("lang").agg(dc.F.count("*").alias("n")).collect()}
+    assert n["zz"] == held["zz"] and 200 < sum(n.values()) < 400 and abs(n["aa"] - n["bb"]) < 80
+    langs, matrix = language.train(sample)
+    assert langs == ["aa", "bb", "zz"]
+    prior = [2.718281828 ** float(x) for x in matrix[-1]]
+    assert all(abs(p - held[k] / sum(held.values())) < 0.1 for k, p in zip(langs, prior, strict=True)) and prior[2] < 0.01
+    got = language.annotate(docs.where("lang = 'zz'"), langs, matrix).collect()
+    assert {r.lang_pred for r in got} == {"zz"}
+    assert sum(language.shares({"a": 10, "b": 10_000, "c": 50_000}, 900)[k] * v for k, v in {"a": 10, "b": 10_000, "c": 50_000}.items()) == 900
+
+
 def test_language_features_stay_in_their_text():
     alone = [language.features([t]) for t in ("abc def", "", "xyz", "q")]
     grams, starts = language.features(["abc def", "", "xyz", "q"])
