@@ -11,7 +11,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ["shards", "licences", "bpe", "tokenfile", "decontaminate", "language", "quality", "tokencount", "near", "wrappers"]
+MODULES = ["shards", "licences", "bpe", "tokenfile", "decontaminate", "language", "quality", "tokencount", "near", "wrappers",
+           "fingerprints"]
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
