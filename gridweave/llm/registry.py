@@ -12,7 +12,7 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 MODULES = ["shards", "licences", "bpe", "tokenfile", "decontaminate", "language", "quality", "tokencount", "near", "wrappers",
-           "fingerprints", "clusters"]
+           "fingerprints", "clusters", "phrases"]
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
