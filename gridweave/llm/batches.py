@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+import contextlib
+import ctypes
+import functools
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 #: Output batches are closed at about this many bytes or rows.
 FLUSH_BYTES, FLUSH_ROWS = 8 << 20, 4096
@@ -55,3 +59,37 @@ def slices(values: Sequence, sizes: Iterable[int], most: int) -> Iterator[tuple[
         total += size
     if i >= start:
         yield start, i + 1
+
+
+Run = Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+@functools.cache
+def _trim() -> Callable[[int], int] | None:
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def tidy(run: Run) -> Run:
+    """The function of a task, giving back what the worker no longer holds when it ends: workers live on between tasks
+    and stages, and what they keep adds up."""
+    def tidied(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = _trim()
+            if trim is not None:
+                trim(0)
+    return tidied
+
+
+@contextlib.contextmanager
+def rows_per_batch(spark: SparkSession, rows: int) -> Iterator[None]:
+    """While it lasts, Spark hands rows to Python so many at a time: for actions on rows that are large."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)

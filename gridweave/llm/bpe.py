@@ -5,7 +5,7 @@ fragments on both sides are encoded independently and their ids concatenated. Th
 steps. A single space (or line feed) between two other characters is such a cut, and one where the
 tokenizer's own splitting rule always begins anew; it parts a text into pieces. Within a piece, the parts of
 the splitting rule are cut at every pair that occurs in no token. Pieces and fragments repeat, so each is
-encoded once per worker and kept in a table of bounded size.
+encoded once per worker and kept in a table of bounded size; very long ones are encoded each time.
 
 Vocabularies come from a tokenizer file in the JSON form of the ``tokenizers`` library; for a file whose
 splitting rule is not one of the two known here, texts are encoded by the library as a whole.
@@ -28,14 +28,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .batches import Rows, texts_of
+from .batches import Rows, texts_of, tidy
 from .registry import query
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Entries that a table of pieces or fragments holds at most; beyond, it starts anew. Vocabularies with word ends
-#: have fewer tables, which may be larger.
+#: Entries and bytes that a table of pieces or fragments holds at most; beyond, it starts anew. Vocabularies with word
+#: ends have fewer tables, which may be larger. An entry counts for its letters, its ids and what Python adds.
 TABLE_LIMIT, WORD_TABLE_LIMIT = 200_000, 400_000
+ENTRY_BYTES, TABLE_BYTES = 250, 64 << 20
+#: Longer pieces hardly repeat and are not kept.
+KEPT_LETTERS = 256
 
 # Letters of ASCII and Latin-1: for texts of these and other visible ASCII, the splitting rules need no
 # Unicode tables, so they can be applied here; other pieces go through the library's own rule.
@@ -61,12 +64,17 @@ class Table(dict):
     """A cache of bounded size filled by a function."""
 
     def __init__(self, make: Callable[[str], bytes], limit: int) -> None:
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.bytes = make, limit, 0
 
     def __missing__(self, key: str) -> bytes:
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[key] = self.make(key)
+        value = self.make(key)
+        if len(key) <= KEPT_LETTERS:
+            # a letter takes up to four bytes
+            self.bytes += ENTRY_BYTES + 4 * len(key) + len(value) if not key.isascii() else ENTRY_BYTES + len(value)
+            if len(self) >= self.limit or self.bytes > TABLE_BYTES:
+                self.clear()
+                self.bytes = 0
+            self[key] = value
         return value
 
 
@@ -218,7 +226,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, width: int = 4, id_co
         yield from rows.rest()
 
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        run, "doc_id bigint, ids binary")
+        tidy(run), "doc_id bigint, ids binary")
 
 
 def decode_documents(encoded: DataFrame, tokenizer_path: str, width: int = 4) -> DataFrame:
@@ -235,7 +243,7 @@ def decode_documents(encoded: DataFrame, tokenizer_path: str, width: int = 4) ->
                     yield rows.take()
         yield from rows.rest()
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, ids binary, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(tidy(run), "doc_id bigint, ids binary, text string")
 
 
 def round_trip_documents(docs: DataFrame, tokenizer_path: str, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -253,7 +261,7 @@ def round_trip_documents(docs: DataFrame, tokenizer_path: str, width: int = 4, i
         yield from rows.rest()
 
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        run, "doc_id bigint, ids binary, text string")
+        tidy(run), "doc_id bigint, ids binary, text string")
 
 
 @query("op9_bpe_round_trip")

@@ -6,6 +6,9 @@ that a search can tell apart. Every suffix of every benchmark item is then looke
 gives the range of its occurrences; each is extended to the longest verbatim match. Documents stay where they
 are: the only data sent around are the benchmark's words, in blocks of at most ``BLOCK_BYTES``.
 
+Only the pairs that begin a longest match are made, so words that repeat many times in an item and in a text cost no
+more than the matches they have.
+
 A word that no item holds ends every match, so only runs of benchmark words that are long enough for a match
 enter the array.
 
@@ -26,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .batches import Rows, slices, texts_of
+from ..session import settle
+from .batches import slices, texts_of, tidy
 from .registry import query
 
 #: Bytes of text in one suffix array, and of benchmark text in one block.
@@ -158,12 +162,49 @@ class SuffixArray:
         return low, high
 
 
-def find(benchmark: Benchmark, texts: list[str]) -> tuple[np.ndarray, list[tuple[int, int, int, int, int]]]:
-    """Word counts of the texts, and all longest matches: (text, item, word in the item, word in the text, length)."""
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one after the other."""
+    ends = np.cumsum(size)
+    return np.repeat(start - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def maximal_pairs(suffixes: SuffixArray, benchmark: Benchmark, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The windows and places that match and whose words just before do not: those begin a longest match.
+
+    Only these pairs are made. Places of equal windows are put in order of the word before them, so those before which
+    a window's own word stands are one range that is left out; a window that opens its item keeps all places.
+    """
+    hit = np.flatnonzero(high > low)
+    if not len(hit):
+        return hit, hit
+    spans, of_hit = np.unique(np.stack([low[hit], high[hit]], axis=1), axis=0, return_inverse=True)
+    of_hit = of_hit.reshape(-1)
+    size = spans[:, 1] - spans[:, 0]
+    place = suffixes.sorted[_ranges(spans[:, 0], size)]
+    span = np.repeat(np.arange(len(spans)), size)
+    before = np.where(place > 0, suffixes.words[place - 1], 0)
+    order = np.lexsort((place, before, span))
+    place, key = place[order], (span * (len(benchmark.numbers) + 1) + before)[order]
+    start = np.cumsum(size) - size
+    at = benchmark.at[hit]
+    opens = at == benchmark.item_start[benchmark.item[hit]]
+    own = of_hit * (len(benchmark.numbers) + 1) + benchmark.words[np.maximum(at - 1, 0)]
+    begin, end = start[of_hit], start[of_hit] + size[of_hit]
+    left, right = np.searchsorted(key, own), np.searchsorted(key, own, "right")
+    left, right = np.where(opens, end, left), np.where(opens, end, right)
+    window = np.concatenate([np.repeat(hit, left - begin), np.repeat(hit, end - right)])
+    chosen = np.concatenate([_ranges(begin, left - begin), _ranges(right, end - right)])
+    return window, place[chosen]
+
+
+def find(benchmark: Benchmark, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Word counts of the texts, and all longest matches by text, a row each: text, item, word in the item, word in the
+    text, length."""
     parts = [benchmark.of_text(t) for t in texts]
     counts = np.array([len(p) for p in parts], np.int64)
+    none = np.zeros((0, 5), np.int64)
     if not len(benchmark.at) or not counts.sum():
-        return counts, []
+        return counts, none
     gap = np.zeros(1, np.int64)
     words = np.concatenate([x for p in parts for x in (p, gap)])
     zeros = np.flatnonzero(words == 0)
@@ -171,24 +212,17 @@ def find(benchmark: Benchmark, texts: list[str]) -> tuple[np.ndarray, list[tuple
     long_runs = run >= benchmark.shortest
     starts, sizes = (zeros - run)[long_runs], run[long_runs]
     if not len(starts):
-        return counts, []
-    at = np.repeat(starts, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    suffixes = SuffixArray(words, at, benchmark.bits, benchmark.longest)
+        return counts, none
+    suffixes = SuffixArray(words, _ranges(starts, sizes), benchmark.bits, benchmark.longest)
     other = np.concatenate([benchmark.words, np.zeros(suffixes.first + 1, np.int64)])
     low, high = suffixes.ranges(other, benchmark.at, benchmark.length, benchmark.bits)
-    n = high - low
-    window = np.repeat(np.arange(len(n)), n)
-    place = suffixes.sorted[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-    # A pair whose words just before are such a pair too only shortens that one's match.
-    code = place * len(other) + benchmark.at[window]
-    first = ~np.isin(code - len(other) - 1, code)
-    window, place = window[first], place[first]
+    window, place = maximal_pairs(suffixes, benchmark, low, high)
     length = common_length(suffixes.words, place, other, benchmark.at[window], benchmark.left[window])
     text_start = np.concatenate([[0], np.cumsum(counts + 1)[:-1]])
     text = np.searchsorted(text_start, place, side="right") - 1
     item = benchmark.item[window]
-    columns = (text, item, benchmark.at[window] - benchmark.item_start[item], place - text_start[text], length)
-    return counts, list(zip(*(c.tolist() for c in columns), strict=True))
+    found = np.stack([text, item, benchmark.at[window] - benchmark.item_start[item], place - text_start[text], length], axis=1)
+    return counts, found[np.lexsort((found[:, 3], found[:, 0]))]
 
 
 def benchmark_blocks(items: DataFrame, id_col: str, text_col: str) -> list[list[tuple[str | None, str]]]:
@@ -202,31 +236,31 @@ def benchmark_blocks(items: DataFrame, id_col: str, text_col: str) -> list[list[
 
 
 MATCHES = "array<struct<item_id: string, item_word: int, doc_word: int, length: int>>"
-FOUND = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_words", pa.int64()), ("matches", pa.list_(pa.struct([
-    ("item_id", pa.string()), ("item_word", pa.int32()), ("doc_word", pa.int32()), ("length", pa.int32())])))])
+MATCH = pa.struct([("item_id", pa.string()), ("item_word", pa.int32()), ("doc_word", pa.int32()), ("length", pa.int32())])
+
+
+def match_lists(benchmark: Benchmark, matches: np.ndarray, texts: int) -> pa.Array:
+    """The matches of each text as a list column."""
+    columns = [pa.array(benchmark.ids, pa.string()).take(pa.array(matches[:, 1])),
+               *[pa.array(matches[:, i].astype(np.int32)) for i in (2, 3, 4)]]
+    offsets = np.searchsorted(matches[:, 0], np.arange(texts + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(columns, fields=list(MATCH)))
 
 
 def _search(docs: DataFrame, block: list[tuple[str | None, str]], window: int) -> DataFrame:
     shipped = docs.sparkSession.sparkContext.broadcast(block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        benchmark, rows = Benchmark(shipped.value, window), Rows(FOUND)
+        benchmark = Benchmark(shipped.value, window)
         for batch in batches:
             texts = texts_of(batch, "text")
-            ids, hashes = batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist()
             for a, b in slices(texts, map(len, texts), SHARD_BYTES):
                 counts, matches = find(benchmark, texts[a:b])
-                of_text: dict[int, list[dict]] = {}
-                for text, item, item_word, doc_word, length in matches:
-                    of_text.setdefault(text, []).append(
-                        {"item_id": benchmark.ids[item], "item_word": item_word, "doc_word": doc_word, "length": length})
-                for i in range(a, b):
-                    rows.add((ids[i], hashes[i], int(counts[i - a]), of_text.get(i - a, [])))
-                    if rows.full():
-                        yield rows.take()
-        yield from rows.rest()
+                given = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([given.column("doc_id"), given.column("text_hash"), pa.array(counts),
+                                                  match_lists(benchmark, matches, b - a)], ["doc_id", "text_hash", "n_words", "matches"])
 
-    return docs.mapInArrow(run, f"doc_id bigint, text_hash bigint, n_words bigint, matches {MATCHES}")
+    return docs.mapInArrow(tidy(run), f"doc_id bigint, text_hash bigint, n_words bigint, matches {MATCHES}")
 
 
 def find_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text",
@@ -254,7 +288,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, text_
                   item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The documents, with all their columns, in which no window of any item occurs."""
     out = docs
-    for block in benchmark_blocks(items, item_id_col, item_text_col):
+    for i, block in enumerate(benchmark_blocks(items, item_id_col, item_text_col)):
+        if i:    # a worker for one block at a time
+            out = settle(out, "decontaminated")
         shipped = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
@@ -262,10 +298,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, text_
             for batch in batches:
                 texts, clean = texts_of(batch, text_col), np.ones(batch.num_rows, bool)
                 for a, b in slices(texts, map(len, texts), SHARD_BYTES):
-                    clean[[a + m[0] for m in find(benchmark, texts[a:b])[1]]] = False
+                    clean[a + find(benchmark, texts[a:b])[1][:, 0]] = False
                 yield batch.filter(pa.array(clean))
 
-        out = out.mapInArrow(run, out.schema)
+        out = out.mapInArrow(tidy(run), out.schema)
     return out
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .batches import slices, texts_of
+from .batches import slices, texts_of, tidy
 from .registry import query
 
 BUCKETS = 1 << 16
@@ -90,7 +90,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", w
 
     weight = F.col(weight_col) if weight_col in labelled.columns else F.lit(1.0)
     found = (labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), weight.cast("double").alias("weight"))
-             .where("lang is not null and text is not null").mapInArrow(count, "lang string, bucket int, n double").groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
+             .where("lang is not null and text is not null").mapInArrow(tidy(count), "lang string, bucket int, n double").groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
     # At most BUCKETS + 1 rows per language.
     rows = found.toArrow()
     names = rows["lang"].to_pylist()
@@ -138,7 +138,7 @@ def annotate(docs: DataFrame, langs: list[str], matrix: np.ndarray, text_col: st
 
     kept = docs.drop(pred, chance)
     schema = kept.select("*", F.lit("").alias(pred), F.lit(0.0).alias(chance)).schema
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(tidy(run), schema)
 
 
 def is_held_out(doc_id: Column) -> Column:

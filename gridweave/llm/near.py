@@ -46,7 +46,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import settle, shuffle_width
-from .batches import Rows, slices, texts_of
+from .batches import Rows, rows_per_batch, slices, texts_of, tidy
 from .registry import query
 from .wordhash import SPACED_LOWER, mix, runs, word_hashes
 
@@ -57,6 +57,8 @@ HIST = 64
 CANDIDATES = 256
 #: Classes that a class is searched against in round one.
 LEADERS = 3
+#: Pairs, each with two token sets, that are handed to Python at a time.
+PAIRS = 512
 #: A table of at most so many rows of 16 bytes is broadcast; a larger one is joined by shuffling.
 BROADCAST_ROWS = 1_000_000
 BATCH_CHARS = 2 << 20
@@ -138,7 +140,7 @@ def measure(docs: DataFrame, k: int) -> DataFrame:
                     yield rows.take()
         yield from rows.rest()
 
-    return docs.mapInArrow(run, "doc_id bigint, text_hash bigint, cls binary, hist binary, slice int, counts binary")
+    return docs.mapInArrow(tidy(run), "doc_id bigint, text_hash bigint, cls binary, hist binary, slice int, counts binary")
 
 
 def commonness(measured: DataFrame) -> np.ndarray:
@@ -156,7 +158,7 @@ def commonness(measured: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([level.tobytes()], pa.binary())], ["slice", "level"])
 
     found = (measured.where("slice is not null").select("slice", "counts").repartition(width, "slice")
-             .mapInArrow(add, "slice int, level binary").collect())
+             .mapInArrow(tidy(add), "slice int, level binary").collect())
     out = np.zeros(CELLS, np.uint8)
     for r in found:
         out[r["slice"] * SLICE:(r["slice"] + 1) * SLICE] = np.frombuffer(r["level"], np.uint8)
@@ -214,9 +216,9 @@ def lists(docs: DataFrame, common, k: int, num: int, den: int) -> DataFrame:
                         yield rows.take()
         yield from rows.rest()
 
-    found = (docs.select("text").mapInArrow(post, "token bigint, entry binary")
+    found = (docs.select("text").mapInArrow(tidy(post), "token bigint, entry binary")
              .repartition(shuffle_width(docs.sparkSession), "token").sortWithinPartitions("token", "entry")
-             .mapInArrow(group, "token bigint, entry binary"))
+             .mapInArrow(tidy(group), "token bigint, entry binary"))
     return found.select("token", F.substring("entry", 1, KEY_BYTES).alias("cls"),
                         F.conv(F.hex(F.substring("entry", KEY_BYTES + 1, 2)), 16, 10).cast("int").alias("place"))
 
@@ -261,7 +263,7 @@ def _bounded(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFr
 
     of_q = classes.select(F.col("cls").alias("q"), F.col("hist").alias("q_hist"))
     of_c = classes.select(F.col("cls").alias("c"), F.col("hist").alias("c_hist"))
-    return pairs.join(of_q, "q").join(of_c, "c").select("q", "c", "q_hist", "c_hist").mapInArrow(keep, "q binary, c binary")
+    return pairs.join(of_q, "q").join(of_c, "c").select("q", "c", "q_hist", "c_hist").mapInArrow(tidy(keep), "q binary, c binary")
 
 
 def links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, common, k: int, num: int, den: int, name: str) -> DataFrame:
@@ -283,28 +285,32 @@ def links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, common, k: int,
         yield from rows.rest()
 
     members = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left_semi").select("text")
-    made = members.mapInArrow(sets, "cls binary, tokens binary").groupBy("cls").agg(F.first("tokens").alias("tokens"))
+    made = members.mapInArrow(tidy(sets), "cls binary, tokens binary").groupBy("cls").agg(F.first("tokens").alias("tokens"))
     made = settle(made, f"{name}-sets")
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = Rows(pa.schema([("q", pa.binary()), ("c", pa.binary())]))
         for batch in batches:
-            for q, block in groupby(batch.to_pylist(), key=lambda r: r["q"]):
-                block = list(block)
-                tokens = np.frombuffer(block[0]["q_tokens"], np.uint64)
-                for a in range(0, len(block), CANDIDATES):
-                    part = block[a:a + CANDIDATES]
-                    for r, n in zip(part, search(tokens, [np.frombuffer(r["c_tokens"], np.uint64) for r in part], num, den), strict=True):
+            keys, sets = batch.column("q").to_pylist(), [batch.column(n) for n in ("q_tokens", "c_tokens")]
+            tokens = [lambda i, c=c: np.frombuffer(c[i].as_buffer(), np.uint64) for c in sets]
+            start = 0
+            for q, block in groupby(keys):
+                end = start + sum(1 for _ in block)
+                for a in range(start, end, CANDIDATES):
+                    part = range(a, min(end, a + CANDIDATES))
+                    for i, n in zip(part, search(tokens[0](start), [tokens[1](i) for i in part], num, den), strict=True):
                         if n:
-                            rows.add((q, r["c"]))
+                            rows.add((q, batch.column("c")[i].as_py()))
+                start = end
             if rows.full():
                 yield rows.take()
         yield from rows.rest()
 
     found = (pairs.join(made.select(F.col("cls").alias("c"), F.col("tokens").alias("c_tokens")), "c")
              .join(made.select(F.col("cls").alias("q"), F.col("tokens").alias("q_tokens")), "q")
-             .select("q", "c", "q_tokens", "c_tokens").mapInArrow(look, "q binary, c binary"))
-    return settle(found, f"{name}-links")
+             .select("q", "c", "q_tokens", "c_tokens").mapInArrow(tidy(look), "q binary, c binary"))
+    with rows_per_batch(docs.sparkSession, PAIRS):    # a row holds two token sets
+        return settle(found, f"{name}-links")
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:

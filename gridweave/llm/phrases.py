@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from ..session import settle, shuffle_width
 from . import wordhash
+from .batches import tidy
 from .registry import query
 
 LONGEST, LEAST, TOP, COVERED = 4, 30, 2000, 80
@@ -260,7 +261,7 @@ def count_phrases(texts: DataFrame, least: int, new: np.ndarray | None, old: np.
     context = texts.sparkSession.sparkContext
     sent = [context.broadcast(f) if f is not None else None for f in (new, old)]
     ask = [(lambda b=b: b.value) if b is not None else None for b in sent]
-    found = texts.select("lang", "text").mapInArrow(counter(*ask, levels, totals), _COUNTS)
+    found = texts.select("lang", "text").mapInArrow(tidy(counter(*ask, levels, totals)), _COUNTS)
     found = found.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("words") == 0))
 
     def hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,7 +271,7 @@ def count_phrases(texts: DataFrame, least: int, new: np.ndarray | None, old: np.
             h = phrase_hashes(batch.column("lang").to_pylist(), [p or "-" for p in phrases])
             flags = known.has(h) if known is not None else np.zeros(len(h), bool)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(h.view(np.int64)), pa.array(flags)], names=[*batch.schema.names, "hash", "known"])
-    return found.mapInArrow(hashed, _COUNTS + ", hash bigint, known boolean")
+    return found.mapInArrow(tidy(hashed), _COUNTS + ", hash bigint, known boolean")
 
 
 def propose(texts: DataFrame, least: int, sample: int = SAMPLE) -> tuple[np.ndarray, int]:

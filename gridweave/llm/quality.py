@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import settle
-from .batches import slices, texts_of
+from .batches import slices, texts_of, tidy
 from .registry import query
 from .wordhash import mix, runs, word_hashes
 
@@ -139,7 +139,7 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 batch = batch.append_column(name, pa.array(column, pa.int64()))
             yield batch
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(tidy(run), schema)
 
 
 def base_failed() -> Column:

@@ -13,7 +13,7 @@ in byte pieces, at a score below that of all pieces.
 A pre-token is a run of characters other than white space with the mark U+2581 before it. Equal scores go to
 the segmentation with fewer tokens.
 
-Defined results: a NULL or empty text has no tokens; repeated rows stay repeated; an empty table gives an empty
+Defined results: a pre-token of any length, as in texts without spaces, is scored whole; a NULL or empty text has no tokens; repeated rows stay repeated; an empty table gives an empty
 result; other columns are not looked at.
 """
 
@@ -23,17 +23,21 @@ import functools
 import gc
 import math
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .batches import Rows, texts_of
+from .batches import Rows, texts_of, tidy
 from .registry import query
 
 MARK = "▁"
 #: Nodes of a trie, and words with known counts; what is fuller is thrown away and started anew.
 MOST_NODES, MOST_WORDS = 400_000, 1_000_000
+#: Prefixes of up to so many characters are shared; what follows in a longer pre-token is scored without being kept,
+#: and its count is not kept either.
+SHARED_LETTERS = 64
 
 
 def piece_scores(model: bytes) -> tuple[dict[str, float], float]:
@@ -70,7 +74,7 @@ class Trie:
         # A node: its children by character, its best score and tokens, the pieces under way.
         self.root: tuple = ({}, 0.0, 0, [(self.pieces[0], 0.0, 0)])
 
-    def _grow(self, parent: tuple, c: str) -> tuple:
+    def _grow(self, parent: tuple, c: str, kept: bool = True) -> tuple:
         under_way, best, tokens = [], -math.inf, 0
         for children, before, n in parent[3]:
             further = children.get(c)
@@ -90,16 +94,20 @@ class Trie:
             if value > best:
                 best, tokens = value, parent[2] + size
         under_way.append((self.pieces[0], best, tokens))
-        node = parent[0][c] = ({}, best, tokens, under_way)
-        self.nodes += 1
+        node = ({}, best, tokens, under_way)
+        if kept:
+            parent[0][c] = node
+            self.nodes += 1
         return node
 
     def tokens(self, pre_token: str) -> int:
         if self.nodes > MOST_NODES:
             self.clear()
         at = self.root
-        for c in pre_token:
+        for c in pre_token[:SHARED_LETTERS]:
             at = at[0].get(c) or self._grow(at, c)
+        for c in islice(pre_token, SHARED_LETTERS, None):
+            at = self._grow(at, c, kept=False)
         return at[2]
 
 
@@ -110,9 +118,11 @@ class Counter(dict):
         self.trie = Trie(scores, byte_score)
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= MOST_WORDS:
-            self.clear()
-        found = self[word] = self.trie.tokens(MARK + word)
+        found = self.trie.tokens(MARK + word)
+        if len(word) < SHARED_LETTERS:
+            if len(self) >= MOST_WORDS:
+                self.clear()
+            self[word] = found
         return found
 
 
@@ -146,7 +156,7 @@ def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
             gc.enable()
 
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        run, "doc_id bigint, n_pre_tokens bigint, n_tokens bigint")
+        tidy(run), "doc_id bigint, n_pre_tokens bigint, n_tokens bigint")
 
 
 @query("op7_token_counts")

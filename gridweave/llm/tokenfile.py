@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..operators.sequence import block_of
 from ..session import shared_dir, shuffle_width
-from .batches import Rows, texts_of
+from .batches import Rows, texts_of, tidy
 from .bpe import encoder, tokenizer_text
 from .registry import query
 
@@ -170,9 +170,9 @@ def write_token_file(docs: DataFrame, path: str, tokenizer_path: str, end_id: in
     encoded = (docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.monotonically_increasing_id().alias("tie"),
                            F.col(text_col).alias("text"))
                .select("doc_id", "tie", shard.cast("int").alias("shard"), "text")
-               .mapInArrow(encode, "doc_id bigint, tie bigint, shard int, ids binary"))
+               .mapInArrow(tidy(encode), "doc_id bigint, tie bigint, shard int, ids binary"))
     chunks = (encoded.repartition(max(2, shuffle_width(spark)), "shard").sortWithinPartitions("shard", "doc_id", "tie")
-              .mapInArrow(pack, CHUNK_FIELDS))
+              .mapInArrow(tidy(pack), CHUNK_FIELDS))
     chunks.write.option("compression", "none").parquet(f"{path}/chunks")
     size = F.aggregate("planes", F.lit(0), lambda total, p: total + F.octet_length(p))
     (read_chunks(spark, path).select("shard", "chunk", "first", "n_ids", F.size("doc_ids").alias("n_docs"), size.alias("bytes"))
@@ -221,7 +221,7 @@ def read_token_file(spark: SparkSession, path: str) -> DataFrame:
 
     width = max(2, shuffle_width(spark))
     found = (read_chunks(spark, path).repartition(width, "shard").sortWithinPartitions("shard", "chunk")
-             .mapInArrow(unpack, "doc_id bigint, shard int, at bigint, ids binary"))
+             .mapInArrow(tidy(unpack), "doc_id bigint, shard int, at bigint, ids binary"))
     # One row per shard: with the further shards of hot doc_ids at most 2 * MOST_SHARDS rows of 12 bytes.
     return found.join(F.broadcast(shard_starts(spark, path)), "shard").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "ids")
 
