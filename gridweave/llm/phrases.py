@@ -35,10 +35,11 @@ from .batches import tidy
 from .registry import query
 
 LONGEST, LEAST, TOP, COVERED = 4, 30, 2000, 80
-#: One of so many documents is sampled; the threshold there is so many standard deviations below what is expected.
-SAMPLE, CAUTION = 4, 1.5
+#: One of so many documents is sampled; the threshold there is so many standard deviations below what is expected. More
+#: caution proposes more that is not frequent, less leaves more to the further passes.
+SAMPLE, CAUTION = 4, 0.5
 #: Bytes of text that a task numbers at a time, and the most bytes of the Bloom filter.
-CHUNK, FILTER_BYTES = 12 << 20, 16 << 20
+CHUNK, FILTER_BYTES = 6 << 20, 16 << 20
 #: Rows of a batch that a task passes on.
 ROWS = 1 << 16
 #: Rows gathered into one group on the way to the first rows of a language.
@@ -162,7 +163,8 @@ class Chunk:
         self.hash = wordhash.mix(hashes[of_word] ^ lang_hashes(langs)[self.lang_of])
         # all words with one space after each, to take phrases from
         self.upto = np.concatenate([[0], np.cumsum(size + 1)])
-        self.spaced = data[np.repeat(begin - self.upto[:-1], size + 1) + np.arange(self.upto[-1])].copy()
+        solid[begin + size] = True
+        self.spaced = data[solid]
         self.spaced[self.upto[1:] - 1] = 32
 
     def texts(self, at: np.ndarray, words: int) -> pa.Array:

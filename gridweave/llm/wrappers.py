@@ -13,20 +13,22 @@ Its size thus follows the number of different tags of a template, not that of pa
 it reads and gives one partial wrapper per host; these are aligned with each other in rounds, ``FAN_IN`` partials
 after another in one stream, so a host with a third of all pages is spread like any other.
 
-A tag counts with its classes, id and role. Parts of the wrapper are then named: menus, headers, footers, side
+A tag counts with its role, its class words without digits, and an id that names a side part; ids and numbered classes are a
+page's own, and would let the wrapper grow with the pages. Parts of the wrapper are then named: menus, headers, footers, side
 bars, notices, adverts, forms, comments and the like by their tag or role, or by a class or id that is, begins or ends
 with such a word; the main part is the article or main element. Class words do not make a side part of a main
 element, or of what stands around the only ones if the text outside of side parts is no longer; and not, adverts
 and comments apart, of a part that the host's wrapper shows to hold long varying text with few links. On hosts
 without a main part, it is the whole body less groups that are mostly links. A page's tokens are aligned with the
-wrapper, which tells which of its lines to keep, in the main part as well: slots and groups that vary are content,
-lines that are the same on many pages are template.
+wrapper, which tells which of its lines to keep, in the main part as well: what stands around the slots and groups that
+vary, and is the same on all pages, is template.
 
-A line is template if it stands at the same part of the wrapper on ``SAME_PAGES`` different pages and on half of all
-different pages of its host. Pages are different if the lines of their main parts are; copies count as one, and so do
-repeats within a page. The count is exact: a second pass aligns the pages with the wrappers and gives a hash for
-each line, which are counted by Spark. A page of which less than ``OWN_SHARE`` would be left is a copy with small
-changes, and keeps all.
+A line is fixed if it stands at the same part of the wrapper on all different pages of its host, of which there must be
+two. Pages are different if the lines of their main parts are; copies count as one, and so do repeats within a page. The
+count is exact: a second pass aligns the pages with the wrappers and gives a hash for each line, which are counted by
+Spark. Fixed lines before the first and after the last line that is a page's own are template; those between, such as
+the headings of a recipe, belong to the article. A page of which less than ``OWN_SHARE`` would be left is a copy with
+small changes, and keeps all.
 
 Wrappers are a few KB per host. They are broadcast up to ``BROADCAST_BYTES`` in total, and joined to the pages by host
 beyond that.
@@ -61,10 +63,8 @@ FAN_IN = 64
 MOST_ELEMENTS, MOST_RETURNS = 24, 2
 #: Tags nested deeper than this are passed over, as in browsers; their texts belong to the tag around them.
 MOST_DEPTH = 256
-#: Lines that are the same on so many different pages of a host, and on half of them, belong to its template.
-SAME_PAGES = 5
 #: A page with a smaller share of lines of its own, by characters, is taken for a copy of others.
-OWN_SHARE = 0.1
+OWN_SHARE = 0.25
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea iframe svg math object canvas audio video".split())
@@ -90,8 +90,10 @@ STATE_LAST = frozenset("free less open opened closed off on enabled disabled act
 LONG_TEXT = 200
 MAIN_TAGS, MAIN_ROLES = frozenset(["article", "main"]), frozenset(["main", "article"])
 
-PART = re.compile(r"<!--(?:.*?)(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
-ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+#: What stands in a tag up to its end, a ">" in quotes passed over.
+INSIDE = re.compile("(?:[^>\"']|\"[^\"]*\"|'[^']*')*+")
+ATTRIBUTE = re.compile(r"(?<![-\w:.])([a-zA-Z_:][-\w:.]*+)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
 
@@ -106,33 +108,67 @@ class Tag:
 
 
 def key_of(name: str, attributes: str) -> str:
-    """Tag name, then class words and id (digits as 0), then role."""
+    """Tag name, then class words without digits and those words of class and id that name a side part, then role."""
     if not attributes or "=" not in attributes:
         return name
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
-    words = sorted({re.sub(r"\d+", "0", w) for k in ("class", "id") for w in found.get(k, "").lower().split()})
+    words = sorted({w for k in ("class", "id") for raw in found.get(k, "").lower().split() for w in [re.sub(r"\d+", "0", raw)]
+                    if side_word(f"{name} {w}") or (k == "class" and w == raw)})
     role = found.get("role", "").strip().lower()
     return name + "".join(f" {w}" for w in words) + (f" @{role}" if role else "")
 
 
+def tags_of(source: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """``start, end, slash, name, attributes`` of every tag, and of comments and declarations with an empty name, as long
+    as the caller goes on from their end; :meth:`send` goes on from another place. Takes time in proportion to the source
+    also where tags or quotes never close: such a quote is found once, and tags up to it end at the next ">"."""
+    at, unclosed = 0, 0
+    last = source.rfind(">")
+    while True:
+        start = source.find("<", at)
+        if start < 0:
+            return
+        slash = name = attributes = ""
+        m = NAME.match(source, start + 1)
+        if source.startswith("<!--", start):
+            found = source.find("-->", start + 4)
+            end = found + 3 if found >= 0 else len(source)
+        elif start > last:
+            return
+        elif m:
+            stop = INSIDE.match(source, m.end()).end() if start >= unclosed else -1
+            if stop < 0 or source[stop:stop + 1] != ">":
+                unclosed = max(unclosed, stop)
+                stop = source.find(">", start)
+            end, slash, name, attributes = stop + 1, m[1], m[2].lower(), source[m.end():stop]
+        elif source[start + 1:start + 2] in ("!", "?"):
+            end = source.find(">", start) + 1
+        else:
+            at = start + 1
+            continue
+        at = (yield start, end, slash, name, attributes) or end
+
+
 def parse(source: str) -> Tag:
     """The page as nested tags. Tags left open are closed as far as the next ones require it."""
     root = Tag("", "")
     open_ = [root]
     passed: dict[str, int] = {}
-    at = 0
-    while at < len(source):
-        m = PART.search(source, at)
-        text = source[at:m.start() if m else len(source)]
-        if text:
-            open_[-1].content.append(text)
-        if not m:
+    at = further = 0
+    tags = tags_of(source)
+    while True:
+        try:
+            start, end, slash, name, attributes = tags.send(further or None)
+        except StopIteration:
+            if at < len(source):
+                open_[-1].content.append(source[at:])
             break
-        at = m.end()
-        name = (m[2] or "").lower()
+        if start > at:
+            open_[-1].content.append(source[at:start])
+        at, further = end, 0
         if not name:
             continue
-        if m[1]:
+        if slash:
             if passed.get(name):
                 passed[name] -= 1
                 continue
@@ -155,15 +191,15 @@ def parse(source: str) -> Tag:
                 if open_[i].name not in INLINE and open_[i].name not in SELF_CLOSING:
                     break
         if len(open_) > MOST_DEPTH and name not in RAW and name not in VOID:
-            passed[name] = passed.get(name, 0) + (not m[3].endswith("/"))
+            passed[name] = passed.get(name, 0) + (not attributes.endswith("/"))
             continue
-        tag = Tag(key_of(name, m[3]), name)
+        tag = Tag(key_of(name, attributes), name)
         open_[-1].content.append(tag)
         if name in RAW:
-            if not m[3].endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(source, at)
-                at = end.end() if end else len(source)
-        elif name not in VOID and not m[3].endswith("/"):
+            if not attributes.endswith("/"):
+                close = re.compile(rf"</{re.escape(name)}\b", re.I).search(source, at)
+                at = further = source.find(">", close.end()) + 1 or len(source) if close else len(source)
+        elif name not in VOID and not attributes.endswith("/"):
             open_.append(tag)
     return root
 
@@ -422,9 +458,10 @@ class Extractor:
     def text(self, source: str) -> str:
         lines = self.lines(source)
         if self.template:
-            own = [(place, line) for place, line in lines if (place, hash_of(line)) not in self.template]
-            if sum(len(line) for _, line in own) >= OWN_SHARE * sum(len(line) for _, line in lines):
-                lines = own
+            own = [i for i, (place, line) in enumerate(lines) if (place, hash_of(line)) not in self.template]
+            left = lines[own[0]:own[-1] + 1] if own else []
+            if sum(len(line) for _, line in left) >= OWN_SHARE * sum(len(line) for _, line in lines):
+                lines = left
         return "\n".join(line for _, line in lines)
 
     def _end_block(self) -> None:
@@ -580,9 +617,9 @@ def extractors(batch: pa.RecordBatch, shipped, known: dict[str, Extractor]) -> I
 
 
 def template_lines(pages: DataFrame, wrappers: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """``wrappers`` with ``template``: place and hash (nested JSON) of the lines that many different pages of a host share.
+    """``wrappers`` with ``template``: place and hash (nested JSON) of the lines that all different pages of a host share.
 
-    ``pages`` has ``host`` and ``html``. A host with fewer than ``SAME_PAGES`` pages has none.
+    ``pages`` has ``host`` and ``html``. A host with a single page has none.
     """
     sent = Sent(pages.select("host", "html"), wrappers.withColumn("template", F.lit("[]")), broadcast_bytes)
     shipped = sent.shipped
@@ -592,7 +629,7 @@ def template_lines(pages: DataFrame, wrappers: DataFrame, broadcast_bytes: int =
         known: dict[str, Extractor] = {}
         for batch in batches:
             for host, source, extractor in extractors(batch, shipped, known):
-                if extractor.wrapper.pages < SAME_PAGES:
+                if extractor.wrapper.pages < 2:
                     continue
                 lines = extractor.lines(source)
                 page = hash_of("\n".join(line for _, line in lines))
@@ -604,10 +641,10 @@ def template_lines(pages: DataFrame, wrappers: DataFrame, broadcast_bytes: int =
         yield from rows.rest()
 
     seen = sent.pages.mapInArrow(run, "host string, place int, line bigint, page bigint").distinct()
-    often = settle(seen.groupBy("host", "place", "line").agg(F.count("*").alias("n")).where(F.col("n") >= SAME_PAGES), "wrappers")
+    often = settle(seen.groupBy("host", "place", "line").agg(F.count("*").alias("n")).where(F.col("n") > 1), "wrappers")
     all_pages = often.where(F.col("place") == PAGE).select("host", F.col("n").alias("all"))
-    # A page has only so many lines, so no more than twice as many can stand on half of the pages.
-    found = (often.where(F.col("place") != PAGE).join(all_pages, "host").where(2 * F.col("n") >= F.col("all"))
+    # No more lines can stand on all pages than one page has.
+    found = (often.where(F.col("place") != PAGE).join(all_pages, "host").where(F.col("n") == F.col("all"))
              .groupBy("host").agg(F.to_json(F.sort_array(F.collect_list(F.array(F.col("place").cast("bigint"), "line")))).alias("template")))
     return wrappers.join(found, "host", "left").withColumn("template", F.coalesce("template", F.lit("[]")))
 
