@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 
 from ..functions.regexes import re_extract
 from ..functions.text import one_line
+from ..session import settle
+from . import selectors
+from .selectors import attr
 
 NODE_SCHEMA = ("page_id bigint, seq int, last int, depth int, parent int, child int, kind string, tag string, "
                "cls string, attrs map<string,string>, own string, text string, role string, up array<int>")
@@ -31,6 +34,9 @@ VOID = frozenset(["area", "base", "br", "col", "embed", "hr", "img", "input", "l
 CONTROLS = ["a", "button", "input", "select", "textarea", "option", "summary"]
 CONTROL_ROLES = ["button", "link", "checkbox", "radio", "option", "switch", "tab", "menuitem", "menuitemcheckbox",
                  "menuitemradio", "treeitem", "slider", "spinbutton", "textbox", "searchbox", "combobox"]
+INNER_CONTROLS = ["a", "button", "input", "select", "textarea"]
+INNER_ROLES = ["button", "link", "checkbox", "radio", "menuitem", "tab", "option", "switch"]
+LABELLED = ["button", "input", "meter", "output", "progress", "select", "textarea"]
 INLINE = frozenset(["b", "i", "em", "strong", "span", "font", "u", "small", "big", "code", "tt", "s", "sub", "sup"])
 # An open element that the start of one of these ends.
 CLOSED_BY = {"p": frozenset(["p", "div", "ul", "ol", "table", "section", "article", "h1", "h2", "h3", "h4", "h5", "h6",
@@ -152,41 +158,80 @@ def dom_nodes(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "html").mapInPandas(_explode_pages, NODE_SCHEMA)
 
 
-def attr(name: str) -> Column:
-    return F.try_element_at("attrs", F.lit(name))
+def is_control() -> Column:
+    """Controls by tag, role or editable text: leaves, whose content is only their label."""
+    editable = F.lower(attr("contenteditable")).isin("", "true", "plaintext-only")
+    return F.col("tag").isin(CONTROLS) | F.col("role").isin(CONTROL_ROLES) | F.coalesce(editable, F.lit(False))
 
 
-def is_control() -> Column:
-    editable = F.coalesce(attr("contenteditable"), F.lit("false")) == "true"
-    return F.col("tag").isin(CONTROLS) | F.col("role").isin(CONTROL_ROLES) | editable
+def is_clickable() -> Column:
+    """Elements that a script makes clickable or that can be tabbed to; a control unless another one lies inside."""
+    return attr("onclick").isNotNull() | F.coalesce(attr("tabindex") != "-1", F.lit(False))
+
+
+def is_inner_control() -> Column:
+    """What makes a clickable element around it a mere container."""
+    return (F.col("tag").isin(INNER_CONTROLS) | F.col("role").isin(INNER_ROLES)
+            | F.coalesce(attr("contenteditable") == "true", F.lit(False)))
 
 
-def accessible_name() -> Column:
+def _words(name: str) -> Column:
+    return F.filter(F.split(F.coalesce(attr(name), F.lit("")), r"\s+"), lambda w: w != "")
+
+
+def referenced_names(nodes: DataFrame) -> DataFrame:
+    """``page_id, seq, labelled, label``: the texts of the elements that ``aria-labelledby`` lists, and the text of the first
+    label of an element that can have one - by its ``for``, or around it as its first such element.
+
+    Ids stand for the first element that has them. Everything is joined by page and id, or by page and the number of
+    an enclosing element; ``nodes`` is read several times: settle it before.
+    """
+    able = F.col("tag").isin(LABELLED) & ~((F.col("tag") == "input") & (F.lower(F.coalesce(attr("type"), F.lit(""))) == "hidden"))
+    ids = nodes.where(attr("id") != "").groupBy("page_id", attr("id").alias("id")).agg(
+        F.min_by(F.struct("seq", "text", able.alias("able")), "seq").alias("of"))
+    lists = nodes.where(F.size(_words("aria-labelledby")) > 0).select("page_id", "seq", F.posexplode(_words("aria-labelledby")).alias("at", "id"))
+    labelled = (lists.join(ids, ["page_id", "id"], "left").groupBy("page_id", "seq")
+                .agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("of.text", F.lit("")).alias("text")))).alias("parts"))
+                .select("page_id", "seq", F.array_join(F.transform("parts", lambda x: x["text"]), " ").alias("labelled")))
+    labels = nodes.where(F.col("tag") == "label").select("page_id", F.col("seq").alias("by"), "text", attr("for").alias("id"))
+    named = labels.join(ids, ["page_id", "id"]).where("of.able").select("page_id", "of.seq", "by", "text")
+    around = (nodes.where(able).select("page_id", "seq", F.explode("up").alias("by")).join(labels.where("id is null"), ["page_id", "by"])
+              .groupBy("page_id", "by").agg(F.min("seq").alias("seq"), F.first("text").alias("text")).select("page_id", "seq", "by", "text"))
+    label = named.unionAll(around).groupBy("page_id", "seq").agg(F.min_by("text", "by").alias("label"))
+    return labelled.join(label, ["page_id", "seq"], "full")
+
+
+def accessible_name(labelled: Column | None = None, label: Column | None = None) -> Column:
     """What a reader calls an element: its label, hint, alternative text or title, else its text."""
-    def filled(c: Column) -> Column:
-        return F.when(c != "", c)
+    def filled(c: Column | None) -> Column:
+        return F.lit(None).cast("string") if c is None else F.when(c != "", c)
     kind = F.lower(F.coalesce(attr("type"), F.lit("text")))
     hint = F.when(F.col("tag") == "input", F.coalesce(F.when(kind.isin("submit", "button"), filled(attr("value"))),
-                                                      filled(attr("placeholder")), filled(attr("name")))
+                                                      filled(attr("placeholder")), filled(label), filled(attr("name")))
                   ).when(F.col("tag") == "textarea", F.coalesce(filled(attr("placeholder")), filled(attr("name")))
                          ).when(F.col("tag") == "img", filled(attr("alt")))
-    return one_line(F.coalesce(filled(attr("aria-label")), hint, filled(attr("title")), F.col("text"), F.lit("")))
+    return one_line(F.coalesce(filled(attr("aria-label")), filled(labelled), hint, filled(attr("title")), F.col("text"), F.lit("")))
 
 
 def snapshot(nodes: DataFrame, max_nodes: int | None = None) -> DataFrame:
     """The nodes a reader meets: controls (numbered per page) and the direct text of everything else.
 
-    What lies inside a control is only its label and is left out. Containment is found per page in
-    document order: a node is inside a control when an earlier control's subtree reaches it.
+    Controls are those of :func:`is_control`, and clickable elements without one inside. What lies inside a control is
+    only its label and is left out. Containment is found per page in document order: a node is inside a control when an
+    earlier control's subtree reaches it, and holds one when the next one is not beyond its subtree. Nodes are settled
+    first, as names may be told by other elements of the page.
     """
+    nodes = settle(nodes, "nodes")
     w = W.partitionBy("page_id").orderBy("seq")
-    before = w.rowsBetween(W.unboundedPreceding, -1)
-    marked = nodes.withColumn("control", is_control()).withColumn(
-        "_reach", F.max(F.when(F.col("control"), F.col("last"))).over(before))
-    outer = marked.where(F.col("_reach").isNull() | (F.col("_reach") < F.col("seq")))
-    shown = outer.where(F.col("control") | (F.length("own") > 1)).withColumns({
-        "index": F.when(F.col("control"), F.count(F.when(F.col("control"), 1)).over(w) - 1).cast("int"),
-        "name": F.when(F.col("control"), accessible_name()).otherwise(one_line(F.col("own"))),
+    before, after = w.rowsBetween(W.unboundedPreceding, -1), w.rowsBetween(1, W.unboundedFollowing)
+    inner = F.min(F.when(is_inner_control(), F.col("seq"))).over(after)
+    marked = nodes.withColumn("_inner", inner).withColumn(
+        "control", is_control() | (is_clickable() & F.coalesce(F.col("_inner") > F.col("last"), F.lit(True))))
+    marked = marked.withColumn("_reach", F.max(F.when(F.col("control"), F.col("last"))).over(before))
+    outer = marked.where(F.col("_reach").isNull() | (F.col("_reach") < F.col("seq"))).where(F.col("control") | (F.length("own") > 1))
+    shown = outer.withColumn("index", F.when(F.col("control"), F.count(F.when(F.col("control"), 1)).over(w) - 1).cast("int"))
+    shown = shown.join(referenced_names(nodes), ["page_id", "seq"], "left").withColumns({
+        "name": F.when(F.col("control"), accessible_name(F.col("labelled"), F.col("label"))).otherwise(one_line(F.col("own"))),
         "href": F.when(F.col("tag") == "a", one_line(attr("href")))})
     out = shown.select("page_id", "seq", "depth", "tag", "control", "index", "name", "href", "attrs")
     return out if max_nodes is None else out.where(F.col("index").isNull() | (F.col("index") < max_nodes))
@@ -249,49 +294,46 @@ def page_outline(nodes: DataFrame, dedup: bool = False, max_chars: int | None =
         F.substring("outline", 1, max_chars), F.lit("\n… [snapshot truncated]"))).otherwise(F.col("outline")))
 
 
-_SIMPLE = re.compile(r"^(?P<tag>[a-zA-Z][a-zA-Z0-9]*|\*)?(?P<rest>([.#][\w-]+|\[[\w-]+([*^$]?=\"?[^\]\"]*\"?)?\])*)$")
-_PART = re.compile(r"[.#][\w-]+|\[[\w-]+(?:[*^$]?=\"?[^\]\"]*\"?)?\]")
-
-
-def selector(css: str) -> Column:
-    """A simple selector (tag, .class, #id, [attr], [attr=value], [attr*=value]) as a condition on nodes."""
-    m = _SIMPLE.match(css.strip())
-    if not m or not css.strip():
-        raise ValueError(f"unsupported selector: {css}")
-    cond = F.lit(True)
-    if m["tag"] and m["tag"] != "*":
-        cond = cond & (F.col("tag") == m["tag"].lower())
-    for part in _PART.findall(m["rest"] or ""):
-        if part[0] == ".":
-            cond = cond & F.array_contains(F.split(F.col("cls"), r"\s+"), part[1:])
-        elif part[0] == "#":
-            cond = cond & (attr("id") == part[1:])
-        else:
-            name, op, value = re.match(r"\[([\w-]+)(?:([*^$]?=)\"?([^\]\"]*)\"?)?\]", part).groups()
-            c = attr(name)
-            test = {None: c.isNotNull(), "=": c == (value or ""), "*=": c.contains(value or ""),
-                    "^=": c.startswith(value or ""), "$=": c.endswith(value or "")}[op]
-            cond = cond & test
-    return F.coalesce(cond, F.lit(False))
-
-
 def _cut(c: Column, n: int | None) -> Column:
     return c if n is None else F.when(F.length(c) > n, F.concat(F.substring(c, 1, n), F.lit("…"))).otherwise(c)
 
 
+def _is_selector(spec: str) -> bool:
+    return spec not in ("", "text") and not spec.startswith(("regex:", "@"))
+
+
 def extract_records(nodes: DataFrame, container: str, fields: Mapping[str, str] | None = None,
                     limit: int | None = None, max_chars: int | None = None) -> DataFrame:
     """One row per container element, one column per field.
 
     A field is ``text`` (the container's own text), a selector (text of its first match inside),
-    ``selector@attr`` or ``@attr``, or ``regex:PATTERN`` (first group, else the match) over the text.
-    Pages are parsed once and shuffled once, for any number of fields.
+    ``selector@attr`` or ``@attr``, or ``regex:PATTERN`` (first group, else the match) over the text. Selectors are
+    those of :mod:`.selectors`; in a field, what stands before the last compound may lie outside the container, unless
+    the chain begins with ``:scope``, which is the container. Without chains, nodes are shuffled once for any number of
+    fields; with them, nodes are settled first and every step of a chain is one more join.
     """
     fields = dict(fields or {"text": "text", "href": "a@href"})
-    is_box = selector(container)
+    nested = [css for css in [container, *(f.rpartition("@")[0] if "@" in f else f for f in fields.values() if _is_selector(f))]
+              if not selectors.is_simple(css)]
+    if selectors.is_scoped(container):
+        raise ValueError("a container stands in the page, not in a container")
+    if nested:
+        nodes = settle(nodes, "nodes")
+
+    def marked(css: str, flag: str) -> Column:
+        """Whether a node matches; for a chain, by a column joined to the nodes."""
+        nonlocal nodes
+        if selectors.is_simple(css):
+            return selectors.condition(css)
+        hits = selectors.match(nodes_before, css).where("anchor is null").select("page_id", "seq").withColumn(flag, F.lit(True))
+        nodes = nodes.join(hits, ["page_id", "seq"], "left")
+        return F.coalesce(F.col(flag), F.lit(False))
+
+    nodes_before = nodes
+    is_box = marked(container, "_box_flag")
     own = {"text": F.col("text"), "attrs": F.col("attrs")}
-    cols, inside = {}, {}
-    for name, spec in fields.items():
+    cols, inside, scoped = {}, {}, []
+    for i, (name, spec) in enumerate(fields.items()):
         if spec in ("", "text"):
             cols[name] = _cut(F.col("_box.text"), max_chars)
         elif spec.startswith("regex:"):
@@ -303,8 +345,11 @@ def extract_records(nodes: DataFrame, container: str, fields: Mapping[str, str]
         elif spec.startswith("@"):
             cols[name] = _cut(F.try_element_at("_box.attrs", F.lit(spec[1:])), max_chars)
         else:
-            css, _, wanted = spec.partition("@")
-            inside[name] = (selector(css), F.struct((attr(wanted) if wanted else F.col("text")).alias("v")))
+            css, wanted = spec.rpartition("@")[::2] if "@" in spec else (spec, "")
+            value = F.struct((attr(wanted) if wanted else F.col("text")).alias("v"))
+            inside[name] = (marked(css, f"_flag_{i}"), value)
+            if selectors.is_scoped(css):
+                scoped.append((name, css, value))
             cols[name] = _cut(F.col(f"_f_{name}.v"), max_chars)
     any_hit = reduce(lambda a, b: a | b, [hit for hit, _ in inside.values()], F.lit(False))
     none = F.array().cast("array<int>")
@@ -313,6 +358,10 @@ def extract_records(nodes: DataFrame, container: str, fields: Mapping[str, str]
         "page_id", "seq", F.when(is_box, F.struct(*[c.alias(n) for n, c in own.items()])).alias("_own"),
         *[F.when(hit, value).alias(f"_v_{n}") for n, (hit, value) in inside.items()],
         F.explode(F.concat(F.when(is_box, F.array("seq")).otherwise(none), F.when(any_hit, F.col("up")).otherwise(none))).alias("box"))
+    for name, css, value in scoped:    # and one that is told from the box, to that box
+        hits = selectors.match(nodes_before, css).where("anchor is not null")
+        told = nodes_before.join(hits, ["page_id", "seq"]).select("page_id", "seq", value.alias(f"_v_{name}"), F.col("anchor").alias("box"))
+        reports = reports.unionByName(told, allowMissingColumns=True)
     itself = F.col("box") == F.col("seq")
     found = reports.groupBy("page_id", "box").agg(
         F.first(F.when(itself, F.col("_own")), ignorenulls=True).alias("_box"),

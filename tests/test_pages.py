@@ -1,12 +1,14 @@
 """Stored pages, results and profiles on small fixtures."""
 
 import os
+import random
+import re
 
 import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
 
-from gridweave.operators import dom, pages, people
+from gridweave.operators import dom, pages, people, selectors
 
 
 @pytest.fixture(scope="module")
@@ -48,8 +50,119 @@ def test_records_and_repeated_block(nodes):
     assert dom.extract_records(nodes, "div.card", limit=2).count() == 2
     block = dom.detect_repeated_block(nodes).collect()
     assert [(r["page_id"], r["signature"], r["items"], r["too_broad"]) for r in block] == [(1, "div.card", 3, False)]
-    with pytest.raises(ValueError):
-        dom.selector("div > p")
+    for css in ("", "a:hover", "> a", "a >", "a,,b", "a::before", ":scope", "a :scope b"):
+        with pytest.raises(ValueError):
+            selectors.parse(css)
+
+
+class Tree:
+    """A plain matcher that walks the elements of a page."""
+
+    def __init__(self, html):
+        self.rows = dom.parse_nodes(html)
+
+    def one(self, n, part):
+        attrs, value = n["attrs"], None
+        if part[0] == ".":
+            return part[1:] in n["cls"].split()
+        if part[0] == "#":
+            return attrs.get("id") == part[1:]
+        if part[0] == "[":
+            m = re.fullmatch(r"""\[([\w-]+)(?:(.?=)["']?([^"'\]]*)["']?)?\]""", part)
+            value, (op, want) = attrs.get(m[1]), (m[2], m[3])
+            if value is None or op is None:
+                return value is not None
+            return {"=": value == want, "^=": value.startswith(want), "$=": value.endswith(want), "*=": want in value,
+                    "~=": want in value.split(), "|=": value == want or value.startswith(want + "-")}[op]
+        if part == ":first-child":
+            return n["child"] == 1
+        if part.startswith(":nth-child"):
+            return n["child"] == int(part[11:-1])
+        if part.startswith(":not"):
+            return not self.one(n, part[5:-1])
+        return part in ("*", n["tag"])
+
+    def ends(self, n, steps, scope):
+        """Whether the chain can end at the element, told from ``scope``."""
+        *before, last = steps
+        if last.compound == (":scope",):
+            return n["seq"] == scope
+        if not all(self.one(n, p) for p in last.compound):
+            return False
+        if not before:
+            return True
+        brothers = [m for m in self.rows if m["parent"] == n["parent"] and m["child"] < n["child"]]
+        near = {" ": [self.rows[i] for i in n["up"]], ">": [self.rows[n["parent"]]] if n["parent"] >= 0 else [],
+                "+": [m for m in brothers if m["child"] == n["child"] - 1], "~": brothers}[last.relation]
+        return any(self.ends(m, before, scope) for m in near)
+
+    def match(self, css, scope=None):
+        return [n for n in self.rows if any(self.ends(n, chain, scope) for chain in selectors.parse(css))]
+
+    def first_in(self, box, css):
+        inside = [n for n in self.match(css, box["seq"]) if box["seq"] < n["seq"] <= box["last"]]
+        return inside[0] if inside else None
+
+
+def random_page(rnd, size):
+    def tree(depth, room):
+        out = []
+        while room[0] > 0 and rnd.random() < (0.85 if depth < 6 else 0.2):
+            room[0] -= 1
+            tag = rnd.choice(["div", "span", "ul", "section", "a", "b"])
+            marks = "".join([rnd.choice(["", " class=card", " class='x card y'", " class=x"]), rnd.choice(["", "", " id=one", " href='/p-q r'", " data-k=v"])])
+            out.append(f"<{tag}{marks}>t{room[0]} {tree(depth + 1, room)}</{tag}>")
+        return "".join(out)
+    return "<body>" + tree(0, [size]) + "</body>"
+
+
+CHAINS = [".card > a", "div, span.x", "ul a", "div > .x .card", "section + div", "a ~ b", "div.x > a + span", ".card .card .card", "[href^='/p'] b, #one",
+          "*:not(.x) > a:first-child", "a[href~=r], b:nth-child(2)", "body > div ~ section .x, ul", "div[data-k=v] *"]
+
+
+def test_selector_chains_equal_a_walk(spark):
+    rnd = random.Random(12)
+    pages_ = [(i, random_page(rnd, 60)) for i in range(12)]
+    found = dom.dom_nodes(spark.createDataFrame(pages_, "page_id bigint, html string")).cache()
+    for css in CHAINS:
+        got = sorted((r.page_id, r.seq) for r in selectors.match(found, css).collect())
+        assert got == sorted((i, n["seq"]) for i, html in pages_ for n in Tree(html).match(css)), css
+
+
+def test_records_by_chains(spark):
+    rnd = random.Random(13)
+    pages_ = [(i, random_page(rnd, 50)) for i in range(8)]
+    found = dom.dom_nodes(spark.createDataFrame(pages_, "page_id bigint, html string"))
+    fields = {"child": ":scope > a", "deep": "div > b", "either": ":scope > b, span .x", "far": "body .card a@href", "scoped": ":scope .x > a@class", "plain": "a, b", "own": "text"}
+    for container in (".card", "div > .card, ul", "section .x"):
+        got = sorted(tuple(r[c] for c in ("page_id", "box", *fields)) for r in dom.extract_records(found, container, fields).collect())
+        want = []
+        for i, html in pages_:
+            tree = Tree(html)
+            for box in tree.match(container):
+                row = [i, box["seq"]]
+                for spec in fields.values():
+                    css, _, name = spec.partition("@")
+                    hit = box if spec == "text" else tree.first_in(box, css)
+                    row.append(None if hit is None else hit["attrs"].get(name) if name else hit["text"])
+                want.append(tuple(row))
+        assert got == sorted(want), container
+
+
+def test_clickable_elements_and_labels(spark):
+    html = """<span onclick='go()'>Open</span><div onclick=x>around <button>Inner</button></div><div tabindex=0>Tab</div><div tabindex=-1>No</div>
+      <label for=mail>E-mail <b>address</b></label><input id=mail name=m><label>Age <input name=age> years</label><label for=nobody>x <input name=z></label>
+      <input aria-labelledby='t1 gone t2' name=q><h2 id=t1>First</h2><p id=t2>Second</p><p id=t1>Not this</p><input type=hidden id=hid><label for=hid>H</label>
+      <div contenteditable>Editor <a href=1>no</a></div><label>Two <input name=i1><input name=i2></label><input placeholder=Hint id=ph><label for=ph>Label</label>
+      <label for=mail>Later</label><div onclick=y><div contenteditable=true>z</div></div><li onclick=a>outer <i onclick=b>inner</i></li>"""
+    got = dom.snapshot(dom.dom_nodes(spark.createDataFrame([(1, html)], "page_id bigint, html string"))).orderBy("seq").collect()
+    assert [(r.tag, r.name) for r in got if r.control] == [
+        ("span", "Open"), ("button", "Inner"), ("div", "Tab"), ("input", "E-mail address"), ("input", "Age years"), ("input", "z"),
+        ("input", "First Second"), ("input", ""), ("div", "Editor no"), ("input", "Two"), ("input", "i2"), ("input", "Hint"),
+        ("div", "z"), ("li", "outer inner")]
+    assert [r["index"] for r in got if r["control"]] == list(range(14))
+    texts = [r.name for r in got if not r.control]
+    assert "around" in texts and "No" in texts and "E-mail" in texts and "Open" not in texts
 
 
 def test_breadcrumbs(spark):

@@ -74,11 +74,24 @@ def x04(spark, sf):
 LINKS = """SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1)) AS href, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2)) AS text FROM pages"""
 
 
-@query("x05_dom_nodes", """
-    SELECT page_id, 'a' AS tag, len(regexp_extract_all(html, '<a ')) AS n FROM pages UNION ALL SELECT page_id, 'li', len(regexp_extract_all(html, '<li>')) FROM pages
-    UNION ALL SELECT page_id, 'h1', len(regexp_extract_all(html, '<h1>')) FROM pages UNION ALL SELECT page_id, 'footer', len(regexp_extract_all(html, '<footer>')) FROM pages""")
+# Every element of the given pages with what it directly holds: bodies have no text after closing tags, and the only
+# elements left open are p, b and br, whose depths follow from their tags.
+NODES = r"""opened AS (SELECT page_id, unnest(range(len(tags))) AS seq, unnest(tags) AS x FROM (
+      SELECT page_id, regexp_extract_all(regexp_replace(html, '<head>.*?</head>|<!--.*?-->', '', 'gs'), '<[a-z][^>]*>[^<]*') AS tags FROM pages)),
+    read AS (SELECT page_id, seq, regexp_extract(x, '^<([a-z0-9]+)', 1) AS tag, regexp_extract(x, ' class="([^"]*)"', 1) AS cls,
+      replace(regexp_extract(x, ' href="([^"]*)"', 1), '&amp;', '&') AS href, trim(regexp_replace(replace(replace(replace(replace(replace(replace(
+        regexp_extract(x, '>([^<]*)$', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&'), '\s+', ' ', 'g')) AS own FROM opened),
+    nodes AS (SELECT *, CASE WHEN tag = 'html' THEN 0 WHEN tag = 'body' THEN 1 WHEN tag IN ('nav', 'div', 'article', 'footer') THEN 2
+        WHEN tag IN ('ul', 'h1', 'p') THEN 3 WHEN tag IN ('li', 'b') THEN 4 ELSE 5 END AS depth,
+      CASE WHEN tag = 'li' THEN max(CASE WHEN tag = 'ul' THEN seq END) OVER page WHEN tag IN ('h1', 'p') THEN max(CASE WHEN tag = 'article' THEN seq END) OVER page
+        WHEN tag IN ('nav', 'div', 'article', 'footer') THEN 1 ELSE seq - 1 END AS parent
+      FROM read WINDOW page AS (PARTITION BY page_id))"""
+
+
+@query("x05_dom_nodes", f"""
+    WITH {NODES} SELECT page_id, CAST(seq AS INTEGER) AS seq, depth, CAST(parent AS INTEGER) AS parent, tag, cls, href, own FROM nodes""")
 def x05(spark, sf):
-    return nodes(spark, sf).where(F.col("tag").isin("a", "li", "h1", "footer")).groupBy("page_id", "tag").agg(F.count("*").alias("n"))
+    return nodes(spark, sf).select("page_id", "seq", "depth", "parent", "tag", "cls", F.coalesce(dom.attr("href"), F.lit("")).alias("href"), "own")
 
 
 @query("x06_extract_records", f"SELECT page_id, replace(href, '&amp;', '&') AS href, replace(trim(text), '&amp;', '&') AS text, regexp_extract(replace(trim(text), '&amp;', '&'), '^(.)', 1) AS initial FROM ({LINKS})")
@@ -92,12 +105,38 @@ def x06b(spark, sf):
     return dom.extract_records(nodes(spark, sf), "li", {"href": "a[href]@href", "label": "a"}).select("page_id", "href", "label")
 
 
+@query("x06_extract_by_chains", f"""
+    WITH {NODES}, named AS (SELECT page_id, max(CASE WHEN tag = 'h1' THEN own END) AS title, max(CASE WHEN tag = 'div' THEN seq END) AS advert FROM nodes GROUP BY page_id)
+    SELECT l.page_id, l.seq AS box, a.own AS label, a.href, l.seq = min(l.seq) OVER (PARTITION BY l.page_id) AS leads
+    FROM nodes l JOIN nodes a ON a.page_id = l.page_id AND a.parent = l.seq JOIN named n ON n.page_id = l.page_id WHERE l.tag = 'li' AND l.seq < n.advert""")
+def x06c(spark, sf):
+    out = dom.extract_records(nodes(spark, sf), "body > nav li", {"label": ":scope > a", "href": "nav > ul a[href]@href", "first": "li:first-child > a"})
+    return out.select("page_id", F.col("box").cast("bigint").alias("box"), "label", "href", F.col("first").isNotNull().alias("leads"))
+
+
+@query("x06_extract_by_list", f"""
+    WITH {NODES} SELECT page_id, seq AS box, own AS text FROM nodes n WHERE tag IN ('h1', 'footer') OR (tag = 'p' AND own <> '' AND seq = (
+      SELECT min(seq) FROM nodes h WHERE h.page_id = n.page_id AND h.tag = 'h1') + 1)""")
+def x06d(spark, sf):
+    plain = "h1 + p, article > h1, body > div.ad ~ footer"
+    out = dom.extract_records(nodes(spark, sf), plain, {"text": "text", "bold": ":scope > b"})
+    return out.where("bold is null").select("page_id", F.col("box").cast("bigint").alias("box"), "text")
+
+
 @query("x07_detect_repeated_block", "SELECT page_id, 'li' AS signature, n AS items, false AS too_broad FROM (SELECT page_id, len(regexp_extract_all(html, '<li><a ')) AS n FROM pages) WHERE n >= 3")
 def x07(spark, sf):
     return dom.detect_repeated_block(nodes(spark, sf), min_text=1).select("page_id", "signature", "items", "too_broad")
 
 
-@query("x08_page_outline")
+@query("x08_page_outline", f"""
+    WITH {NODES}, links AS (SELECT *, row_number() OVER page - 1 AS idx, (own, href) IS DISTINCT FROM lag((own, href)) OVER page AS fresh
+        FROM nodes WHERE tag = 'a' WINDOW page AS (PARTITION BY page_id ORDER BY seq)),
+    runs AS (SELECT page_id, min(seq) AS seq, min(idx) AS idx, count(*) AS n, any_value(own) AS own, any_value(href) AS href FROM (
+        SELECT *, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY page_id ORDER BY seq) AS run FROM links) GROUP BY page_id, run),
+    lines AS (SELECT page_id, seq, own AS line FROM nodes WHERE tag <> 'a' AND length(own) > 1
+        UNION ALL SELECT page_id, seq, '[' || idx || ']<a href="' || href || '">' || CASE WHEN own <> '' THEN ' ' || own ELSE '' END || CASE WHEN n > 1 THEN
+          '  (×' || n || ' similar — idx ' || array_to_string(range(idx, idx + least(n, 5)), ', ') || CASE WHEN n > 5 THEN '…' ELSE '' END || ')' ELSE '' END FROM runs)
+    SELECT page_id, CAST(length(outline) AS INTEGER) AS chars, sha256(outline) AS sha FROM (SELECT page_id, string_agg(line, chr(10) ORDER BY seq) AS outline FROM lines GROUP BY page_id)""")
 def x08(spark, sf):
     out = dom.page_outline(dom.snapshot(nodes(spark, sf)), dedup=True, max_chars=None)
     return out.select("page_id", F.length("outline").alias("chars"), F.sha2("outline", 256).alias("sha"))
