@@ -276,21 +276,17 @@ def count_phrases(texts: DataFrame, least: int, new: np.ndarray | None, old: np.
     return found.mapInArrow(tidy(hashed), _COUNTS + ", hash bigint, known boolean")
 
 
-def propose(texts: DataFrame, least: int, sample: int = SAMPLE) -> tuple[np.ndarray, int]:
-    """The filter of the phrases of up to 3 words that are frequent in the sample, and how many they are."""
+def propose(texts: DataFrame, least: int, sample: int = SAMPLE) -> np.ndarray:
+    """The filter of the phrases of up to 3 words that are frequent in the sample."""
     chosen = settle(texts.where(F.pmod(F.xxhash64("id"), F.lit(sample)) == 0).select("lang", "text"), "op11-sample")
     mean = least / sample
     enough = max(1, int(mean - CAUTION * mean ** 0.5))
-    levels, bits = [], None
+    every, bits = None, None
     for words in range(1, LONGEST):
-        levels.append(settle(count_phrases(chosen, enough, bits, None, range(words, words + 1)), "op11-proposed"))
-        n = levels[-1].count()
-        bits = build_filter(levels[-1], filter_size(n)) if n else np.zeros(1024, np.uint8)
-    every = levels[0]
-    for more in levels[1:]:
-        every = every.unionAll(more)
-    n = every.count()
-    return build_filter(every, filter_size(n)), n
+        level = settle(count_phrases(chosen, enough, bits, None, range(words, words + 1)), "op11-proposed")
+        every = level if every is None else every.unionAll(level)
+        bits = build_filter(every, filter_size(every.count()))
+    return bits
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text",
@@ -298,8 +294,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, sample: int = SAMPLE,
     """``lang, words, phrase, n`` of all phrases of up to 4 words with ``n >= least``, and the number of words of each
     language as a phrase of none."""
     texts = texts_by_lang(docs, id_col, text_col, lang_col)
-    new, _ = propose(texts, least, sample)
-    old, found = None, None
+    new, old, found = propose(texts, least, sample), None, None
     while True:
         levels = range(1, LONGEST + 1) if old is None else range(2, LONGEST + 1)
         part = settle(count_phrases(texts, least, new, old, levels, totals=old is None), "op11-counted")
