@@ -116,6 +116,19 @@ def overdue_runs(runs: DataFrame, now: Column) -> DataFrame:
                              "status": F.lit("failed"), "finished_at": F.lit(None).cast("double") + now})
 
 
+def timed_out_runs(events: DataFrame, timeout: float, exits: DataFrame | None = None, now: float | None = None) -> DataFrame:
+    """``run_id, error`` of the runs that were so many seconds past their first event, by ``now`` (the time of the latest
+    event or exit), without a result or exit until then: what the stream's timers find, from the whole log."""
+    told = events.groupBy("run_id").agg(F.min("t").alias("first"), F.max("t").alias("latest"), F.min(F.when(F.col("hb_event") == "result", F.col("t"))).alias("done"))
+    if exits is not None:
+        told = told.join(exits.groupBy("run_id").agg(F.min("t").alias("ended")), "run_id", "left")
+    else:
+        told = told.withColumn("ended", F.lit(None).cast("double"))
+    until = F.lit(now) if now is not None else F.lit(told.agg(F.max(F.greatest("latest", "ended"))).first()[0])
+    late = (F.col("first") + timeout <= until) & ~F.coalesce(F.least("done", "ended") < F.col("first") + timeout, F.lit(False))
+    return told.where(late).select("run_id", F.lit(f"workflow timed out after {int(timeout)}s").alias("error"))
+
+
 def resolve_start(defs: DataFrame, now: Column) -> DataFrame:
     """The start time from an absolute (``start_at``) or relative (``in_seconds``) input; none = now.
 

@@ -29,7 +29,7 @@ def test_dialect_a(spark):
     assert by[0]["thread_id"] == "th" and by[3]["text"] == "turn failed" and json.loads(by[2]["usage"]) == {"a": 1}
     assert (by[9]["id"], by[9]["text"]) == ("plan-7", "✓ a · ○ b") and by[11]["text"] == "⚠ odd" and by[11]["level"] == "warn"
     assert json.loads(by[12]["args"]) == {"q": 1} and by[13]["ok"] is False and by[13]["result"] == "gone"
-    assert by[14]["ok"] is True and by[14]["result"].endswith("… (+100 chars)") and by[14]["tool"] == "shell"
+    assert by[14]["ok"] is True and by[14]["result"] == "y" * 1300 and by[14]["tool"] == "shell"
     assert json.loads(json.loads(by[15]["args"])["paths"]) == ["a.py"] and json.loads(by[16]["result"]) == ["a.py"] and by[17]["tool"] == "web_search"
 
 
@@ -46,7 +46,7 @@ def test_dialect_b(spark):
     rows = [r.asDict() for r in ag.normalize_dialect_b(raw(spark, lines)).orderBy("seq", "part").collect()]
     assert [(r["seq"], r["kind"]) for r in rows] == [(0, "system"), (1, "system"), (2, "system"), (3, "status"), (5, "message_start"), (6, "block_start"), (7, "text_delta"), (8, "reasoning_delta"),
                                                      (10, "reasoning"), (10, "message"), (10, "tool_call"), (11, "tool_result"), (13, "usage"), (14, "usage"), (14, "error"), (16, "system")]
-    assert rows[0]["text"] == "session started (m)" and rows[1]["text"] == "context compacted (4 messages summarised)" and rows[2]["text"] == "⚠ switched to a fallback model: z"
+    assert rows[0]["text"] == "session started (m)" and rows[1]["text"] == "context compacted (4 messages summarised)" and rows[2]["text"] == "⚠ another model took over: z"
     assert (rows[9]["block"], rows[9]["msg_id"], rows[9]["text"]) == (1, "m1", "ab") and rows[10]["tool"] == "go" and json.loads(rows[10]["args"]) == {"x": 1}
     assert rows[11]["ok"] is False and "bad" in rows[11]["result"] and rows[14]["text"] == "no model"
     assert rows[15]["text"] == "approaching five-hour usage limit — resets Thu 00:00"

@@ -2,7 +2,6 @@
 
 import json
 import os
-import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -41,17 +40,82 @@ def test_stream_of_log_files_equals_the_batch(spark, tmp_path, log_folder):
     assert sorted((r.run_id, r.status, r.collected, r.rows) for r in latest.values()) == [(f.run_id, "running", f.collected, f.rows) for f in facts]
 
 
-def test_a_timer_ends_overdue_runs(spark, tmp_path, log_folder):
-    stream = logs.normalize_run_events(logs.read_run_events_stream(spark, log_folder, files_per_trigger=1))
+def streamed(spark, tmp_path, name, batches, schema):
+    """A stream with one file a batch, in order."""
+    folder = tmp_path / name
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(folder))
+        for part in folder.glob("part-*"):
+            if part.stat().st_mtime > 1e9 + 1000:
+                os.utime(part, (1e9 + i, 1e9 + i))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+
+
+EVENTS = "run_id string, seq bigint, t double, hb_event string, state string, collected bigint, total bigint, message string, url string, csv string, rows bigint"
+EXITS = "run_id string, t double, code int, canceled boolean, timed_out boolean, controlled boolean, has_output boolean, timeout bigint"
+
+
+def timeline():
+    def status(run, t):
+        return (run, 1, t, "status", "running", 0, 0, "", "", "", 0)
+
+    def progress(run, seq, t, n):
+        return (run, seq, t, "progress", "", n, 9, "m", "u", "", 0)
+
+    def result(run, seq, t):
+        return (run, seq, t, "result", "", 0, 0, "", "", "o.csv", 3)
+    first = [status("done", 1000.0), result("done", 3, 1030.0), status("stuck", 1000.0), progress("stuck", 2, 1005.0, 4), status("ended", 1000.0),
+             status("late", 1001.0), status("handed", 1002.0)]
+    second = [progress("stuck", 3, 1055.0, 6), result("late", 9, 1059.0), progress("other", 1, 1058.0, 1)]
+    third = [status("new", 1500.0), progress("new", 2, 1501.0, 1), progress("done", 4, 1502.0, 7)]
+    fourth = [status("newer", 1530.0)]
+    exits = [[("ended", 1020.0, 0, False, False, False, True, 60)], [("handed", 1040.0, 1, False, False, True, False, 60)], [("new", 1503.0, 2, False, False, False, False, 60)]]
+    return [first, second, third, fourth], exits
+
+
+def latest_of(query_source, tmp_path, name):
     rows: list = []
-    query = (live.live_run_state(stream, timeout_ms=1).writeStream.outputMode("update").foreachBatch(lambda df, _: rows.extend(df.collect()))
-             .option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="1 second").start())
-    until = time.time() + 60
-    while time.time() < until and not any(r.status == "failed" for r in rows):
-        time.sleep(0.5)
-    query.stop()
-    late = [r for r in rows if r.status == "failed"]
-    assert late and all(r.error.startswith("workflow timed out") for r in late)
+    query = (query_source.writeStream.outputMode("update").foreachBatch(lambda df, _: rows.extend(df.collect()))
+             .option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start())
+    query.awaitTermination()
+    return {r.run_id: r for r in rows}
+
+
+def test_only_unfinished_runs_time_out(spark, tmp_path):
+    batches, exits = timeline()
+    out = live.live_run_state(streamed(spark, tmp_path, "ev", batches, EVENTS), timeout_ms=60_000, exits=streamed(spark, tmp_path, "ex", exits, EXITS), lateness="5 seconds")
+    got = latest_of(out, tmp_path, "cp")
+    events = spark.createDataFrame([r for b in batches for r in b], EVENTS)
+    ends = spark.createDataFrame([r for b in exits for r in b], EXITS)
+    batch = {r.run_id: r for r in runs.fold_runs(events, ends.drop("t")).collect()}
+    late = {r.run_id: r.error for r in runs.timed_out_runs(events, 60, ends, now=1525.0).collect()}
+    assert set(late) == {"stuck", "other"}
+    assert set(got) == set(batch)
+    for run, r in got.items():
+        b = batch[run]
+        want = ("failed", late[run]) if run in late else (b.status, b.error)
+        assert (r.status, r.error) == want, run
+        assert (r.collected, r.total, r.message, r.last_url, r.csv, r["rows"], r.log_lines) == (b.collected, b.total, b.message, b.last_url, b.csv, b["rows"], b.log_lines), run
+    assert got["done"].status == "running" and got["done"].csv == "o.csv" and got["ended"].status == "succeeded"
+    assert got["handed"].status == "controlled" and got["new"].error == "workflow exited with code 2" and got["newer"].status == "running"
+
+
+def test_a_replayed_backlog_ends_as_it_did(spark, tmp_path):
+    """All of the log in one batch, long after it was written: no clock starts at now."""
+    batches, exits = timeline()
+    out = live.live_run_state(streamed(spark, tmp_path, "ev", [[r for b in batches for r in b]], EVENTS), timeout_ms=60_000,
+                              exits=streamed(spark, tmp_path, "ex", [[r for b in exits for r in b]], EXITS), lateness="5 seconds", abandon_after_ms=10_000_000)
+    got = latest_of(out, tmp_path, "cp")
+    assert {k for k, r in got.items() if r.status == "failed"} == {"stuck", "other", "new"}
+
+
+def test_abandoned_runs_are_dropped(spark, tmp_path):
+    batches = [[("a", 1, 100.0, "progress", "", 1, 9, "m", "u", "", 0)], [("b", 1, 5000.0, "progress", "", 1, 9, "m", "u", "", 0)],
+               [("b", 2, 5001.0, "progress", "", 2, 9, "m", "u", "", 0)], [("a", 2, 5002.0, "log", "", 0, 0, "again", "", "", 0)]]
+    out = live.live_run_state(streamed(spark, tmp_path, "ev", batches, EVENTS), timeout_ms=10**9, abandon_after_ms=60_000, lateness="1 second")
+    got = latest_of(out, tmp_path, "cp")
+    assert got["a"].log_lines == 1 and got["a"].collected is None    # what was known of it is gone
+    assert got["b"].collected == 2 and got["b"].log_lines == 2
 
 
 def test_parts_keep_their_order_and_their_columns(spark, tmp_path):
