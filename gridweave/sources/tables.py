@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import csv
+import io
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,17 +14,14 @@ from ..functions import cells
 from ..model import INTERNAL, RID, as_dataset, column_specs, display_of, user_fields
 from ..operators.sequence import number_rows
 from ..operators.writes import Append, append
+from .records import read_records
 
 CORRUPT = "_corrupt_record"
-#: Up to so many file splits their counts are broadcast (some 100 bytes each), beyond that they are joined.
-MOST_SPLITS = 100_000
 
 
-def csv_header(spark: SparkSession, path: str) -> list[str]:
-    """The header cells of a CSV file or folder: its first non-blank line, without a byte order mark."""
-    first = spark.read.text(path).where(F.col("value") != "").limit(1).collect()
-    line = first[0]["value"].lstrip("﻿") if first else ""
-    return next(csv.reader([line]), [])
+def header_cells(record: bytes | str) -> list[str]:
+    text = record.decode("utf-8", "replace") if isinstance(record, bytes) else record
+    return next(csv.reader(io.StringIO(text.removesuffix("\r"), newline="")), [])
 
 
 def read_csv(spark: SparkSession, path: str, contract: Sequence | None = None,
@@ -32,21 +29,25 @@ def read_csv(spark: SparkSession, path: str, contract: Sequence | None = None,
     """A CSV file, or a folder of CSV parts, with a header line as a dataset. Row ids count from 1 in the order of
     file names and lines.
 
-    With ``quoted_newlines`` a cell may span lines, and then a file is one task; switch it off for big
-    files without such cells so that they are split.
+    Cells in quotes may span lines; files are split all the same (:mod:`.records`). Without ``quoted_newlines`` every
+    line is a row, whatever its quotes. Blank lines between rows are left out.
 
-    Cells are read by position, so repeated header names keep their own data. Types come from the
-    contract by display name (any case), otherwise text; contract columns missing from the file are
-    added. Rows that do not fit the header are kept, with their raw line in ``_corrupt_record``.
+    Cells are read by position, so repeated header names keep their own data; parts with another header are refused.
+    Types come from the contract by display name (any case), otherwise text; contract columns missing from the file are
+    added. Rows that do not fit the header are kept, with their raw text in ``_corrupt_record``.
     """
-    header = csv_header(spark, path)
-    _same_headers(spark, path, header)
+    headers, records = read_records(spark, path, quoted_newlines)
+    header = header_cells(headers[0]) if headers else []
+    other = [h for h in set(headers) if header_cells(h) != header]
+    if other:
+        raise ValueError(f"a part begins with {other[0]!r}, another with {header}")
     raw = [f"c{i}" for i in range(len(header))]
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*raw, CORRUPT]])
-    read = (spark.read.schema(schema).option("header", True).option("multiLine", quoted_newlines).option("quote", '"')
-            .option("escape", '"').option("encoding", "UTF-8").option("mode", "PERMISSIVE")
-            .option("columnNameOfCorruptRecord", CORRUPT).csv(path))
-    rows = _in_file_order(read)
+    text = F.replace("record", F.lit("\r\n"), F.lit("\n"))
+    text = F.when(F.endswith("record", F.lit("\r")), F.substring(text, F.lit(1), F.length(text) - 1)).otherwise(text)
+    cells_of = F.from_csv(text, ", ".join(f"{c} string" for c in [*raw, CORRUPT]), {
+        "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    rows = records.select(F.col("rid").alias(RID), cells_of.alias("row")).select(RID, "row.*") if raw else records.select(
+        F.col("rid").alias(RID), F.col("record").alias(CORRUPT))
     wanted = {c["display"].strip().lower(): c for c in column_specs(contract or [])}
     specs = [{"display": h, "type": wanted.get(h.strip().lower(), {}).get("type", "text")} for h in header]
     seen = {h.strip().lower() for h in header}
@@ -56,30 +57,6 @@ def read_csv(spark: SparkSession, path: str, contract: Sequence | None = None,
     return as_dataset(rows, specs + absent)
 
 
-def _same_headers(spark: SparkSession, path: str, header: list[str]) -> None:
-    """Parts are read by position, so a part with other columns, or in another order, is refused."""
-    lines = spark.read.text(path).where(F.col("value") != "").select(
-        F.regexp_replace("value", "^\ufeff", "").alias("value"), F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
-    tops = lines.where("start = 0").groupBy("file").agg(F.min_by("value", "at").alias("top"))
-    other = [r["top"] for r in tops.select("top").distinct().limit(2).collect() if next(csv.reader([r["top"]]), []) != header]
-    if other:
-        raise ValueError(f"a part begins with {other[0]!r}, another with {header}")
-
-
-def _in_file_order(read: DataFrame) -> DataFrame:
-    """Dense row ids by file name, place of the split in the file, and line: one count per split is summed up."""
-    placed = read.withColumns({"_file": F.col("_metadata.file_path"), "_start": F.col("_metadata.file_block_start"),
-                               "_at": F.monotonically_increasing_id()})
-    splits = placed.groupBy("_file", "_start").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
-    earlier = W.orderBy("_file", "_start").rowsBetween(W.unboundedPreceding, -1)    # one row per split
-    starts = splits.select("_file", "_start", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    if placed.rdd.getNumPartitions() + len(placed.inputFiles()) <= MOST_SPLITS:
-        starts = F.broadcast(starts)
-    return placed.join(starts, ["_file", "_start"]).withColumn(RID, F.col("_at") - F.col("_first") + F.col("_before") + 1).drop(
-        "_file", "_start", "_at", "_first", "_before")
-
-
 def append_csv(spark: SparkSession, base: DataFrame, path: str, keys: Sequence[str] | None = None) -> Append:
     """Append a CSV to a dataset: new columns join the schema, rows with a known key are skipped."""
     rows = read_csv(spark, path).withColumnRenamed(RID, "_seq")
