@@ -9,6 +9,7 @@ so a recomputed task always cuts its rows the same way, and any limits give exac
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -28,13 +29,20 @@ TREE_LIMIT = 255
 BLOCKS_PER_TASK = 4
 
 
-def block_bounds(df: DataFrame, order: str, blocks: int | None = None, keyed: bool = True) -> list[float]:
-    """Cut points for the order column: at most ``blocks`` numbers, from one pass over that column."""
+def quantiles(df: DataFrame, order: str, blocks: int | None = None, keyed: bool = True) -> tuple[list[float], float, int]:
+    """Approximate quantiles of the order column, one less than ``blocks``, from one pass over it: a value that many rows
+    have comes several times. Also the share of NULLs, and the number of blocks."""
     width = shuffle_width(df.sparkSession)
     n = blocks or (width if keyed else min(8192, width * BLOCKS_PER_TASK))
     probs = [i / n for i in range(1, n)]
-    found = df.agg(F.percentile_approx(F.col(order), probs, max(1000, 10 * n)).alias("q")).first()["q"]
-    return sorted(set(found or []))
+    found = df.agg(F.percentile_approx(F.col(order), probs, max(1000, 10 * n)).alias("q"),
+                   F.count(F.when(F.col(order).isNull(), 1)).alias("nulls"), F.count("*").alias("n")).first()
+    return sorted(found["q"] or []), found["nulls"] / max(1, found["n"]), n
+
+
+def block_bounds(df: DataFrame, order: str, blocks: int | None = None, keyed: bool = True) -> list[float]:
+    """Cut points for the order column: at most ``blocks`` numbers, from one pass over that column."""
+    return sorted(set(quantiles(df, order, blocks, keyed)[0]))
 
 
 def block_of(c: Column, bounds: Sequence[float]) -> Column:
@@ -51,14 +59,18 @@ def block_of(c: Column, bounds: Sequence[float]) -> Column:
 
 
 def _search(c: Column, bounds: Sequence[float]) -> Column:
-    points = F.array(*[F.lit(b) for b in bounds])
-    steps = [1 << k for k in reversed(range(len(bounds).bit_length()))]
+    return _search_in(c, F.array(*[F.lit(b) for b in bounds]), len(bounds))
+
+
+def _search_in(c: Column, points: Column, most: int) -> Column:
+    """How many of the points (an ascending array of at most so many) are below the value; 0 for NULL."""
+    steps = [1 << k for k in reversed(range(most.bit_length()))]
     return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda at, step: F.when(
         F.coalesce(F.get(points, at + step - 1) < c, F.lit(False)), at + step).otherwise(at))
 
 
 # Block numbers of rows whose key is NULL start here, so such a row needs no NULL to be told apart.
-NULL_BLOCKS = 1 << 20
+NULL_BLOCKS = 1 << 28
 
 
 class _Cut:
@@ -67,14 +79,26 @@ class _Cut:
     A single integer or text key is used as it is, NULL being replaced by a stand-in whose blocks are
     numbered apart; other keys are packed into a struct, which compares field by field with NULL equal
     to NULL. A shuffle on (key, block) made for the join thus also serves the window.
+
+    A value that takes several blocks' share of all rows (NULL as well) would fill one of them. With numeric ``ties``
+    its rows get blocks of their own, cut by quantiles of the first tie among them: ``parts`` of a hot value, numbered
+    from 1, follow the other values of its block. Only rows with equal order value and tie then always share a block.
     """
 
     def __init__(self, df: DataFrame, keys: Sequence[str], order: str, blocks: int | None,
-                 bounds: Sequence[float] | None) -> None:
+                 bounds: Sequence[float] | None, ties: Sequence[str] = ()) -> None:
         if not isinstance(df.schema[order].dataType, T.NumericType):
             raise TypeError(f"{order} must be numeric to be cut into blocks")
         self.columns, self.keys, self.order = df.columns, list(keys), order
-        self.bounds = block_bounds(df, order, blocks, bool(keys)) if bounds is None else list(bounds)
+        self.parts: dict[float | None, list[float]] = {}
+        if bounds is None:
+            found, nulls, n = quantiles(df, order, blocks, bool(keys))
+            self.bounds = sorted(set(found))
+            if ties and isinstance(df.schema[ties[0]].dataType, T.NumericType):
+                self._part(df, ties[0], {v: c for v, c in Counter(found).items() if c > 1}, int(nulls * n), n)
+        else:
+            self.bounds = list(bounds)
+        self.tie, self.stride = ties[0] if self.parts else None, max(map(len, self.parts.values()), default=0) + 2
         kind = df.schema[keys[0]].dataType if len(self.keys) == 1 else None
         self.plain = isinstance(kind, (T.IntegralType, T.StringType))
         self.by = [KEY, BLOCK] if keys else [BLOCK]
@@ -90,8 +114,36 @@ class _Cut:
         parts = [F.col(KEY), F.col(BLOCK) >= NULL_BLOCKS] if self.plain else [F.col(KEY)]
         self.per_key = W.partitionBy(*parts) if keys else W.partitionBy(F.lit(0))
 
+    def _part(self, df: DataFrame, tie: str, hot: dict[float, int], nulls: int, n: int) -> None:
+        """Cut points of the tie among the rows of each hot value, as many as it has blocks' shares."""
+        if nulls > 1:
+            hot = {**hot, None: nulls}
+        if not hot:
+            return
+        same = F.col(self.order).isNull() if set(hot) == {None} else F.col(self.order).isin([v for v in hot if v is not None])
+        rows = df.where(same | F.col(self.order).isNull() if None in hot else same)
+        probs = [i / n for i in range(1, n)]
+        for r in rows.groupBy(self.order).agg(F.percentile_approx(F.col(tie), probs, max(1000, 10 * n)).alias("q")).collect():
+            cuts, most = r["q"] or [], hot.get(r[0], 1)
+            self.parts[r[0]] = sorted({cuts[len(cuts) * i // most] for i in range(1, most)} if cuts else set())
+
     def block(self, c: Column) -> Column:
-        return block_of(c, self.bounds) + self.apart
+        if not self.parts:
+            return block_of(c, self.bounds) + self.apart
+        base = F.when(c.isNull(), 0).otherwise(block_of(c, self.bounds) + 1)
+        points = F.lit(None).cast("array<double>")
+        for value, cuts in self.parts.items():
+            mine = c.isNull() if value is None else c == F.lit(value)
+            points = F.when(mine, F.array(*[F.lit(float(x)) for x in cuts]).cast("array<double>")).otherwise(points)
+        part = F.when(points.isNull(), 0).otherwise(1 + _search_in(F.col(self.tie).cast("double"), points, self.stride))
+        return (base * self.stride + part).cast("int") + self.apart
+
+    def part(self) -> Column:
+        """0, or the number of the block among those of its hot value."""
+        return F.col(BLOCK) % NULL_BLOCKS % self.stride if self.parts else F.lit(0)
+
+    def base(self) -> Column:
+        return F.floor(F.col(BLOCK) % NULL_BLOCKS / self.stride) if self.parts else F.col(BLOCK)
 
     def key(self, name: str) -> Column:
         if self.plain:
@@ -116,13 +168,13 @@ def running(df: DataFrame, keys: Sequence[str], order: str, sums: Mapping[str, C
             bounds: Sequence[float] | None = None) -> DataFrame:
     """Inclusive running sums per key in the given order, as new columns.
 
-    ``order`` (with ``ties`` as further order columns) must order the rows of a key uniquely, and the
-    order column should have few repeats, as equal values share a block. Without keys the running sums
+    ``order`` (with ``ties`` as further order columns) must order the rows of a key uniquely. An order value that very
+    many rows have needs a numeric first tie, by which its rows are cut again. Without keys the running sums
     go over the whole table. ``bounds`` reuses cut points found before.
     """
     names = list(sums)
     valued = df.select("*", *[c.alias(f"_v_{n}") for n, c in sums.items()])
-    cut = _Cut(valued, keys, order, blocks, bounds if bounds is not None else block_bounds(df, order, blocks, bool(keys)))
+    cut = _Cut(valued, keys, order, blocks, bounds, ties)
     totals = cut.rows.groupBy(*cut.by).agg(*[F.sum(f"_v_{n}").alias(f"_c_{n}") for n in names])
     before = cut.before(totals, [f"_c_{n}" for n in names], reverse)
     w = cut.window(reverse, ties).rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -157,7 +209,7 @@ def keep_newest(df: DataFrame, keys: Sequence[str], order: str, n: int, blocks:
     Blocks whose later blocks already hold ``n`` rows are left out of the join, so of a key of any size
     only the newest blocks are ranked.
     """
-    cut = _Cut(df, keys, order, blocks, None)
+    cut = _Cut(df, keys, order, blocks, None, ties)
     totals = cut.rows.groupBy(*cut.by).agg(F.count("*").alias("_later"))
     later = cut.before(totals, ["_later"], reverse=True).where(F.col("_later") < n)
     near = cut.rows.join(later, cut.by)
@@ -170,22 +222,33 @@ def rank_rows(df: DataFrame, keys: Sequence[str], order: str, blocks: int | None
     """Window ranking columns per key without one task per key.
 
     Adds ``row_number`` (ties broken by ``ties``), ``rank``, ``dense_rank``, ``percent_rank`` and
-    ``cume_dist`` of the order column, and ``ntile`` when ``buckets`` is given. Equal order values always
-    share a block, so ranks inside a block only need the counts of the earlier blocks added.
+    ``cume_dist`` of the order column, and ``ntile`` when ``buckets`` is given. Equal order values share a block, or
+    all blocks that are parts of a hot value, so ranks need the counts of the earlier blocks added, or are those of
+    the first of the parts.
     """
-    cut = _Cut(df, keys, order, blocks, None)
+    cut = _Cut(df, keys, order, blocks, None, ties)
     per_value = cut.rows.groupBy(*cut.by, order).agg(F.count("*").alias("_n"))
     totals = per_value.groupBy(*cut.by).agg(F.sum("_n").alias("_rows"), F.count("*").alias("_values"))
+    totals = totals.select(*cut.by, "_rows", "_values", cut.part().alias("_part"), cut.base().alias("_base"))
+    keyed = [KEY] if keys else []
+    apart = [F.col(BLOCK) >= NULL_BLOCKS] if cut.plain else []
+    of_value = W.partitionBy(*keyed, *apart, "_base", F.col("_part") > 0)
+    # a hot value counts once, in the first of its parts that this key has
+    first = (F.col("_part") == 0) | (F.col("_part") == F.min("_part").over(of_value))
+    totals = totals.withColumn("_values", F.when(first, F.col("_values")).otherwise(0))
     w = cut.per_key.orderBy(BLOCK).rowsBetween(W.unboundedPreceding, -1)
-    before = totals.select(*cut.by, *[F.coalesce(F.sum(n).over(w), F.lit(0)).alias(n) for n in ("_rows", "_values")],
-                           F.sum("_rows").over(cut.per_key).alias("_size"))
+    before = totals.select(*cut.by, "_part", "_base", F.col("_rows").alias("_own"), F.coalesce(F.sum("_rows").over(w), F.lit(0)).alias("_rows"),
+                           F.coalesce(F.sum("_values").over(w), F.lit(0)).alias("_values"), F.sum("_rows").over(cut.per_key).alias("_size"))
+    before = before.withColumns({"_g_rows": F.min("_rows").over(of_value), "_g_values": F.min("_values").over(of_value),
+                                 "_g_end": F.max(F.col("_rows") + F.col("_own")).over(of_value)}).drop("_base", "_own")
     by, exact = cut.window(), cut.window(ties=ties)
     through = by.rangeBetween(W.unboundedPreceding, W.currentRow)
+    hot = F.col("_part") > 0
     out = cut.rows.join(before, cut.by).withColumns({
         "row_number": F.row_number().over(exact) + F.col("_rows"),
-        "rank": F.rank().over(by) + F.col("_rows"),
-        "dense_rank": F.dense_rank().over(by) + F.col("_values"),
-        "_upto": F.count("*").over(through) + F.col("_rows"),
+        "rank": F.when(hot, F.col("_g_rows") + 1).otherwise(F.rank().over(by) + F.col("_rows")),
+        "dense_rank": F.when(hot, F.col("_g_values") + 1).otherwise(F.dense_rank().over(by) + F.col("_values")),
+        "_upto": F.when(hot, F.col("_g_end")).otherwise(F.count("*").over(through) + F.col("_rows")),
     })
     out = out.withColumns({
         "percent_rank": F.when(F.col("_size") > 1, (F.col("rank") - 1) / (F.col("_size") - 1)).otherwise(0.0),
@@ -209,7 +272,7 @@ def neighbours(df: DataFrame, keys: Sequence[str], order: str, values: Mapping[s
     Only the first row of a block needs the last row of the key's previous non-empty block, and those
     edge rows are one per (key, block).
     """
-    cut = _Cut(df, keys, order, blocks, None)
+    cut = _Cut(df, keys, order, blocks, None, ties)
     place = F.struct(F.col(order), *[F.col(t) for t in ties])
     value = F.struct(*[F.col(s).alias(n) for n, s in values.items()])
     edge, shift = (F.min_by, F.lead) if ahead else (F.max_by, F.lag)
@@ -236,3 +299,61 @@ def rolling(df: DataFrame, keys: Sequence[str], order: str, aggs: Mapping[str, C
     w = W.partitionBy(*cut.by).orderBy(order).rangeBetween(-back, ahead)
     out = spread.withColumns({n: c.over(w) for n, c in aggs.items()}).where(F.col(BLOCK) == F.col("_home"))
     return cut.unpack(out, *aggs)
+
+
+#: How the totals of blocks are merged, and what an empty frame has.
+MERGE = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
+
+
+def rolling_totals(df: DataFrame, keys: Sequence[str], order: str, aggs: Mapping[str, tuple[str, str]], back: float,
+                   ahead: float = 0, blocks: int | None = None) -> DataFrame:
+    """Like :func:`rolling`, for frames of any width: ``aggs`` maps a new name to (``sum``, ``count``, ``min`` or ``max``, column).
+
+    A frame is the rest of the block in which it begins, whole blocks, and the head of the block in which it ends. Rows
+    go to the block where their frame begins, and meet its values there; then to the block where it ends. Totals of the
+    whole blocks between are made once for every pair of blocks, of which a key has at most twice as many as blocks.
+    So every row is shuffled twice, and its values once with either, whatever the frame.
+    """
+    cut = _Cut(df, keys, order, blocks, None)
+    span = back + ahead
+    values = [F.col(c).alias(f"_v_{n}") for n, (_, c) in aggs.items()]
+    apart = F.when(F.col(BLOCK) >= NULL_BLOCKS, NULL_BLOCKS).otherwise(0)
+    home = cut.rows.withColumns({"_first": block_of(F.col(order) - F.lit(back), cut.bounds) + apart, "_last": block_of(F.col(order) + F.lit(ahead), cut.bounds) + apart})
+    key = [KEY] if keys else []
+    data = cut.rows.select(*cut.by, F.col(order).alias("_pos"), *values)
+    inside = [f"_v_{n}" for n in aggs]
+
+    def over(window, suffix: str) -> dict[str, Column]:
+        out = {}
+        for n, (kind, _) in aggs.items():
+            c = F.col(f"_v_{n}")
+            out[f"{suffix}{n}"] = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}[kind](c).over(window)
+        return out
+
+    # one by one: the frame's part in its first block (all of it, if that is the last one too)
+    probes = home.drop(BLOCK).withColumnRenamed("_first", BLOCK).withColumn("_pos", F.col(order) - F.lit(back))
+    both = probes.withColumn("_probe", F.lit(True)).unionByName(data.withColumn("_probe", F.lit(False)), allowMissingColumns=True)
+    w = W.partitionBy(*cut.by).orderBy("_pos")
+    begun = both.withColumns(over(w.rangeBetween(0, span), "_a_")).where("_probe").drop("_probe", "_pos", *inside).withColumnRenamed(BLOCK, "_first")
+    # whole blocks between
+    totals = data.groupBy(*cut.by).agg(*[{"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}[k](f"_v_{n}").alias(f"_t_{n}") for n, (k, _) in aggs.items()])
+    pairs = home.where("_last > _first + 1").select(*key, "_first", "_last").distinct()
+    listed = pairs.withColumn(BLOCK, F.explode(F.sequence(F.col("_first") + 1, F.col("_last") - 1)))
+    middle = listed.join(totals, cut.by).groupBy(*key, "_first", "_last").agg(*[MERGE[k](f"_t_{n}").alias(f"_m_{n}") for n, (k, _) in aggs.items()])
+    # the frame's part in its last block
+    probes = begun.withColumnRenamed("_last", BLOCK).withColumn("_pos", F.col(order) + F.lit(ahead)).withColumn("_probe", F.lit(True))
+    both = probes.unionByName(data.withColumn("_probe", F.lit(False)), allowMissingColumns=True).unionByName(
+        middle.withColumnRenamed("_last", BLOCK).withColumn("_probe", F.lit(False)), allowMissingColumns=True)
+    told = {f"_m_{n}": F.first(f"_m_{n}", ignorenulls=True).over(W.partitionBy(*cut.by, "_first").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+            for n in aggs}
+    ended = both.withColumns({**over(w.rangeBetween(-span, 0), "_b_"), **told}).where("_probe")
+    later = F.col(BLOCK) > F.col("_first")
+    result = {}
+    for n, (kind, _) in aggs.items():
+        parts = [F.col(f"_a_{n}"), F.when(later, F.col(f"_m_{n}")), F.when(later, F.col(f"_b_{n}"))]
+        if kind in ("sum", "count"):
+            some = F.coalesce(*parts)
+            result[n] = F.when(some.isNotNull(), sum((F.coalesce(p, F.lit(0)) for p in parts[1:]), F.coalesce(parts[0], F.lit(0))))
+        else:
+            result[n] = {"min": F.least, "max": F.greatest}[kind](*parts)
+    return cut.unpack(ended.withColumns(result), *aggs)

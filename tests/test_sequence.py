@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from gridweave.operators import ranges
 from gridweave.operators import sequence as seq
 
 
@@ -95,6 +96,71 @@ def test_rolling(spark):
             assert got[(key, r[1])] == sum(x[3] for x in group if r[1] - 40 <= x[1] <= r[1] + 7)
 
 
+def skewed(spark, n=4000):
+    """Few order values, one of them and NULL with much of the rows."""
+    rnd = random.Random(21)
+    rows = [(rnd.choice([1, 1, 1, 2, None]), i, rnd.choice([5, 5, 5, 5, 5, 5, 3, 7, None, None])) for i in range(n)]
+    rnd.shuffle(rows)
+    return spark.createDataFrame(rows, "k int, id bigint, v int").repartition(5)
+
+
+def test_hot_order_values_are_cut_again(spark):
+    df = skewed(spark)
+    got = seq.rank_rows(df, ["k"], "v", blocks=40, ties=["id"], buckets=7)
+    want = spark.sql("""SELECT k, id, v, row_number() OVER (PARTITION BY k ORDER BY v, id) AS row_number, rank() OVER w AS rank, dense_rank() OVER w AS dense_rank,
+        percent_rank() OVER w AS percent_rank, cume_dist() OVER w AS cume_dist, ntile(7) OVER (PARTITION BY k ORDER BY v, id) AS ntile FROM {df} WINDOW w AS (PARTITION BY k ORDER BY v)""", df=df)
+    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+    for keys in (["k"], []):
+        cut = seq._Cut(df, keys, "v", 40, None, ["id"])
+        assert max(r["count"] for r in cut.rows.groupBy(*cut.by).count().collect()) < 4000 / 40 * 2.5
+    run = seq.running(df, ["k"], "v", {"s": F.col("id")}, blocks=40, ties=["id"]).select("id", "s")
+    plain = spark.sql("SELECT id, sum(id) OVER (PARTITION BY k ORDER BY v, id ROWS UNBOUNDED PRECEDING) AS s FROM {df}", df=df)
+    assert sorted(map(tuple, run.collect())) == sorted(map(tuple, plain.collect()))
+    newest = seq.keep_newest(df, ["k"], "v", 60, blocks=40, ties=["id"]).select("id")
+    top = spark.sql("SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY k ORDER BY v DESC, id DESC) AS n FROM {df}) WHERE n <= 60", df=df)
+    assert sorted(map(tuple, newest.collect())) == sorted(map(tuple, top.collect()))
+    near = seq.neighbours(df, ["k"], "v", {"x": "id"}, blocks=40, ties=["id"]).select("id", "x")
+    lag = spark.sql("SELECT id, lag(id) OVER (PARTITION BY k ORDER BY v, id) AS x FROM {df}", df=df)
+    assert sorted(map(str, near.collect())) == sorted(map(str, lag.collect()))
+
+
+@pytest.mark.parametrize(("back", "ahead"), [(700, 0), (2, 900), (5000, 5000)])
+def test_rolling_totals(spark, back, ahead):
+    df, _ = make(spark)
+    df = df.withColumn("w", F.when(F.col("w") != 0, F.col("w")))
+    late = df.withColumn("o", F.when(F.col("o") % 50 != 0, F.col("o")))
+    for given, keys in ((df, ["k"]), (late, [])):
+        got = seq.rolling_totals(given, keys, "o", {"s": ("sum", "w"), "n": ("count", "w"), "lo": ("min", "v"), "hi": ("max", "w")}, back, ahead, blocks=30)
+        part = "PARTITION BY k" if keys else ""
+        frame = f"OVER ({part} ORDER BY o RANGE BETWEEN {back} PRECEDING AND {ahead} FOLLOWING)"
+        want = spark.sql(f"SELECT k, o, v, w, sum(w) {frame} AS s, count(w) {frame} AS n, min(v) {frame} AS lo, max(w) {frame} AS hi FROM {{df}}", df=given)
+        assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+def test_wide_frames_shuffle_rows_twice(spark):
+    """No copies for the blocks between: what is met in windows is three rows for a row, whatever the frame."""
+    df = spark.range(20_000).select("id", (F.col("id") % 10).alias("w"))
+    out = seq.rolling_totals(df, [], "id", {"s": ("sum", "w")}, back=7000, blocks=64)
+    first = [0]
+    for i in range(20_000):
+        first.append(first[-1] + i % 10)
+    assert out.agg(F.sum("s")).first()[0] == sum(first[i + 1] - first[max(0, i - 7000)] for i in range(20_000))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("explode(sequence") == 1 and "_first" in plan    # only pairs of blocks are listed
+
+
+def test_a_dense_spot_is_dealt_out(spark):
+    rnd = random.Random(2)
+    points = spark.createDataFrame([(i, 50.0 if rnd.random() < 0.9 else rnd.uniform(0, 100)) for i in range(3000)] + [(9999, None)], "i bigint, x double")
+    bands = spark.createDataFrame([(n, lo, lo + rnd.choice([0.0, 0.5, 5.0, 200.0])) for n, lo in enumerate([-5.0, 0.0, 49.9, 50.0, 49.5, 99.0, 120.0])], "n int, lo double, hi double")
+    got = ranges.band_join(points, "x", bands, "lo", "hi", slots=40)
+    want = sorted((p.i, b.n) for p in points.collect() for b in bands.collect() if p.x is not None and b.lo <= p.x < b.hi)
+    assert sorted((r.i, r.n) for r in got.collect()) == want
+    found, _, _ = seq.quantiles(points, "x", 40)
+    assert len(set(found)) < 10 and found.count(50.0) > 30
+    assert ranges.band_join(points.where("false"), "x", bands, "lo", "hi").count() == 0
+
+
 def test_search_equals_tree(spark):
     bounds = [float(i * 7) for i in range(600)]
     df = spark.range(-5, 4300).select((F.col("id") * 1.0).alias("x"))

@@ -62,7 +62,7 @@ def q03(spark, sf):
     ON p_retailprice >= lo AND p_retailprice < hi GROUP BY 1""")
 def q03b(spark, sf):
     s = table(spark, sf, "supplier").select("s_suppkey", (F.abs("s_acctbal") / 10 + 900).alias("lo"), (F.abs("s_acctbal") / 10 + 905).alias("hi"))
-    return band_join(table(spark, sf, "part").select("p_brand", "p_retailprice"), "p_retailprice", s, "lo", "hi", width=5.0).groupBy("p_brand").agg(F.count("*").alias("n"))
+    return band_join(table(spark, sf, "part").select("p_brand", "p_retailprice"), "p_retailprice", s, "lo", "hi").groupBy("p_brand").agg(F.count("*").alias("n"))
 
 
 both("q04_semi_exists", "SELECT c_custkey, c_name FROM {customer} WHERE EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey AND o_totalprice > 450000)")
@@ -92,6 +92,26 @@ def q08(spark, sf):
     return out.drop("l_extendedprice", "l_partkey").withColumn("ntile", F.col("ntile").cast("bigint"))
 
 
+@query("q08_hot_ranking", """
+    SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (ORDER BY l_linenumber, l_orderkey, l_partkey, l_suppkey) AS row_number, rank() OVER w AS rank, dense_rank() OVER w AS dense_rank,
+      cume_dist() OVER w AS cume_dist FROM lineitem WINDOW w AS (ORDER BY l_linenumber)""")
+def q08b(spark, sf):
+    """A handful of order values and no key: every value is cut into blocks of its own."""
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    out = sequence.rank_rows(li, [], "l_linenumber", ties=["l_orderkey", "l_partkey", "l_suppkey"])
+    return out.drop("l_suppkey", "percent_rank").withColumn("dense_rank", F.col("dense_rank").cast("bigint"))
+
+
+@query("q09_wide_frames", """
+    SELECT event_id, CAST(sum(v) OVER w AS BIGINT) AS total, count(v) OVER w AS n, min(v) OVER w AS low, max(v) OVER w AS high
+    FROM (SELECT event_id, event_type, CASE WHEN event_id % 9 <> 0 THEN CAST(floor(value) AS BIGINT) END AS v FROM events)
+    WINDOW w AS (PARTITION BY event_type ORDER BY event_id RANGE BETWEEN 4000 PRECEDING AND 500 FOLLOWING)""")
+def q09d(spark, sf):
+    e = table(spark, sf, "events").select("event_id", "event_type", F.when(F.col("event_id") % 9 != 0, F.floor("value").cast("bigint")).alias("v"))
+    return sequence.rolling_totals(e, ["event_type"], "event_id", {"total": ("sum", "v"), "n": ("count", "v"), "low": ("min", "v"), "high": ("max", "v")},
+                                   back=4000, ahead=500).select("event_id", "total", "n", "low", "high")
+
+
 @query("q09_lag_lead", """
     SELECT event_id, lag(value) OVER w AS previous, lead(value) OVER w AS following FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)""")
 def q09(spark, sf):
