@@ -55,18 +55,42 @@ def test_dialect_b(spark):
 
 
 def replay(events):
-    waiting, count, out = {}, 0, []
+    """One list of open calls, searched from its front."""
+    waiting, out = [], []
     for seq, kind, cid, tool in events:
+        same = [w for w in waiting if cid and w[0] == cid]
         if kind == "tool_call":
-            count += 1
-            waiting[cid or f"_{count}"] = (seq, tool)
+            if same:
+                same[0][1:] = [seq, tool]
+            else:
+                waiting.append([cid, seq, tool])
         else:
-            count = max(0, count - 1)
-            hit = waiting.pop(cid) if cid in waiting else (waiting.pop(next(iter(waiting))) if waiting else (None, None))
-            out.append((seq, *hit))
+            hit = same[0] if same else waiting[0] if waiting else [None, None, None]
+            waiting = [w for w in waiting if w is not hit]
+            out.append((seq, hit[1], hit[2]))
     return sorted(out)
 
 
+def test_queues_pair_by_counts(spark):
+    """Sessions without names, never idle or with results before any call, are not replayed."""
+    rnd, rows = random.Random(6), []
+    for session in range(5):
+        for seq in range(300):
+            call = seq < 3 and session or rnd.random() < (0.55 if session % 2 else 0.48)
+            rows.append((session, seq, "tool_call" if call else "tool_result", f"x{seq}" if session == 4 else None, f"t{seq}" if call else "", None if call else True))
+    df = spark.createDataFrame(rows, "session bigint, seq bigint, kind string, call_id string, tool string, ok boolean").repartition(4)
+    depths, _ = ag._depths(df.select("session", "seq", "kind", "call_id", "tool", "ok"))
+    got = {}
+    for r in ag._queued(depths).collect():
+        got.setdefault(r["session"], []).append((r["result_seq"], r["call_seq"], r["tool"]))
+    whole = {}
+    for r in ag.pair_tool_calls(df).collect():
+        whole.setdefault(r["session"], []).append((r["result_seq"], r["call_seq"], r["tool"]))
+    for session in range(5):
+        want = replay([(s, k, c, t) for n, s, k, c, t, _ in rows if n == session])
+        assert sorted((a, b, t or None) for a, b, t in got[session]) == want and sorted((a, b, t or None) for a, b, t in whole[session]) == want
+
+
 def test_pairing_equals_replay(spark):
     rnd, rows = random.Random(5), []
     for session in range(12):
