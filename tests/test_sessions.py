@@ -54,6 +54,13 @@ def test_dialect_b(spark):
     assert (usage["cost"], usage["input_tokens"], usage["output_tokens"]) == (0.5, 3.0, None)
 
 
+def test_a_line_is_parsed_once(spark):
+    df = raw(spark, [{"type": "turn.started"}])
+    for normalise in (ag.normalize_dialect_a, ag.normalize_dialect_b):
+        plan = normalise(df)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("parse_json") + plan.count("parseJson") == 1 and "get_json_object" not in plan
+
+
 def replay(events):
     """One list of open calls, searched from its front."""
     waiting, out = [], []
