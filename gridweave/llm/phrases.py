@@ -4,9 +4,10 @@ A phrase is a run of 2 to 4 words inside a piece of text. The set S of proposed
 sample of the documents, mined level by level at a lowered threshold. The full pass counts, over all documents, every
 phrase whose first words and whose last words (all but one) are in S: these are the phrases of S and its negative
 border. If a border phrase of at most 3 words turns out to be frequent, S has missed it; S grows by all such phrases,
-and a further pass counts only the phrases that thereby became candidates. It ends when no border phrase is frequent.
-A frequent phrase has frequent parts, so by then every frequent phrase has been counted exactly, whatever the sample
-was; the sample only decides how many passes are needed.
+and an expansion pass counts only the phrases that thereby became candidates, and those that have such new candidates
+for parts, as these may be frequent too. A frequent phrase has frequent parts, each of them either counted in the full
+pass, so that it is in S by now, or a new candidate itself; so every frequent phrase has been counted exactly,
+whatever the sample was. The sample only decides how much the expansion pass finds, and whether it is needed.
 
 Tasks ask S through a Bloom filter of at most ``FILTER_BYTES``, so what is broadcast has a fixed bound however many
 phrases are frequent; a false positive makes a phrase be counted that need not be, and nothing else. Each task numbers
@@ -39,7 +40,7 @@ LONGEST, LEAST, TOP, COVERED = 4, 30, 2000, 80
 #: caution proposes more that is not frequent, less leaves more to the further passes.
 SAMPLE, CAUTION = 4, 0.5
 #: Bytes of text that a task numbers at a time, and the most bytes of the Bloom filter.
-CHUNK, FILTER_BYTES = 6 << 20, 16 << 20
+CHUNK, FILTER_BYTES = 4 << 20, 16 << 20
 #: Rows of a batch that a task passes on.
 ROWS = 1 << 16
 #: Rows gathered into one group on the way to the first rows of a language.
@@ -143,22 +144,29 @@ class Chunk:
     def __init__(self, parts: list[tuple[int, bytes, int]], langs: list[str]) -> None:
         data = np.frombuffer(b"\n".join(t for _, t, _ in parts) + b"\n", np.uint8)
         solid = (data != 32) & (data != 10)
-        edges = np.flatnonzero(np.diff(solid.view(np.int8), prepend=0))
+        edges = np.flatnonzero(solid[1:] != solid[:-1]) + 1
+        edges = np.concatenate([[0], edges]) if solid[0] else edges
         begin, size = edges[0::2], edges[1::2] - edges[0::2]
         self.n = len(begin)
         if not self.n:
             return
         ends = np.cumsum([len(t) + 1 for _, t, _ in parts])
-        part = np.searchsorted(ends, begin, "right")
-        lang = np.array([k for k, _, _ in parts])[part]
-        self.own = begin < (np.concatenate([[0], ends[:-1]]) + [own for _, _, own in parts])[part]
-        self.piece = np.searchsorted(np.flatnonzero(data == 10), begin)
+        of_part = np.diff(np.searchsorted(begin, ends), prepend=0)
+        lang = np.repeat([k for k, _, _ in parts], of_part)
+        self.own = begin < np.repeat(ends - [len(t) + 1 - own for _, t, own in parts], of_part)
+        # whether a piece ends between a word and the next one
+        upto = np.searchsorted(begin, np.flatnonzero(data == 10))
+        self.last = np.zeros(self.n, bool)
+        self.last[upto[upto > 0] - 1] = True
         offsets = np.concatenate([[0], np.cumsum(size)])
         plain, words = _codes(pa.LargeBinaryArray.from_buffers(pa.large_binary(), self.n, [
             None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[solid]))]))
-        self.word, told = _codes(pa.array(lang * len(words) + plain))
-        told = told.to_numpy(zero_copy_only=False)
-        self.lang_of, of_word = told // len(words), told % len(words)
+        if len(langs) == 1:
+            self.word, self.lang_of, of_word = plain, np.zeros(len(words), np.int64), slice(None)
+        else:
+            self.word, told = _codes(pa.array(lang * len(words) + plain))
+            told = told.to_numpy(zero_copy_only=False)
+            self.lang_of, of_word = told // len(words), told % len(words)
         hashes = wordhash.word_hashes([b" ".join(words.to_pylist()).decode("utf-8")])[0]
         self.hash = wordhash.mix(hashes[of_word] ^ lang_hashes(langs)[self.lang_of])
         # all words with one space after each, to take phrases from
@@ -181,24 +189,29 @@ class Chunk:
     def counts(self, new: Filter | None, old: Filter | None, levels: range) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """``words, first places, counts, languages`` of the candidates of each level.
 
-        Candidates have both parts in ``new``; those with both parts in ``old`` have been counted before."""
+        Candidates have both parts in ``new``. With ``old``, those that had both parts there have been counted before; and
+        as whether a new candidate is frequent is not known yet, it may be a part as well."""
         ids, hashes, lang_of = self.word, self.hash, self.lang_of
         at = np.arange(self.n)    # the places where the phrases of the level start, and their numbers
         for words in range(1, levels.stop):
-            fresh = np.ones(len(hashes), bool) if old is None else np.zeros(len(hashes), bool)
-            if words > 1:
-                ok, was = new.has(hashes), old.has(hashes) if old is not None else np.zeros(len(hashes), bool)
+            if words == 1:
+                fresh = np.full(len(hashes), old is None)
+            else:
+                ok, was = new.has(hashes), None
+                if old is not None:    # counted before: both parts were in the old filter, and counted themselves
+                    was = old.has(hashes) & ~fresh
+                    ok |= fresh
                 here, there = np.full(self.n, -1), np.full(self.n, -1)
                 here[at] = ids
                 there[:-1] = here[1:]
-                there[:-1][self.piece[:-1] != self.piece[1:]] = -1
+                there[self.last] = -1
                 at = at[(here[at] >= 0) & (there[at] >= 0)]
                 first, last = here[at], there[at]
                 keep = ok[first] & ok[last]
                 at, first, last = at[keep], first[keep], last[keep]
                 if not len(at):
                     return
-                before = was[first] & was[last]
+                before = was[first] & was[last] if was is not None else np.zeros(len(at), bool)
                 ids, pairs = _codes(pa.array(first * len(self.hash) + self.word[at + words - 1]))
                 pairs = pairs.to_numpy(zero_copy_only=False)
                 hashes = joined_hash(hashes[pairs // len(self.hash)], self.hash[pairs % len(self.hash)])
@@ -259,12 +272,15 @@ def texts_by_lang(docs: DataFrame, id_col: str, text_col: str, lang_col: str) ->
 
 
 def count_phrases(texts: DataFrame, least: int, new: np.ndarray | None, old: np.ndarray | None, levels: range, totals: bool = False) -> DataFrame:
-    """``lang, words, phrase, n, hash, known`` of the candidates found at least so often; ``known``: in the filter ``new``."""
+    """``lang, words, phrase, n, hash, known`` of the candidates found at least so often; ``known``: in the filter ``new``.
+
+    Tasks have added up their chunks, so rows go to the shuffle as they are; a phrase sends one for a chunk."""
     context = texts.sparkSession.sparkContext
     sent = [context.broadcast(f) if f is not None else None for f in (new, old)]
     ask = [(lambda b=b: b.value) if b is not None else None for b in sent]
     found = texts.select("lang", "text").mapInArrow(tidy(counter(*ask, levels, totals)), _COUNTS)
-    found = found.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("words") == 0))
+    width = shuffle_width(texts.sparkSession)
+    found = found.repartition(width, "lang", "words", "phrase").groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("words") == 0))
 
     def hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Filter(ask[0]()) if ask[0] is not None else None
@@ -294,15 +310,13 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, sample: int = SAMPLE,
     """``lang, words, phrase, n`` of all phrases of up to 4 words with ``n >= least``, and the number of words of each
     language as a phrase of none."""
     texts = texts_by_lang(docs, id_col, text_col, lang_col)
-    new, old, found = propose(texts, least, sample), None, None
-    while True:
-        levels = range(1, LONGEST + 1) if old is None else range(2, LONGEST + 1)
-        part = settle(count_phrases(texts, least, new, old, levels, totals=old is None), "op11-counted")
-        found = part if found is None else found.unionAll(part)
-        missed = part.where(~F.col("known") & F.col("words").between(1, LONGEST - 1))
-        if missed.isEmpty():
-            return found.select("lang", "words", "phrase", "n")
-        old, new = new, new | build_filter(missed, len(new))
+    proposed = propose(texts, least, sample)
+    found = settle(count_phrases(texts, least, proposed, None, range(1, LONGEST + 1), totals=True), "op11-counted")
+    missed = found.where(~F.col("known") & F.col("words").between(1, LONGEST - 1))
+    if not missed.isEmpty():
+        wider = proposed | build_filter(missed, len(proposed))
+        found = found.unionAll(settle(count_phrases(texts, least, wider, proposed, range(2, LONGEST + 1)), "op11-expanded"))
+    return found.select("lang", "words", "phrase", "n")
 
 
 # ---- scores
