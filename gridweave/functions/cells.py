@@ -39,7 +39,7 @@ def number_to_text(c: Column) -> Column:
             .when(shift >= F.length(rest), F.concat(part(2), F.rpad(rest, shift, "0")))
             .otherwise(F.concat(part(2), F.substring(rest, F.lit(1), shift), F.lit("."), F.substring(rest, shift + 1, F.length(rest)))))
     return (F.when(whole, d.cast("bigint").cast("string"))
-            .when(shift.isNotNull(), F.concat(part(1), wide)).otherwise(short))
+            .when(~F.contains(short, F.lit("E")), short).when(shift.isNotNull(), F.concat(part(1), wide)).otherwise(short))
 
 
 def text_of(c: Column, dtype: T.DataType) -> Column:

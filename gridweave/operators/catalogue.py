@@ -6,6 +6,8 @@ optionally ``meta``. Ids appear in the file and file list cells of datasets.
 
 from __future__ import annotations
 
+import json
+import mimetypes
 from collections.abc import Mapping
 from functools import reduce
 
@@ -48,8 +50,9 @@ SIGNATURES = [
 # How HTML files begin, in lower case.
 HTML_STARTS = ["<!doctype html", "<html"]
 
-# Media type of a file name extension, for content that no signature tells apart.
-EXTENSION_MIME = {
+# Media type of a file name extension, for content that no signature tells apart: the standard library's registry (its
+# own table, not the machine's), and fixed values that it lacks or that are written otherwise here.
+EXTENSION_MIME = {ext.lstrip(".").lower(): mime for ext, mime in mimetypes.MimeTypes(filenames=()).types_map[True].items()} | {
     "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "webp": "image/webp",
     "bmp": "image/bmp", "svg": "image/svg+xml", "pdf": "application/pdf", "zip": "application/zip",
     "gz": "application/gzip", "mp4": "video/mp4", "mov": "video/quicktime", "mp3": "audio/mpeg",
@@ -71,7 +74,7 @@ def hash_content(content: Column) -> Column:
 
 
 def _lookup(table: Mapping[str, str], key: Column) -> Column:
-    return F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key)
+    return F.try_element_at(F.from_json(F.lit(json.dumps(table)), "map<string,string>"), key)
 
 
 def file_extension(name: Column) -> Column:

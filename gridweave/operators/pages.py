@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import json
 from collections.abc import Sequence
 from html.entities import html5
 
@@ -22,13 +23,16 @@ TITLE_PATTERN = r"(?is)<title[^>]*>(.*?)</title>"
 
 # Named references and, as browsers read them, the numbers 128 to 159: both from the standard library's tables.
 REFERENCES = {name[:-1]: value for name, value in html5.items() if name.endswith(";")}
-REFERENCES |= {f"#{n}": html.unescape(f"&#{n};") for n in range(128, 160)}
+CONTROLS = {f"#{n}": html.unescape(f"&#{n};") for n in range(128, 160)}
+# The references that nearly all pages make do with; a map is searched from its front.
+COMMON = {name: REFERENCES[name] for name in ("amp", "lt", "gt", "quot", "nbsp", "apos", "copy", "middot", "mdash", "ndash", "hellip", "rsquo", "lsquo", "rdquo", "ldquo")}
 REFERENCE = r"^&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
 
 
 def unescape_html(c: Column) -> Column:
     """Resolve character references, named and numeric, once; what is none stays as it is."""
-    known = F.create_map(*[F.lit(x) for pair in REFERENCES.items() for x in pair])
+    def known(table: dict[str, str], name: Column) -> Column:
+        return F.try_element_at(F.from_json(F.lit(json.dumps(table)), "map<string,string>"), name)
 
     def resolve(piece: Column) -> Column:
         name = F.regexp_extract(piece, REFERENCE, 1)
@@ -36,7 +40,8 @@ def unescape_html(c: Column) -> Column:
         number = F.when(name.rlike("^#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).try_cast("int")
         number = F.when((number < 1) | (number > 0x10FFFF) | number.between(0xD800, 0xDFFF), 0xFFFD).otherwise(number)
         letter = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
-        value = F.coalesce(F.try_element_at(known, name), F.when(name.startswith("#"), letter))
+        value = F.when(name.startswith("#"), F.coalesce(known(CONTROLS, name), letter)).otherwise(
+            F.coalesce(known(COMMON, name), F.when(name != "", known(REFERENCES, name))))
         return F.when(value.isNotNull(), F.concat(value, F.substring(piece, F.length(name) + 3, F.length(piece)))).otherwise(piece)
 
     return F.when(F.contains(c, F.lit("&")), F.array_join(F.transform(F.split(c, "(?=&)"), resolve), "")).otherwise(c)

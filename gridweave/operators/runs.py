@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shuffle_width
 from .sequence import keep_newest
 from .writes import Append, append
 
@@ -145,12 +146,23 @@ def next_occurrence(start: Column, every: Column, now: Column) -> Column:
     return F.when(every > 0, start + steps * every)
 
 
-def expand_schedule(defs: DataFrame, until: float) -> DataFrame:
-    """Every fire time of each definition (``start_at, every_seconds``) up to a horizon."""
-    count = F.when(F.coalesce("every_seconds", F.lit(0.0)) > 0, F.floor((F.lit(until) - F.col("start_at")) / F.col("every_seconds"))).otherwise(0)
-    steps = F.sequence(F.lit(0).cast("bigint"), F.greatest(count, F.lit(0)).cast("bigint"))
-    out = defs.where(F.col("start_at") <= until).select("*", F.explode(steps).alias("occurrence"))
-    return out.withColumn("fire_at", F.col("start_at") + F.col("occurrence") * F.coalesce("every_seconds", F.lit(0.0)))
+#: Fire times that are made from one row at a time.
+OCCURRENCES = 10_000
+
+
+def expand_schedule(defs: DataFrame, until: float, at_once: int = OCCURRENCES) -> DataFrame:
+    """Every fire time of each definition (``start_at, every_seconds``) up to a horizon.
+
+    Chunks of so many occurrences are listed and dealt out first, so a definition that fires very often is spread over
+    the tasks and never one array."""
+    every = F.coalesce("every_seconds", F.lit(0.0))
+    count = F.greatest(F.when(every > 0, F.floor((F.lit(until) - F.col("start_at")) / every)).otherwise(0), F.lit(0)).cast("bigint")
+    chunks = defs.where(F.col("start_at") <= until).select("*", count.alias("_last")).select(
+        "*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("_last") / at_once).cast("bigint"))).alias("_chunk"))
+    dealt = chunks.repartition(shuffle_width(defs.sparkSession), F.xxhash64("start_at", "every_seconds", "_chunk"))
+    steps = F.sequence(F.col("_chunk") * at_once, F.least(F.col("_last"), (F.col("_chunk") + 1) * at_once - 1))
+    out = dealt.select(*defs.columns, F.explode(steps).alias("occurrence"))
+    return out.withColumn("fire_at", F.col("start_at") + F.col("occurrence") * every)
 
 
 def due(defs: DataFrame, now: float) -> DataFrame:
