@@ -154,7 +154,8 @@ def test_a_dense_spot_is_dealt_out(spark):
     points = spark.createDataFrame([(i, 50.0 if rnd.random() < 0.9 else rnd.uniform(0, 100)) for i in range(3000)] + [(9999, None)], "i bigint, x double")
     bands = spark.createDataFrame([(n, lo, lo + rnd.choice([0.0, 0.5, 5.0, 200.0])) for n, lo in enumerate([-5.0, 0.0, 49.9, 50.0, 49.5, 99.0, 120.0])], "n int, lo double, hi double")
     got = ranges.band_join(points, "x", bands, "lo", "hi", slots=40)
-    want = sorted((p.i, b.n) for p in points.collect() for b in bands.collect() if p.x is not None and b.lo <= p.x < b.hi)
+    given = bands.collect()
+    want = sorted((p.i, b.n) for p in points.collect() for b in given if p.x is not None and b.lo <= p.x < b.hi)
     assert sorted((r.i, r.n) for r in got.collect()) == want
     found, _, _ = seq.quantiles(points, "x", 40)
     assert len(set(found)) < 10 and found.count(50.0) > 30
