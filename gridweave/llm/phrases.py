@@ -40,7 +40,7 @@ LONGEST, LEAST, TOP, COVERED = 4, 30, 2000, 80
 #: caution proposes more that is not frequent, less leaves more to the further passes.
 SAMPLE, CAUTION = 4, 0.5
 #: Bytes of text that a task numbers at a time, and the most bytes of the Bloom filter.
-CHUNK, FILTER_BYTES = 4 << 20, 16 << 20
+CHUNK, FILTER_BYTES = 8 << 20, 16 << 20
 #: Rows of a batch that a task passes on.
 ROWS = 1 << 16
 #: Rows gathered into one group on the way to the first rows of a language.
