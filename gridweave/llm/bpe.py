@@ -33,10 +33,11 @@ from .registry import query
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Entries and bytes that a table of pieces or fragments holds at most; beyond, it starts anew. Vocabularies with word
-#: ends have fewer tables, which may be larger. An entry counts for its letters, its ids and what Python adds.
+#: Entries that a table of pieces or fragments holds at most, and bytes for each on average; beyond, it starts anew.
+#: Vocabularies with word ends have fewer tables, which may be larger. An entry counts for its letters, its ids and
+#: what Python adds.
 TABLE_LIMIT, WORD_TABLE_LIMIT = 200_000, 400_000
-ENTRY_BYTES, TABLE_BYTES = 250, 64 << 20
+ENTRY_BYTES, MEAN_BYTES = 250, 320
 #: Longer pieces hardly repeat and are not kept.
 KEPT_LETTERS = 256
 
@@ -71,7 +72,7 @@ class Table(dict):
         if len(key) <= KEPT_LETTERS:
             # a letter takes up to four bytes
             self.bytes += ENTRY_BYTES + 4 * len(key) + len(value) if not key.isascii() else ENTRY_BYTES + len(value)
-            if len(self) >= self.limit or self.bytes > TABLE_BYTES:
+            if len(self) >= self.limit or self.bytes > self.limit * MEAN_BYTES:
                 self.clear()
                 self.bytes = 0
             self[key] = value
