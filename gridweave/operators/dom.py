@@ -14,7 +14,7 @@ from collections.abc import Iterator, Mapping
 from functools import reduce
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -114,48 +114,61 @@ class _Nodes(HTMLParser):
         self.open[-1]["own"].append(data)
         self.pieces.append(data)
 
-    def finish(self) -> list[dict]:
+    def finish(self) -> Iterator[dict]:
+        """The elements one by one, each with the text below it, which is not kept: it is long for outer elements."""
         self.close()
         while self.open:
             self._close()
         for node in self.rows:
-            node["text"] = " ".join("".join(self.pieces[node["from"]:node["to"]]).split())
-        return self.rows
+            yield {**node, "text": " ".join("".join(self.pieces[node["from"]:node["to"]]).split())}
 
 
-def parse_nodes(html: str) -> list[dict]:
+def read_nodes(html: str | None) -> Iterator[dict]:
     parser = _Nodes()
     parser.feed(html or "")
     return parser.finish()
 
 
-# Node rows per Arrow batch handed back to Spark.
-FLUSH_ROWS = 20_000
+def parse_nodes(html: str | None) -> list[dict]:
+    return list(read_nodes(html))
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["page_id", "seq", "last", "depth", "parent", "child", "kind", "tag", "cls",
-                                       "attrs", "own", "text", "role", "up"])
+# Node rows, and characters in their texts, per Arrow batch handed back to Spark; a longer row stands alone.
+FLUSH_ROWS, FLUSH_CHARS = 4096, 4 << 20
+NODE_TYPES = pa.schema([("page_id", pa.int64()), *[(c, pa.int32()) for c in ("seq", "last", "depth", "parent", "child")],
+                        *[(c, pa.string()) for c in ("kind", "tag", "cls")], ("attrs", pa.map_(pa.string(), pa.string())),
+                        *[(c, pa.string()) for c in ("own", "text", "role")], ("up", pa.list_(pa.int32()))])
 
 
-def _explode_pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    rows: list[tuple] = []
-    for pages in batches:
-        for page_id, html in zip(pages["page_id"], pages["html"]):
-            for n in parse_nodes(html):
-                rows.append((page_id, n["seq"], n["last"], n["depth"], n["parent"], n["child"], "element", n["tag"],
-                             n["cls"], n["attrs"], " ".join("".join(n["own"]).split()),
-                             n["text"], n["attrs"].get("role") or "", n["up"]))
-            if len(rows) >= FLUSH_ROWS:
-                yield _frame(rows)
-                rows = []
+def _node_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Pages are taken out of a batch one at a time: as Python objects a batch of pages is several times as large."""
+    for batch in batches:
+        for page_id, html in zip(batch.column("page_id"), batch.column("html")):
+            for n in read_nodes(html.as_py()):
+                yield (page_id.as_py(), n["seq"], n["last"], n["depth"], n["parent"], n["child"], "element", n["tag"],
+                       n["cls"], list(n["attrs"].items()), " ".join("".join(n["own"]).split()), n["text"], n["attrs"].get("role") or "", n["up"])
+
+
+def _explode_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows, chars = [], 0
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), NODE_TYPES)], schema=NODE_TYPES)
+
+    for row in _node_rows(batches):
+        size = len(row[10]) + len(row[11]) + sum(len(k) + len(v) for k, v in row[9])
+        if rows and (len(rows) >= FLUSH_ROWS or chars + size > FLUSH_CHARS):
+            yield batch()
+            rows, chars = [], 0
+        rows.append(row)
+        chars += size
     if rows:
-        yield _frame(rows)
+        yield batch()
 
 
 def dom_nodes(pages: DataFrame) -> DataFrame:
     """One row per element of each page (``page_id, html``), scripts and styles left out."""
-    return pages.select("page_id", "html").mapInPandas(_explode_pages, NODE_SCHEMA)
+    return pages.select("page_id", "html").mapInArrow(_explode_pages, NODE_SCHEMA)
 
 
 def is_control() -> Column:

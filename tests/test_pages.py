@@ -4,6 +4,7 @@ import os
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
@@ -26,6 +27,20 @@ def test_tree(nodes):
     assert not tags & {"script", "style", "head", "meta", "svg", "title"}
 
 
+def test_node_batches_are_bounded_by_their_texts():
+    """Long texts, which every enclosing element repeats, close a batch long before its rows do; none is lost or cut."""
+    text, depth = "x" * 300_000, 12
+    html = "<div>" * depth + text + "</div>" * depth
+    given = pa.RecordBatch.from_pydict({"page_id": [1, None, 3], "html": [html, html, None]}, pa.schema([("page_id", pa.int64()), ("html", pa.string())]))
+    found = list(dom._explode_pages(iter([given, given])))
+    assert len(found) > 3 and max(b.nbytes for b in found) < dom.FLUSH_CHARS + 2 * len(text)
+    rows = [r for b in found for r in b.to_pylist()]
+    assert [(r["page_id"], r["seq"]) for r in rows] == [(i, n) for i in (1, None, 1, None) for n in range(depth)]
+    assert {r["text"] for r in rows} == {text} and [r["up"] for r in rows[:3]] == [[], [0], [0, 1]]
+    many = pa.RecordBatch.from_pydict({"page_id": [1], "html": ["<br>" * 10_000]})
+    assert [b.num_rows for b in dom._explode_pages(iter([many]))] == [4096, 4096, 1808]
+
+
 def test_snapshot_and_find(nodes):
     snap = dom.snapshot(nodes).where("page_id = 1").orderBy("seq")
     controls = [(r["index"], r["tag"], r["name"]) for r in snap.where("control").collect()]
