@@ -303,24 +303,44 @@ def rolling(df: DataFrame, keys: Sequence[str], order: str, aggs: Mapping[str, C
 
 #: How the totals of blocks are merged, and what an empty frame has.
 MERGE = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
+SEGMENT = "_segment"
+# Cells are numbered up to here, so that numbers of segments fit; farther values share the last one.
+LAST_CELL = 1 << 60
 
 
 def rolling_totals(df: DataFrame, keys: Sequence[str], order: str, aggs: Mapping[str, tuple[str, str]], back: float,
                    ahead: float = 0, blocks: int | None = None) -> DataFrame:
     """Like :func:`rolling`, for frames of any width: ``aggs`` maps a new name to (``sum``, ``count``, ``min`` or ``max``, column).
 
-    A frame is the rest of the block in which it begins, whole blocks, and the head of the block in which it ends. Rows
-    go to the block where their frame begins, and meet its values there; then to the block where it ends. Totals of the
-    whole blocks between are made once for every pair of blocks, of which a key has at most twice as many as blocks.
-    So every row is shuffled twice, and its values once with either, whatever the frame.
+    Blocks are cut again into cells no wider than a frame, so that a frame is the rest of the segment in which it begins,
+    whole segments, and the head of the segment in which it ends: running totals from either end of a segment, each row
+    being added once. Rows go to the segment where their frame begins, and meet its values there; then to the one where it
+    ends. Totals of the whole segments between are made once for every pair of segments, of which a key has a few per
+    block. So every row is shuffled twice, and its values once with either, whatever the frame. Frames that begin and end
+    in one segment (NULL, or values too far out for steps of a frame to be told apart) are made as RANGE frames there.
     """
     cut = _Cut(df, keys, order, blocks, None)
     span = back + ahead
     values = [F.col(c).alias(f"_v_{n}") for n, (_, c) in aggs.items()]
-    apart = F.when(F.col(BLOCK) >= NULL_BLOCKS, NULL_BLOCKS).otherwise(0)
-    home = cut.rows.withColumns({"_first": block_of(F.col(order) - F.lit(back), cut.bounds) + apart, "_last": block_of(F.col(order) + F.lit(ahead), cut.bounds) + apart})
     key = [KEY] if keys else []
-    data = cut.rows.select(*cut.by, F.col(order).alias("_pos"), *values)
+    by = [*key, SEGMENT]
+    whole = isinstance(df.schema[order].dataType, T.IntegralType)
+
+    def segment(c: Column) -> Column:
+        """Block and cell both grow with the value, and so does their sum, which is new wherever one of them is; rows whose
+        key is NULL have the odd numbers."""
+        if whole:
+            cell = F.call_function("div", c, F.lit(max(span, 1))) - F.when(c < 0, 1).otherwise(0)
+        else:    # two cells a frame: what is lost in dividing must not bring its ends into one
+            c = c.cast("double")
+            cell = F.when(F.isnan(c), LAST_CELL).otherwise(F.floor(c / F.lit(span / 2 or 1.0)))
+        cell = F.when(c.isNull(), -2 * LAST_CELL).otherwise(F.greatest(F.lit(-LAST_CELL), F.least(cell, F.lit(LAST_CELL))))
+        return (block_of(c, cut.bounds) + cell) * 2 + F.when(F.col(BLOCK) >= NULL_BLOCKS, 1).otherwise(0)
+
+    begins, ends = F.col(order) - F.lit(back), F.col(order) + F.lit(ahead)
+    home = cut.rows.withColumns({"_first": segment(begins), "_last": segment(ends)})
+    across, alone = home.where("_first < _last"), home.where("_first = _last")
+    data = cut.rows.select(*key, segment(F.col(order)).alias(SEGMENT), F.col(order).alias("_pos"), *values).withColumn("_probe", F.lit(False))
     inside = [f"_v_{n}" for n in aggs]
 
     def over(window, suffix: str) -> dict[str, Column]:
@@ -330,30 +350,37 @@ def rolling_totals(df: DataFrame, keys: Sequence[str], order: str, aggs: Mapping
             out[f"{suffix}{n}"] = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}[kind](c).over(window)
         return out
 
-    # one by one: the frame's part in its first block (all of it, if that is the last one too)
-    probes = home.drop(BLOCK).withColumnRenamed("_first", BLOCK).withColumn("_pos", F.col(order) - F.lit(back))
-    both = probes.withColumn("_probe", F.lit(True)).unionByName(data.withColumn("_probe", F.lit(False)), allowMissingColumns=True)
-    w = W.partitionBy(*cut.by).orderBy("_pos")
-    begun = both.withColumns(over(w.rangeBetween(0, span), "_a_")).where("_probe").drop("_probe", "_pos", *inside).withColumnRenamed(BLOCK, "_first")
-    # whole blocks between
-    totals = data.groupBy(*cut.by).agg(*[{"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}[k](f"_v_{n}").alias(f"_t_{n}") for n, (k, _) in aggs.items()])
-    pairs = home.where("_last > _first + 1").select(*key, "_first", "_last").distinct()
-    listed = pairs.withColumn(BLOCK, F.explode(F.sequence(F.col("_first") + 1, F.col("_last") - 1)))
-    middle = listed.join(totals, cut.by).groupBy(*key, "_first", "_last").agg(*[MERGE[k](f"_t_{n}").alias(f"_m_{n}") for n, (k, _) in aggs.items()])
-    # the frame's part in its last block
-    probes = begun.withColumnRenamed("_last", BLOCK).withColumn("_pos", F.col(order) + F.lit(ahead)).withColumn("_probe", F.lit(True))
-    both = probes.unionByName(data.withColumn("_probe", F.lit(False)), allowMissingColumns=True).unionByName(
-        middle.withColumnRenamed("_last", BLOCK).withColumn("_probe", F.lit(False)), allowMissingColumns=True)
-    told = {f"_m_{n}": F.first(f"_m_{n}", ignorenulls=True).over(W.partitionBy(*cut.by, "_first").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    def met(probes: DataFrame, at: str, pos: Column, *others: DataFrame) -> DataFrame:
+        out = probes.withColumnRenamed(at, SEGMENT).withColumns({"_pos": pos, "_probe": F.lit(True)})
+        for other in others:
+            out = out.unionByName(other, allowMissingColumns=True)
+        return out
+
+    w = W.partitionBy(*by).orderBy("_pos")
+    through = W.unboundedPreceding, W.currentRow
+    # the frame's part in its first segment
+    back_from_end = W.partitionBy(*by).orderBy(F.col("_pos").desc()).rangeBetween(*through)
+    begun = met(across, "_first", begins, data).withColumns(over(back_from_end, "_a_")).where("_probe").drop("_pos", *inside).withColumnRenamed(SEGMENT, "_first")
+    # whole segments between
+    totals = data.groupBy(*by).agg(*[{"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}[k](f"_v_{n}").alias(f"_t_{n}") for n, (k, _) in aggs.items()])
+    pairs = home.where("_last > _first + 2").select(*key, "_first", "_last").distinct()
+    listed = pairs.withColumn(SEGMENT, F.explode(F.sequence(F.col("_first") + 2, F.col("_last") - 2, F.lit(2).cast("bigint"))))
+    middle = listed.join(totals, by).groupBy(*key, "_first", "_last").agg(*[MERGE[k](f"_t_{n}").alias(f"_m_{n}") for n, (k, _) in aggs.items()])
+    # the frame's part in its last segment
+    both = met(begun, "_last", ends, data, middle.withColumnRenamed("_last", SEGMENT).withColumn("_probe", F.lit(False)))
+    told = {f"_m_{n}": F.first(f"_m_{n}", ignorenulls=True).over(W.partitionBy(*by, "_first").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
             for n in aggs}
-    ended = both.withColumns({**over(w.rangeBetween(-span, 0), "_b_"), **told}).where("_probe")
-    later = F.col(BLOCK) > F.col("_first")
+    ended = both.withColumns({**over(w.rangeBetween(*through), "_b_"), **told}).where("_probe")
+    # frames in one segment
+    near = data.join(alone.select(*key, F.col("_first").alias(SEGMENT)).distinct(), by, "left_semi")
+    short = met(alone, "_first", begins, near).withColumns(over(w.rangeBetween(0, span), "_a_")).where("_probe").drop("_last", SEGMENT, "_pos", *inside)
+    found = ended.drop("_first", SEGMENT, "_pos", *inside).unionByName(short, allowMissingColumns=True)
     result = {}
     for n, (kind, _) in aggs.items():
-        parts = [F.col(f"_a_{n}"), F.when(later, F.col(f"_m_{n}")), F.when(later, F.col(f"_b_{n}"))]
+        parts = [F.col(f"_{part}_{n}") for part in "amb"]
         if kind in ("sum", "count"):
             some = F.coalesce(*parts)
             result[n] = F.when(some.isNotNull(), sum((F.coalesce(p, F.lit(0)) for p in parts[1:]), F.coalesce(parts[0], F.lit(0))))
         else:
             result[n] = {"min": F.least, "max": F.greatest}[kind](*parts)
-    return cut.unpack(ended.withColumns(result), *aggs)
+    return cut.unpack(found.withColumns(result), *aggs)

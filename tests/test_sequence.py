@@ -137,6 +137,35 @@ def test_rolling_totals(spark, back, ahead):
         assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
 
 
+def test_frames_within_a_block_are_running_totals(spark):
+    """Two blocks, frames much shorter than either: no row goes through all values of its frame."""
+    df = spark.range(20_000).select((F.col("id") - 10_000).alias("id"), (F.col("id") % 10).alias("w"))
+    out = seq.rolling_totals(df, [], "id", {"s": ("sum", "w"), "top": ("max", "w")}, back=300, ahead=20, blocks=2)
+    frame = "OVER (ORDER BY id RANGE BETWEEN 300 PRECEDING AND 20 FOLLOWING)"
+    assert sorted(out.collect()) == sorted(spark.sql(f"SELECT id, w, sum(w) {frame} AS s, max(w) {frame} AS top FROM {{df}}", df=df).collect())
+    text = out._jdf.queryExecution().optimizedPlan().toString()
+    sliding = [line for line in text.split("\n") if "RangeFrame, cast(0" in line or "RangeFrame, 0" in line or "RangeFrame, currentrow$(), 320" in line]
+    assert "unboundedpreceding$(), currentrow$()" in text and len(sliding) <= 1    # only that of frames in one segment
+
+
+@pytest.mark.parametrize(("back", "ahead"), [(0, 0), (3, 4), (-2, 9)])
+def test_rolling_totals_of_odd_values(spark, back, ahead):
+    """NULL keys and orders, NaN, infinities, values too large for the frame to move them, negative ones and equal ones."""
+    rnd = random.Random(5)
+    odd = [None, float("nan"), float("inf"), float("-inf"), 1e17, 1e17 + 16, -1e17, 0.0, -0.0]
+    rows = [(rnd.choice([None, 0, 1]), rnd.choice([rnd.choice(odd), rnd.randint(-30, 30) / 2, float(rnd.randint(-9, 9))]), i, rnd.choice([None, rnd.randint(-9, 9)])) for i in range(600)]
+    df = spark.createDataFrame(rows, "k bigint, x double, i bigint, v bigint")
+    ints = df.where("abs(x) < 100 or x is null").withColumn("x", F.floor("x").cast("bigint"))
+    for given in (df, ints):
+        got = seq.rolling_totals(given, ["k"], "x", {"s": ("sum", "v"), "n": ("count", "v"), "lo": ("min", "v"), "hi": ("max", "v")}, back, ahead, blocks=6)
+        kind = given.schema["x"].dataType.simpleString()
+        a, b = (F.lit(y).cast(kind) for y in (-back, ahead))
+        pairs = given.alias("p").join(given.alias("q"), F.expr("p.k <=> q.k") & (
+            (F.col("p.x").isNull() & F.col("q.x").isNull()) | ((F.col("q.x") >= F.col("p.x") + a) & (F.col("q.x") <= F.col("p.x") + b))), "left")
+        want = pairs.groupBy("p.i").agg(F.sum("q.v"), F.count("q.v"), F.min("q.v"), F.max("q.v"))
+        assert sorted(map(tuple, got.select("i", "s", "n", "lo", "hi").collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_wide_frames_shuffle_rows_twice(spark):
     """No copies for the blocks between: what is met in windows is three rows for a row, whatever the frame."""
     df = spark.range(20_000).select("id", (F.col("id") % 10).alias("w"))
